@@ -1,10 +1,62 @@
-"""Corpus cleaning pipeline over `documents`."""
+"""Corpus cleaning pipeline over `documents`: quality rules, toxicity, near duplicates, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. Null and empty texts
+fail the quality rules. Rows whose doc_id is null stay while their text passes. Columns beyond those of
+documents are carried along by every stage but the last.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
-ORACLE_SQL = None
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ripplefold.llm.common import read_table, written
+from ripplefold.llm.jaccard_join import join_documents
+from ripplefold.llm.packing import pack_documents
+from ripplefold.llm.quality_rules import judged
+from ripplefold.llm.secret_scan import redacted
+from ripplefold.llm.toxicity import without_toxic
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep."""
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang")
+    return judged(whole).where("kept").select("_row.*")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity classifier lets pass."""
+    return without_toxic(docs, read_table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): that with the smallest doc_id.
+
+    Rows that repeat a kept document's id and text go; rows with its id and another text stay.
+    """
+    groups = join_documents(docs, width=5, num=80, den=100)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]))
+    once = left.where("_rows = 1").select(*docs.columns)
+    return once.unionByName(left.where("_rows > 1").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with every secret found replaced by a mark."""
+    return redacted(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token sequences that hold the documents' pieces."""
+    return pack_documents(docs)
+
+
+STAGES = [("quality rules", quality), ("toxicity", toxicity), ("n-gram Jaccard join", near_duplicates), ("secret scans", secrets), ("packing", packing)]
+ORACLE_SQL = None  # SQL can't express the classifier and the tokenizer; tests/llm compare with brute force
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,18 +2,63 @@
 
 from __future__ import annotations
 
+from ripplefold.llm.bpe_tree import encode_documents
 from ripplefold.llm.common import read_table
+from ripplefold.llm.embedding_dedup import near_duplicates
+from ripplefold.llm.html_text import extract_pages
 from ripplefold.llm.jaccard_join import join_documents
 from ripplefold.llm.lm_score import score_documents
+from ripplefold.llm.packing import pack_documents
+from ripplefold.llm.quality_knn import score_quality
+from ripplefold.llm.quality_rules import judged
+from ripplefold.llm.secret_scan import scan_documents
+from ripplefold.llm.toxicity import score_toxicity
 
 
 def op1_lm_score(spark, sf_dir):
     return score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark, sf_dir):
+    return judged(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_divergence", "word_divergence", "kept"
+    )
+
+
 def op3_jaccard_join(spark, sf_dir):
     return join_documents(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_score, op3_jaccard_join)}
+def op4_html_extraction(spark, sf_dir):
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
+def op5_secret_scan(spark, sf_dir):
+    return scan_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op6_quality_knn(spark, sf_dir):
+    return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op7_bpe_tree(spark, sf_dir):
+    return encode_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op8_embedding_dedup(spark, sf_dir):
+    return near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op9_packing(spark, sf_dir):
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_lm_score, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_secret_scan, op6_quality_knn, op7_bpe_tree, op8_embedding_dedup, op9_packing, op10_toxicity)
+}
 ORACLE_SQL: dict[str, str] = {}

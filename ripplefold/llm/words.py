@@ -21,6 +21,8 @@ def _byte_values() -> np.ndarray:
 
 VALUE = _byte_values()
 IS_WORD = VALUE != 0
+EXACT = VALUE.copy()  # the same with A-Z as themselves
+EXACT[65:91] = np.random.default_rng(20240301).integers(1, 2**63, 26, np.int64).astype(np.uint64)
 
 
 def mixed(a: np.ndarray, b) -> np.ndarray:
@@ -55,12 +57,12 @@ class Block:
             place[self.starts[0]:] = np.arange(len(self.data) - self.starts[0]) - np.repeat(self.starts - self.starts[0], spans)
         return place
 
-    def hashes(self, prefix: int = 0) -> np.ndarray:
-        """By word; with prefix, of its first so many bytes only."""
+    def hashes(self, prefix: int = 0, value: np.ndarray = VALUE) -> np.ndarray:
+        """By word; with prefix, of its first so many bytes only; with value=EXACT, A-Z are themselves."""
         place = self._places()
         with np.errstate(over="ignore"):
             powers = np.cumprod(np.concatenate([[np.uint64(1)], np.full(int(place.max(initial=0)), np.uint64(0xD6E8FEB86659FD93))]), dtype=np.uint64)
-            terms = VALUE[self.data] * powers[place]
+            terms = value[self.data] * powers[place]
             if prefix:
                 terms[place >= prefix] = 0
             return mixed(self._sums(terms), np.uint64(prefix + 1))
