@@ -21,7 +21,7 @@ from ripplefold.llm.toxicity import without_toxic
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
     whole = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang")
-    return judged(whole).where("kept").select("_row.*")
+    return judged(whole, keep=["_row", "lang"]).where("kept").select("_row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

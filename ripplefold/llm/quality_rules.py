@@ -48,10 +48,11 @@ def _repeats(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.expr("aggregate(transform(_q, (q, i) -> least(3L, coalesce(get(_q, i + 1), q + 3) - q)), 0L, (a, x) -> a + x)"))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with the base measures and the two histograms `char_counts` and `word_counts`."""
-    keep = [c for c in docs.columns if c not in (*MEASURES, "char_counts", "word_counts", "_w", "_h", "_t", "_some", "_b", "_p", "_q", "_all", "_lines", "_common")]
-    df = docs.select(*keep).withColumn("_w", F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE, -1), ""))
+def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of docs (all by default) with the base measures and the two histograms `char_counts` and `word_counts`."""
+    own = docs.columns if keep is None else keep
+    keep = [c for c in own if c not in (*MEASURES, "char_counts", "word_counts", "_w", "_h", "_t", "_some", "_b", "_p", "_q", "_all", "_lines", "_common")]
+    df = docs.select(*keep, *(["text"] if "text" not in keep else [])).withColumn("_w", F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE, -1), ""))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
     df = _repeats(df.withColumn("n_words", F.col("n_words").cast("int")))
     df = df.withColumn("_all", F.array_join("_w", ""))
@@ -84,12 +85,12 @@ def _shares(values: list, total) -> list:
     return [v / total for v in values] + [1 - sum(v / total for v in values[1:]) - values[0] / total]
 
 
-def judged(docs: DataFrame, most_char_divergence: float = 0.33, most_word_divergence: float = 0.24, least_words_for_words: int = 120) -> DataFrame:
+def judged(docs: DataFrame, most_char_divergence: float = 0.33, most_word_divergence: float = 0.24, least_words_for_words: int = 120, keep: list[str] | None = None) -> DataFrame:
     """docs with the base measures, char_divergence, word_divergence and kept."""
-    table = written(measured(docs))
+    table = written(measured(docs, keep))
     own = {lang: [LISTED.index(w) for w in words] for lang, words in COMMON_WORDS.items()}
     sums = {}
-    if "lang" in docs.columns:
+    if "lang" in table.columns:
         parts = [F.sum(F.get("char_counts", i)).alias(f"c{i}") for i in range(len(CLASSES))] + [F.sum(F.get("word_counts", i)).alias(f"w{i}") for i in range(len(LISTED))]
         rows = table.where(~F.col("base_failed") & F.col("lang").isin(list(COMMON_WORDS))).groupBy("lang").agg(F.sum("word_chars").alias("chars"), F.sum("n_words").alias("words"), *parts).collect()  # one row for each listed language at most
         sums = {r["lang"]: r for r in rows}

@@ -20,7 +20,7 @@ def op1_lm_score(spark, sf_dir):
 
 
 def op2_quality_rules(spark, sf_dir):
-    return judged(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")).select(
+    return judged(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id", "lang"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_divergence", "word_divergence", "kept"
     )
 
