@@ -66,11 +66,11 @@ def tiers(num: int, den: int):
         least = most + 1
 
 
-def segment_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index of its set) for all sets. A set with few filled segments adds its empty ones: of two sets
+def segment_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, index of its set, size tier) for all sets. A set with few filled segments adds its empty ones: of two sets
     that share no filled segment both are of that kind, and then they share an empty one."""
     sizes = np.array([len(x) for x in sets], np.int64)
-    keys, owner = [], []
+    keys, owner, tier = [], [], []
     for number, (least, most, differ, segments) in enumerate(tiers(num, den)):
         if least > sizes.max(initial=0) * den // num:
             break
@@ -93,14 +93,17 @@ def segment_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray
             cell, content = np.concatenate([cell, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
         keys.append(mixed(content, (cell % segments).astype(np.uint64) + np.uint64(number << 32)))
         owner.append(own[cell // segments])
-    return (np.concatenate(keys), np.concatenate(owner)) if keys else (np.empty(0, np.uint64), np.empty(0, np.int64))
+        tier.append(np.full(len(cell), number))
+    none = np.empty(0, np.int64)
+    return (np.concatenate(keys), np.concatenate(owner), np.concatenate(tier)) if keys else (none.astype(np.uint64), none, none)
 
 
-def _sets_and_keys(width: int, num: int, den: int, n_buckets: int, flush_items: int = 1_500_000):
+def _sets_and_keys(width: int, num: int, den: int, n_buckets: int, flush_items: int = 600_000):
     def flush(nodes: dict[int, np.ndarray]):
         names = np.array(list(nodes), np.int64)
-        keys, owner = segment_keys(list(nodes.values()), num, den)
-        at = ((keys >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
+        keys, owner, tier = segment_keys(list(nodes.values()), num, den)
+        # a set's keys of one tier go to a few buckets only, so that its name need not travel with each of them
+        at = (tier * 7919 + (keys >> np.uint64(20)).astype(np.int64) % max(1, n_buckets // 8)) % n_buckets
         order = np.argsort(at, kind="stable")
         cuts = np.searchsorted(at[order], np.arange(n_buckets + 1))
         rows = []
@@ -108,12 +111,13 @@ def _sets_and_keys(width: int, num: int, den: int, n_buckets: int, flush_items:
             mine = order[cuts[b] : cuts[b + 1]]
             if len(mine):
                 mine = mine[np.argsort(owner[mine], kind="stable")]
-                rows.append((b, packed(keys[mine], owner[mine].astype(np.uint32), names)))
+                who, local = np.unique(owner[mine], return_inverse=True)
+                rows.append((b, packed(keys[mine], local.astype(np.uint32), names[who])))
         return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), *(pa.nulls(len(rows), pa.int64()) for _ in range(3)), pa.array([x for _, x in rows], pa.binary())], ["bucket", "doc_id", "node", "n", "blob"])
 
     def run(batches):
         nodes, size, seen = {}, 0, set()
-        for batch, block in text_blocks(batches):
+        for batch, block in text_blocks(batches, 1_500_000):
             sets = shingle_sets(block, width)
             names = [node_of(x) for x in sets]
             for name, items in zip(names, sets):
@@ -154,7 +158,7 @@ def _members(width: int):
     """The count vector and the set of each representative text that the join has brought in."""
 
     def run(batches):
-        for batch, block in text_blocks(batches):
+        for batch, block in text_blocks(batches, 1_500_000):
             want, keep, blobs = batch.column("node").to_pylist(), [], []
             for i, items in enumerate(shingle_sets(block, width)):
                 if node_of(items) == want[i]:
@@ -185,7 +189,7 @@ def _join_block(num: int, den: int):
     return run
 
 
-def join_documents(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, chars_per_bucket: int = 12_000_000) -> DataFrame:
+def join_documents(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, chars_per_bucket: int = 8_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; two link when den * intersection >= num * union."""
     texts = docs.select("doc_id", "text")
     n_buckets = buckets_for(texts, "text", chars_per_bucket)
