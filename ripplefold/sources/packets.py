@@ -134,5 +134,5 @@ def read_programs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_labelled_strings(spark: SparkSession, path: str, n_positive: int) -> DataFrame:
     """Strings of one file with its header line; the first n_positive of them are positive."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("id", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("id", "text"))
     return lines.where("id > 0 and text <> ''").select("id", F.when(F.col("id") <= n_positive, 1).otherwise(0).alias("label"), "text")
