@@ -66,9 +66,9 @@ def filter_segment(keys: np.ndarray, counts: np.ndarray, bits_per_entry: float,
 class LogFrequencyFilter:
     """Quantised counts by repeated membership probes."""
 
-    def __init__(self, segments: list[bytes]) -> None:
-        self.bits = np.frombuffer(b"".join(segments), np.uint8)
-        self.sizes = np.array([8 * len(x) for x in segments], np.uint64)
+    def __init__(self, content: bytes, sizes: list[int]) -> None:
+        self.bits = np.frombuffer(content, np.uint8)
+        self.sizes = np.array(sizes, np.uint64) * np.uint64(8)
         self.starts = starts_of(self.sizes)[:-1].astype(np.uint64)
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
@@ -111,7 +111,7 @@ def with_ends(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(block.hashes(), starts_of(block.counts)[1:], END), block.counts + 1
 
 
-def _gather(n_buckets: int, flush_tokens: int = 1_000_000):
+def _gather(n_buckets: int, flush_tokens: int = 600_000):
     """Per bucket: the training counts that a part of the task has seen, and which document asks for which token."""
 
     def flush(parts: list[tuple], number: int):
@@ -143,7 +143,7 @@ def _gather(n_buckets: int, flush_tokens: int = 1_000_000):
     def run(batches):
         parts, size = [], 0
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
-        for batch, block in text_blocks(batches):
+        for batch, block in text_blocks(batches, 1_000_000):
             hashed, lengths = with_ends(block)
             parts.append((hashed, lengths, np.array(batch.column("train").to_pylist(), bool), row_keys(batch, block)))
             size += len(hashed)
@@ -180,13 +180,17 @@ def _count(bits_per_entry: float, most_bits: int):
             if kind == "docs":
                 out.append(("docs", bucket, flush, 0, 0, blob))
             else:
-                parts.append((flush, unpacked(blob)))
-        one, n_one = _summed([p[0] for _, p in parts], [p[1] for _, p in parts])
-        two, n_two = _summed([p[2] for _, p in parts], [p[3] for _, p in parts])
+                parts.append((flush, blob))
+        counted = [unpacked(blob)[:4] for _, blob in parts]
+        one, n_one = _summed([p[0] for p in counted], [p[1] for p in counted])
+        two, n_two = _summed([p[2] for p in counted], [p[3] for p in counted])
+        del counted
         had = n_one > 0
         bits = filter_segment(np.concatenate([one[had], two]), np.concatenate([n_one[had], n_two]), bits_per_entry, most_bits)
         out.append(("filter", bucket, 0, int(n_one.sum()), int(had.sum()), bits.tobytes()))
-        for flush, (keys, _, _, _, who, what, times) in parts:
+        del two, n_two
+        for flush, blob in parts:
+            keys, _, _, _, who, what, times = unpacked(blob)
             c = n_one[np.searchsorted(one, keys)][what] if len(keys) else np.empty(0, np.int64)
             docs, inverse = np.unique(who, return_inverse=True)
             total = np.bincount(inverse, np.log10(c + 1.0) * times, len(docs))
@@ -218,7 +222,7 @@ def _score(model, n_train: int, n_types: int, pair_weight: float):
     def run(batches):
         grams: LogFrequencyFilter = model()
         floor = DISCOUNT * n_types / max(n_train, 1)
-        for batch, block in text_blocks(batches):
+        for batch, block in text_blocks(batches, 1_000_000):
             hashed, lengths = with_ends(block)
             seen, token = np.unique(hashed, return_inverse=True)
             single = grams.counts(seen)
@@ -240,7 +244,7 @@ def _score(model, n_train: int, n_types: int, pair_weight: float):
     return run
 
 
-def score_documents(docs: DataFrame, held_out_remainder: int = 2, modulus: int = 7, bits_per_entry: float = 8.0, max_filter_mb: int = 128, pair_weight: float = PAIR_WEIGHT, chars_per_bucket: int = 12_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, held_out_remainder: int = 2, modulus: int = 7, bits_per_entry: float = 8.0, max_filter_mb: int = 128, pair_weight: float = PAIR_WEIGHT, chars_per_bucket: int = 8_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), modulus) == held_out_remainder)
@@ -251,11 +255,13 @@ def score_documents(docs: DataFrame, held_out_remainder: int = 2, modulus: int =
     totals = gathered.where("kind = 'filter'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train, n_types = totals["n"] or 0, totals["v"] or 0
     segments = {r["bucket"]: bytes(r["blob"]) for r in gathered.where("kind = 'filter'").select("bucket", "blob").toLocalIterator()}
-    sent = spark.sparkContext.broadcast([segments.get(b, bytes(8)) for b in range(n_buckets)])
-    del segments
+    ordered = [segments.pop(b, bytes(8)) for b in range(n_buckets)]
+    sizes = [len(x) for x in ordered]
+    sent = spark.sparkContext.broadcast(b"".join(ordered))
+    del ordered
 
     def model():
-        return LogFrequencyFilter(sent.value)
+        return LogFrequencyFilter(sent.value, sizes)
 
     scored = texts.mapInArrow(_score(model, n_train, n_types, pair_weight), "doc_id long, held_out boolean, n_tokens long, key long, score double")
     base = gathered.where("kind <> 'filter'").groupBy("flush").applyInArrow(_base, "key long, log_counts double, n_known long")
