@@ -44,12 +44,13 @@ def bulk_load(sizes: np.ndarray, vectors: np.ndarray) -> Node:
     return level[0]
 
 
-def link_sets(names: list[int], sizes: np.ndarray, vectors: np.ndarray, sets: list[np.ndarray], num: int, den: int, forest: Forest, side: np.ndarray | None = None) -> None:
+def link_sets(names: list[int], sizes: np.ndarray, vectors: np.ndarray, sets: list[np.ndarray] | None, num: int, den: int, forest: Forest, side: np.ndarray | None = None) -> None:
     """Joins in `forest` every two sets with den * overlap >= num * union, by dual traversal of the R-tree.
 
     Two nodes are left out when the summed minima of their per-group maxima stay below the overlap that
     their smallest sizes need, or when all they hold is connected already; what survives is verified on
-    the sets themselves. With `side`, only pairs from different sides are looked at.
+    the sets themselves, or joined as it is where there are none. With `side`, only pairs from different
+    sides are looked at.
     """
     def one_root(node: Node):
         """The single component that a node lies in, or None; once single it stays so."""
@@ -90,6 +91,9 @@ def link_sets(names: list[int], sizes: np.ndarray, vectors: np.ndarray, sets: li
             p, q = int(a.members[i]), int(b.members[j])
             if p == q or (a is b and i > j) or (side is not None and side[p] == side[q]) or forest.root(names[p]) == forest.root(names[q]):
                 continue
+            if sets is None:
+                forest.join(names[p], names[q])
+                continue
             small, large = (sets[p], sets[q]) if sizes[p] <= sizes[q] else (sets[q], sets[p])
             at = np.minimum(np.searchsorted(large, small), len(large) - 1)
             if (large[at] == small).sum() >= needed(int(sizes[p]), int(sizes[q]), num, den):

@@ -158,37 +158,64 @@ def _members(width: int):
     """The count vector and the set of each representative text that the join has brought in."""
 
     def run(batches):
+        seen = set()  # repeated rows come once a task
         for batch, block in text_blocks(batches, 1_500_000):
-            want, keep, blobs = batch.column("node").to_pylist(), [], []
+            want, keep, blobs, vectors = batch.column("node").to_pylist(), [], [], []
             for i, items in enumerate(shingle_sets(block, width)):
-                if node_of(items) == want[i]:
+                if node_of(items) == want[i] and want[i] not in seen:
+                    seen.add(want[i])
                     keep.append(i)
                     blobs.append(items.tobytes())
+                    vectors.append(count_vector(items).tobytes())
             rest = batch.select([c for c in batch.schema.names if c != "text"]).take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(blobs, pa.binary())], [*rest.schema.names, "items"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(vectors, pa.binary()), pa.array(blobs, pa.binary())], [*rest.schema.names, "vector", "items"])
 
     return run
 
 
-def _join_block(num: int, den: int):
-    """Verified links among the members of one task: whole small groups, or two leaves of a large one."""
+def _join_block(num: int, den: int, verify: bool):
+    """Links among the members of one task: whole small groups, or two leaves of a large one. Without verify
+    the overlap bound alone decides, and no sets are needed."""
 
     def run(table: pa.Table) -> pa.Table:
-        group, leaf, node = (table.column(c).to_numpy() for c in ("grp", "leaf", "node"))
-        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()]
+        group, leaf, node, size = (table.column(c).to_numpy() for c in ("grp", "leaf", "node", "n"))
+        vectors = np.array([np.frombuffer(x, np.int32) for x in table.column("vector").to_pylist()])
+        items = [np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()] if verify else None
         order = np.lexsort((node, group))
         forest = Forest()
         for mine in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
             mine = mine[np.unique(node[mine], return_index=True)[1]]
-            sets = [items[i] for i in mine]
+            sets = [items[i] for i in mine] if verify else None
             sides = leaf[mine] if len(set(leaf[mine].tolist())) == 2 else None
-            link_sets(node[mine].tolist(), np.array([len(x) for x in sets], np.int64), np.array([count_vector(x) for x in sets]), sets, num, den, forest, sides)
+            link_sets(node[mine].tolist(), size[mine], vectors[mine], sets, num, den, forest, sides)
         u, v = forest.stars()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
 
 
+def _large_groups(members: DataFrame) -> DataFrame:
+    """grp, band, parts for groups over LEAF members: how many leaves each of their size bands needs."""
+    bands = members.groupBy("grp", "band").agg(F.count("*").alias("in_band"))
+    large = bands.groupBy("grp").agg(F.sum("in_band").alias("in_group")).where(F.col("in_group") > LEAF).select("grp")
+    return written(bands.join(large, "grp").select("grp", "band", F.ceil(F.col("in_band") / LEAF).cast("int").alias("parts")))
+
+
+def _in_tasks(members: DataFrame, large: DataFrame) -> DataFrame:
+    """Members with the task that looks at them: small groups share tasks; of a large group, each pair of leaves whose
+    size bands can hold a link is a task, and a leaf is the members of a band with one remainder of their hash."""
+    n_tasks = 4 * members.sparkSession.sparkContext.defaultParallelism + 4
+    leaf = lambda part: F.xxhash64("grp", "band", part)
+    leaves = large.select("grp", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("grp", "band", leaf("part").alias("leaf"))
+    other = leaves.select("grp", F.col("band").alias("band2"), F.col("leaf").alias("leaf2"))
+    pairs = leaves.join(other, "grp").where("abs(band - band2) <= 1 and leaf <= leaf2").withColumn("task", F.xxhash64("leaf", "leaf2"))
+    tasks = pairs.select("leaf", "task").unionByName(pairs.where("leaf <> leaf2").select(F.col("leaf2").alias("leaf"), "task"))
+    split = members.join(large, ["grp", "band"], "left")
+    apart = split.where("parts is not null").withColumn("leaf", leaf(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).join(tasks, "leaf")
+    whole = split.where("parts is null").withColumn("leaf", F.lit(0).cast("long")).withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(n_tasks)))
+    return whole.select("task", "leaf", *members.columns).unionByName(apart.select("task", "leaf", *members.columns))
+
+
 def join_documents(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, chars_per_bucket: int = 8_000_000) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs; two link when den * intersection >= num * union."""
     texts = docs.select("doc_id", "text")
@@ -198,31 +225,21 @@ def join_documents(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     chains = gathered.where("bucket is not null").select("bucket", "blob").repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_chains, LINKS)
     groups = components(chains).withColumnRenamed("component", "grp")
 
-    # one text for each class that has a candidate, and the task or the leaf that it goes to
+    # one text for each class that has a candidate
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    chosen = written(sets.join(groups, "node").groupBy("node", "grp", "n").agg(F.min("doc_id").alias("doc_id")).withColumn("band", band))
-    in_band = chosen.groupBy("grp", "band").agg(F.count("*").alias("in_band"))
-    in_group = in_band.groupBy("grp").agg(F.sum("in_band").alias("in_group"))
-    tasks = max(8, chosen.count() // LEAF)
-    leaves = in_band.join(in_group.where(F.col("in_group") > LEAF), "grp").select("grp", "band", F.explode(F.sequence(F.lit(0), F.floor((F.col("in_band") - 1) / LEAF).cast("int"))).alias("part"), F.ceil(F.col("in_band") / LEAF).cast("int").alias("parts"))
-    leaves = leaves.withColumn("leaf", F.xxhash64("grp", "band", "part"))
-    other = leaves.select("grp", F.col("band").alias("band2"), F.col("leaf").alias("leaf2"))
-    pairs = leaves.join(other, "grp").where("abs(band - band2) <= 1 and leaf <= leaf2").withColumn("task", F.xxhash64("leaf", "leaf2"))
-    both = pairs.select("grp", "leaf", "task", "band", "part", "parts").unionByName(pairs.where("leaf <> leaf2").select("grp", F.col("leaf2").alias("leaf"), "task", F.col("band2").alias("band"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("int").alias("parts")))
-    both = both.select("leaf", "task")
-
-    columns = ["node", "grp", "n", "band", "doc_id"]
-    wanted = chosen.select("node", "grp", "band", F.col("doc_id").alias("rep")).join(in_group, "grp")
-    n_wanted = chosen.count()
-    side = F.broadcast(wanted) if n_wanted <= BROADCAST_ROWS else wanted
-    brought = texts.join(side, texts.doc_id.eqNullSafe(side.rep)).select("text", "node", "grp", "band", "in_group")
-    members = written(brought.mapInArrow(_members(width), "node long, grp long, band int, in_group long, items binary"))
-
-    small = members.where(F.col("in_group") <= LEAF).select(F.pmod(F.xxhash64("grp"), F.lit(tasks)).alias("task"), "grp", F.lit(0).cast("long").alias("leaf"), "node", "items")
-    parts = leaves.select("grp", "band", "parts").distinct()
-    large = members.where(F.col("in_group") > LEAF).join(parts, ["grp", "band"])
-    large = large.withColumn("leaf", F.xxhash64("grp", "band", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).join(both, "leaf").select("task", "grp", "leaf", "node", "items")
-    links = written(small.unionByName(large).groupBy("task").applyInArrow(_join_block(num, den), LINKS))
+    chosen = written(sets.join(groups, "node").groupBy("node", "grp", "n").agg(F.min("doc_id").alias("rep")).withColumn("band", band))
+    side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
+    brought = texts.join(side, texts.doc_id.eqNullSafe(side.rep)).select("text", "node", "grp", "n", "band")
+    members = written(brought.mapInArrow(_members(width), "node long, grp long, n long, band int, vector binary, items binary"))
+
+    # large groups are taken apart by the bound alone, on vectors only, before any set travels
+    large = _large_groups(members.select("node", "grp", "band"))
+    vectors = members.join(large.select("grp").distinct(), "grp", "left_semi").select("node", "grp", "n", "band", "vector")
+    bound = written(_in_tasks(vectors, large).groupBy("task").applyInArrow(_join_block(num, den, False), LINKS))
+    finer = components(bound).withColumnRenamed("component", "finer")
+    members = members.join(large.select(F.col("grp").alias("_large")).distinct(), F.col("grp") == F.col("_large"), "left").join(finer, "node", "left")
+    members = members.where("_large is null or finer is not null").select("node", F.coalesce("finer", "grp").alias("grp"), "n", "band", "vector", "items")
+    links = written(_in_tasks(members, _large_groups(members.select("node", "grp", "band"))).groupBy("task").applyInArrow(_join_block(num, den, True), LINKS))
 
     label = components(links)
     named = sets.where("n > 0").join(label, "node", "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("component"))
