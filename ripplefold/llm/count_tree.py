@@ -7,7 +7,7 @@ import numpy as np
 from ripplefold.llm.common import Forest
 
 GROUPS = 64
-FANOUT = 16
+FANOUT = 64
 
 
 def count_vector(items: np.ndarray) -> np.ndarray:

@@ -3,7 +3,8 @@
 A text's set holds its distinct word shingles, hashed to 64 bits. Texts with the same set are one class
 from the start, so that copies cost nothing further. Candidates: a set is divided by hash into so many
 segments that two sets with enough overlap must agree exactly in one of them (at most D items differ
-between two such sets, and there are more than D segments); classes that share a segment are chained,
+between two such sets, and there are more than D segments); of its filled segments a set keeps the D + 1
+fullest; classes that share a segment are chained,
 which keeps the number of links linear, and the connected chains become candidate groups. Within a
 candidate group a count-vector R-tree (see count_tree) bounds overlaps by summed minima and verifies the
 surviving pairs. Large groups are cut into leaves of bounded size; pairs of leaves go to separate tasks.
@@ -62,7 +63,7 @@ def tiers(num: int, den: int):
     while True:
         most = max(least, int(least * 1.5))
         differ = 2 * most * (den - num) // (den + num)
-        yield least, most, differ, differ + 1 + differ // 20 + 2
+        yield least, most, differ, (differ + 1) * 7 // 5 + 2
         least = most + 1
 
 
@@ -84,12 +85,20 @@ def segment_keys(sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         with np.errstate(over="ignore"):
             content = np.add.reduceat(mixed(items[order], np.uint64(9)), first)
+        held = np.diff(np.concatenate([first, [len(cell)]]))
         cell = cell[first]
         filled = np.bincount(cell // segments, minlength=len(own))
+        # Of two linked sets all but `differ` filled segments agree, so each may leave out all but its differ + 1
+        # fullest ones: in that order, the same for both, the fullest one that they share stays on either side.
+        order = np.lexsort((content, -held, cell // segments))
+        place = np.arange(len(cell)) - np.repeat(starts_of(filled)[:-1], filled)
+        kept = order[place <= differ]
+        everything = cell
+        cell, content = cell[kept], content[kept]
         poor = np.flatnonzero(filled <= differ)
         if len(poor):
             every = (poor[:, None] * segments + np.arange(segments)).ravel()
-            empty = np.setdiff1d(every, cell)
+            empty = np.setdiff1d(every, everything)
             cell, content = np.concatenate([cell, empty]), np.concatenate([content, np.zeros(len(empty), np.uint64)])
         keys.append(mixed(content, (cell % segments).astype(np.uint64) + np.uint64(number << 32)))
         owner.append(own[cell // segments])

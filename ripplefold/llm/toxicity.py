@@ -23,7 +23,7 @@ from ripplefold.llm.common import packed, remainder, unpacked
 from ripplefold.llm.labelled import labelled_sample
 from ripplefold.llm.words import Block, mixed, text_blocks
 
-PER_CLASS = 3000
+PER_CLASS = 2000
 PREFIX = 5
 FEATURES = 3000
 MINED_VOTERS = 12
