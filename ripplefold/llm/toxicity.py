@@ -60,8 +60,9 @@ def _term_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "x"])
 
 
-def mined_terms(terms: list[np.ndarray], y: np.ndarray, least: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Terms found in at least so many sample texts, with their smoothed log odds between the classes."""
+def mined_terms(terms: list[np.ndarray], y: np.ndarray, least: int = 4, certain: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
+    """Terms found in at least so many sample texts, with their smoothed log odds between the classes; only
+    those whose odds stand out by `certain` standard errors."""
     def counted(rows):
         return np.unique(np.concatenate(rows), return_counts=True) if rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
@@ -71,7 +72,8 @@ def mined_terms(terms: list[np.ndarray], y: np.ndarray, least: int = 5) -> tuple
     pos[np.searchsorted(every, t1)] = n1
     neg[np.searchsorted(every, t0)] = n0
     odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
-    keep = pos + neg >= least
+    error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
+    keep = (pos + neg >= least) & (np.abs(odds) > certain * error)
     return every[keep], odds[keep]
 
 
