@@ -13,6 +13,8 @@ import numpy as np
 from ripplefold.llm.words import EXACT, Block, starts_of
 
 DEFAULT = "word_bpe_49k.json"
+BAR = np.zeros(256, np.int64)
+BAR[ord("|")] = 1
 
 
 def vocabulary(path: str | None = None) -> str:
@@ -54,7 +56,12 @@ class WordCodes:
         """For each word of the block, where its ids are kept."""
         if len(self.slot) > self.most:
             self.clear()
-        seen, first, inverse = np.unique(block.hashes(value=EXACT), return_index=True, return_inverse=True)
+        # the tokenizer lower-cases, so A-Z needn't be told apart, but for its special strings, which all hold a bar
+        named = block.hashes()
+        bar = block.sums(BAR) > 0
+        if bar.any():
+            named = np.where(bar, block.hashes(value=EXACT), named)
+        seen, first, inverse = np.unique(named, return_index=True, return_inverse=True)
         slots = np.fromiter((self.slot.get(h, -1) for h in seen.tolist()), np.int64, len(seen))
         new = np.flatnonzero(slots < 0)
         if len(new):

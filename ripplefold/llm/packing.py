@@ -23,7 +23,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from ripplefold.llm.bpe_words import WordCodes, vocabulary
-from ripplefold.llm.common import packed  # noqa: F401
 from ripplefold.llm.words import starts_of, text_blocks
 
 TIERS = (256, 512, 1024, 2048)
@@ -124,7 +123,7 @@ def _pack(sent, tiers: tuple[int, ...], end_id: int, flush_tokens: int = 6_000_0
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], fields), len(sequences), max(groups, default=-1) + 1
 
     def run(batches):
-        codes = WordCodes(sent.value)
+        codes = WordCodes(sent.value, most=700_000)
         first = group0 = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         ids_of, names, size = [], [], 0
         for batch, block in text_blocks(batches):
