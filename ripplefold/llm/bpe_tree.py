@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ripplefold.llm.bpe_words import WordCodes, tokenizer, vocabulary
+from ripplefold.llm.bpe_words import WordCodes, signs_apart, tokenizer, vocabulary
 from ripplefold.llm.common import packed, unpacked, written
 from ripplefold.llm.words import starts_of, text_blocks
 
@@ -112,7 +112,7 @@ def _short(sent):
     def run(batches):
         codes = WordCodes(sent.value)
         for batch, block in text_blocks(batches):
-            slots = codes.slots(block, strings=True)
+            slots = codes.slots(signs_apart(block), strings=True)
             at = starts_of(block.counts)
             total = starts_of(codes.lengths[slots]) if len(slots) else np.zeros(1, np.int64)
             rows = []

@@ -44,8 +44,12 @@ class Block:
         begins[1:] &= ~is_word[:-1]
         inside = offsets[:-1][offsets[:-1] < len(data)]
         begins[inside] = is_word[inside]
-        self.starts = np.flatnonzero(begins)
-        self.counts = np.diff(np.searchsorted(self.starts, offsets))  # words of each text
+        self.start_at(np.flatnonzero(begins))
+
+    def start_at(self, starts: np.ndarray) -> None:
+        """Takes these places, which are sorted, for the starts of the words."""
+        self.starts = starts
+        self.counts = np.diff(np.searchsorted(starts, self.offsets))  # words of each text
 
     def _sums(self, terms: np.ndarray) -> np.ndarray:
         return np.add.reduceat(terms, self.starts) if len(self.starts) else np.empty(0, terms.dtype)

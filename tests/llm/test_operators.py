@@ -239,3 +239,26 @@ def test_pipeline(spark):
     pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert len(pieces) > 50 and {"doc_id", "sequence_id"} <= set(pieces[0].asDict())
     assert [name for name, _ in corpus_pipeline.STAGES][-1] == "packing"
+
+
+def test_words_are_encoded_as_in_whole_texts():
+    """Signs parted from words, over a mix of characters that meet, compose and case-fold."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from ripplefold.llm.bpe_words import WordCodes, signs_apart
+    from ripplefold.llm.words import starts_of, text_blocks
+
+    draw = random.Random(1)
+    characters = [*"aZéß×÷漢'sÃ.,~<|=-“—🙂3²ªİΣ_\\^`[ \n", "ll", "̸", "́", "\xa0", "<|endoftext|>"]
+    texts = ["".join(draw.choices(characters, k=draw.randint(0, 14))) for _ in range(5000)] + ["", None, "a", "."]
+    codes, codec = WordCodes(vocabulary()), tokenizer(vocabulary())
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    found = []
+    for part, block in text_blocks([batch], 10_000):
+        slots = codes.slots(signs_apart(block), strings=False)
+        at = starts_of(codes.lengths[slots])[starts_of(block.counts)]
+        found += [x.tolist() for x in np.split(codes.ids(slots), at[1:-1])]
+    assert found == [codec.encode(t or "", add_special_tokens=False).ids for t in texts]
