@@ -246,9 +246,14 @@ def join_documents(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     vectors = members.join(large.select("grp").distinct(), "grp", "left_semi").select("node", "grp", "n", "band", "vector")
     bound = written(_in_tasks(vectors, large).groupBy("task").applyInArrow(_join_block(num, den, False), LINKS))
     finer = components(bound).withColumnRenamed("component", "finer")
-    members = members.join(large.select(F.col("grp").alias("_large")).distinct(), F.col("grp") == F.col("_large"), "left").join(finer, "node", "left")
-    members = members.where("_large is null or finer is not null").select("node", F.coalesce("finer", "grp").alias("grp"), "n", "band", "vector", "items")
-    links = written(_in_tasks(members, _large_groups(members.select("node", "grp", "band"))).groupBy("task").applyInArrow(_join_block(num, den, True), LINKS))
+    # tasks are dealt on names alone; vectors and sets then travel once, straight to their tasks
+    names = members.select("node", "grp", "n", "band").distinct()
+    names = names.join(large.select(F.col("grp").alias("_large")).distinct(), F.col("grp") == F.col("_large"), "left").join(finer, "node", "left")
+    names = written(names.where("_large is null or finer is not null").select("node", F.coalesce("finer", "grp").alias("grp"), "n", "band"))
+    dealt = written(_in_tasks(names, _large_groups(names.select("node", "grp", "band"))))
+    side = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
+    placed = members.select("node", "vector", "items").join(side, "node")
+    links = written(placed.groupBy("task").applyInArrow(_join_block(num, den, True), LINKS))
 
     label = components(links)
     named = sets.where("n > 0").join(label, "node", "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("component"))
