@@ -2,14 +2,14 @@
 
 Counts of single tokens and of token pairs are gathered over the whole training part, hash bucket by
 hash bucket. Each bucket turns its counts into a segment of one Bloom filter: an n-gram with count c is
-entered under the levels 1..q, where q = 1 + floor(log(c) / log(step)). The filter is broadcast; the
-scoring tasks find a quantised count by probing level after level until one is missing, and interpolate
-the pair estimate with a discounted single-token estimate.
-
-Contract: the filter takes `bits_per_entry` for each entry up to `max_filter_mb` in all (that bound makes
-it safe to broadcast); past that every n-gram is still entered, with fewer bits each and so more false
-positives. Null or empty texts have one token, the end. A null doc_id counts as a training row. Repeated
-rows give repeated results. Other columns of the input are ignored. An empty table gives no rows.
+entered under the levels 1..q, where q = 1 + floor(log(c) / log(step)). The same task probes its segment
+level after level, until one is missing, for all n-grams that any text holds, and sends the levels back to
+the parts of the corpus that asked. A part interpolates the pair estimate with a discounted single-token
+estimate. No task and no driver ever holds the whole filter.
+
+Contract: the filter takes `bits_per_entry` for each entry, whatever the size of the corpus. Null or empty
+texts have one token, the end. A null doc_id counts as a training row. Repeated rows give repeated
+results. Other columns of the input are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,13 +18,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplefold.llm.common import buckets_for, packed, remainder, unpacked, written
-from ripplefold.llm.words import Block, mixed, signed, starts_of, text_blocks
+from ripplefold.llm.words import Block, mixed, starts_of, text_blocks
 
 END = np.uint64(0x5E4D3C2B1A090807)
 HASHES = 4
@@ -53,10 +52,12 @@ def bit_places(keys: np.ndarray, level: int, n_bits: np.ndarray | int) -> np.nda
         return np.stack([(((a + b * np.uint64(i * i + i)) & mask) * size) >> np.uint64(32) for i in range(HASHES)])
 
 
-def filter_segment(keys: np.ndarray, counts: np.ndarray, bits_per_entry: float, most_bits: int) -> np.ndarray:
+def filter_segment(keys: np.ndarray, counts: np.ndarray, bits_per_entry: float, most_bits: int = 2**32) -> np.ndarray:
     """The filter's bytes for one bucket's n-grams."""
     levels = level_of(counts)
-    n_bits = int(min(max(64, levels.sum() * bits_per_entry), most_bits, 2**31)) // 8 * 8
+    n_bits = int(max(64, levels.sum() * bits_per_entry)) // 8 * 8
+    if n_bits > most_bits:
+        raise ValueError(f"a filter segment needs {n_bits} bits, over {most_bits}; use more buckets")
     bits = np.zeros(n_bits, bool)
     for j in range(1, int(levels.max(initial=0)) + 1):
         bits[bit_places(keys[levels >= j], j, n_bits).ravel()] = True
@@ -64,18 +65,18 @@ def filter_segment(keys: np.ndarray, counts: np.ndarray, bits_per_entry: float,
 
 
 class LogFrequencyFilter:
-    """Quantised counts by repeated membership probes."""
+    """Quantised counts by repeated membership probes, up to the highest level that was entered, where that is given."""
 
-    def __init__(self, content: bytes, sizes: list[int]) -> None:
-        self.bits = np.frombuffer(content, np.uint8)
+    def __init__(self, content: bytes, sizes: list[int], top: int = 2 * int(level_of(np.array([2**62]))[0])) -> None:
+        self.bits, self.top = np.frombuffer(content, np.uint8), top
         self.sizes = np.array(sizes, np.uint64) * np.uint64(8)
         self.starts = starts_of(self.sizes)[:-1].astype(np.uint64)
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
+    def levels(self, keys: np.ndarray) -> np.ndarray:
         at = bucket_of(keys, len(self.sizes))
         size, start = self.sizes[at], self.starts[at]
         level, live, j = np.zeros(len(keys), np.int64), np.arange(len(keys)), 1
-        while len(live):
+        while len(live) and j <= self.top:
             places, who = bit_places(keys[live], j, size[live]) + start[live], np.arange(len(live))
             for p in places:
                 p = p[who]
@@ -83,7 +84,10 @@ class LogFrequencyFilter:
             live = live[who]
             level[live] = j
             j += 1
-        return count_of(level)
+        return level
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        return count_of(self.levels(keys))
 
 
 def bucket_of(keys: np.ndarray, n: int) -> np.ndarray:
@@ -97,13 +101,16 @@ def by_bucket(at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))])
 
 
-def row_key(doc_id, text) -> int:
-    return xxhash.xxh3_64_intdigest(f"{doc_id}|".encode() + bytes(text))
+def squeezed(keys: np.ndarray, n: int) -> np.ndarray:
+    """One bucket's ascending keys, of n buckets, without what the bucket tells: differences (modulo 2^64), byte by byte, for the compressor."""
+    x = (keys >> np.uint64(17)) // np.uint64(n) << np.uint64(17) | keys & np.uint64(0x1FFFF)
+    x[1:] -= x[:-1].copy()
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
 
 
-def row_keys(batch: pa.RecordBatch, block: Block) -> np.ndarray:
-    """A hash of (doc_id, text) for each row."""
-    return np.array([row_key(i, block.data[a:b]) for i, a, b in zip(batch.column("doc_id").to_pylist(), block.offsets, block.offsets[1:])], np.uint64)
+def restored(planes: np.ndarray, n: int, bucket: int) -> np.ndarray:
+    x = np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+    return ((x >> np.uint64(17)) * np.uint64(n) + np.uint64(bucket)) << np.uint64(17) | x & np.uint64(0x1FFFF)
 
 
 def with_ends(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -111,33 +118,33 @@ def with_ends(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(block.hashes(), starts_of(block.counts)[1:], END), block.counts + 1
 
 
+def _pairs(hashed: np.ndarray) -> np.ndarray:
+    return mixed(np.concatenate([[END], hashed[:-1]]), hashed)
+
+
 def _gather(n_buckets: int, flush_tokens: int = 600_000):
-    """Per bucket: the training counts that a part of the task has seen, and which document asks for which token."""
+    """Per bucket: the n-grams of a part of the task and how often its training texts hold them; per part: its texts as tokens."""
 
     def flush(parts: list[tuple], number: int):
-        hashed, lengths, train, keys = (np.concatenate(x) for x in zip(*parts))
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        learns = train[doc]
+        hashed, lengths, train, ids = (np.concatenate(x) for x in zip(*parts))
+        learns = np.repeat(train, lengths)
         seen, token = np.unique(hashed, return_inverse=True)
         single = np.bincount(token[learns], minlength=len(seen))
-        request = doc * np.int64(len(seen)) + token
-        request.sort()
-        first = np.flatnonzero(np.concatenate([[True], request[1:] != request[:-1]]))
-        times, request = np.diff(np.concatenate([first, [len(request)]])), request[first]
-        who, what = request // len(seen), request % len(seen)
-        before = np.concatenate([[END], hashed[:-1]])
-        pair, pair_n = np.unique(mixed(before[learns], hashed[learns]), return_counts=True)
+        pair, which = np.unique(_pairs(hashed), return_inverse=True)
+        pair_n = np.bincount(which[learns], minlength=len(pair))
         o1, s1 = by_bucket(bucket_of(seen, n_buckets), n_buckets)
         o2, s2 = by_bucket(bucket_of(pair, n_buckets), n_buckets)
-        o3, s3 = by_bucket(bucket_of(seen, n_buckets)[what], n_buckets)
-        local = np.empty(len(seen), np.int64)
         out = []
         for b in range(n_buckets):
-            mine, two, ask = o1[s1[b] : s1[b + 1]], o2[s2[b] : s2[b + 1]], o3[s3[b] : s3[b + 1]]
+            mine, two = o1[s1[b] : s1[b + 1]], o2[s2[b] : s2[b + 1]]
             if len(mine) or len(two):
-                local[mine] = np.arange(len(mine))
-                out.append(("part", b, number, 0, 0, packed(seen[mine], single[mine].astype(np.uint32), pair[two], pair_n[two].astype(np.uint32), who[ask].astype(np.uint32), local[what[ask]].astype(np.uint32), times[ask].astype(np.uint32))))
-        out.append(("docs", number % n_buckets, number, 0, 0, packed(keys, lengths)))
+                out.append(("part", b, number, 0, 0, packed(squeezed(seen[mine], n_buckets), single[mine].astype(np.uint32), squeezed(pair[two], n_buckets), pair_n[two].astype(np.uint32))))
+        # tokens go by falling frequency, so that most of their upper bytes are 0; equally frequent ones stand by key
+        common = np.argsort(-np.bincount(token), kind="stable")
+        rank = np.empty(len(seen), np.uint32)
+        rank[common] = np.arange(len(seen), dtype=np.uint32)
+        ranks = rank[token]
+        out.append(("docs", number % n_buckets, number, 0, 0, packed(ids, train, lengths, squeezed(seen[common], 1), ranks.astype(np.uint8), (ranks >> 8).astype(np.uint8), (ranks >> 16).astype(np.uint16))))
         return record(out)
 
     def run(batches):
@@ -145,7 +152,7 @@ def _gather(n_buckets: int, flush_tokens: int = 600_000):
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 24
         for batch, block in text_blocks(batches, 1_000_000):
             hashed, lengths = with_ends(block)
-            parts.append((hashed, lengths, np.array(batch.column("train").to_pylist(), bool), row_keys(batch, block)))
+            parts.append((hashed, lengths, np.array(batch.column("train").to_pylist(), bool), np.array(batch.column("doc_id").to_pylist(), object)))
             size += len(hashed)
             if size >= flush_tokens:
                 yield flush(parts, number)
@@ -170,8 +177,8 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return all_keys[first], np.add.reduceat(all_counts, first) if len(first) else all_counts
 
 
-def _count(bits_per_entry: float, most_bits: int):
-    """One bucket: counts of all tasks, its filter segment, and for each part the sums of its documents."""
+def _count(n_buckets: int, bits_per_entry: float, probe: int = 200_000):
+    """One bucket: counts of all tasks, its filter segment, and for each part the counts and levels of its n-grams."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -181,93 +188,78 @@ def _count(bits_per_entry: float, most_bits: int):
                 out.append(("docs", bucket, flush, 0, 0, blob))
             else:
                 parts.append((flush, blob))
-        counted = [unpacked(blob)[:4] for _, blob in parts]
-        one, n_one = _summed([p[0] for p in counted], [p[1] for p in counted])
-        two, n_two = _summed([p[2] for p in counted], [p[3] for p in counted])
+        counted = [unpacked(blob) for _, blob in parts]
+        one, n_one = _summed([restored(p[0], n_buckets, bucket) for p in counted], [p[1] for p in counted])
+        two, n_two = _summed([restored(p[2], n_buckets, bucket) for p in counted], [p[3] for p in counted])
         del counted
-        had = n_one > 0
-        bits = filter_segment(np.concatenate([one[had], two]), np.concatenate([n_one[had], n_two]), bits_per_entry, most_bits)
-        out.append(("filter", bucket, 0, int(n_one.sum()), int(had.sum()), bits.tobytes()))
-        del two, n_two
+        entered, times = np.concatenate([one[n_one > 0], two[n_two > 0]]), np.concatenate([n_one[n_one > 0], n_two[n_two > 0]])
+        segment = filter_segment(entered, times, bits_per_entry)
+        grams = LogFrequencyFilter(segment.tobytes(), [len(segment)], int(level_of(times).max(initial=0)))
+        del entered, times, n_two
+        probed = lambda keys: np.concatenate([np.empty(0, np.uint8), *(grams.levels(keys[i : i + probe]).astype(np.uint8) for i in range(0, len(keys), probe))])
+        level_one, level_two = probed(one), probed(two)
+        out.append(("filter", bucket, 0, int(n_one.sum()), int((n_one > 0).sum()), None))
         for flush, blob in parts:
-            keys, _, _, _, who, what, times = unpacked(blob)
-            c = n_one[np.searchsorted(one, keys)][what] if len(keys) else np.empty(0, np.int64)
-            docs, inverse = np.unique(who, return_inverse=True)
-            total = np.bincount(inverse, np.log10(c + 1.0) * times, len(docs))
-            known = np.bincount(inverse, times * (c > 0), len(docs)).astype(np.uint32)
-            out.append(("sums", bucket, flush, 0, 0, packed(docs.astype(np.uint32), total, known)))
+            keys, _, pairs, _ = unpacked(blob)
+            at = np.searchsorted(one, restored(keys, n_buckets, bucket))
+            out.append(("levels", bucket, flush, 0, 0, packed(n_one[at], level_one[at], level_two[np.searchsorted(two, restored(pairs, n_buckets, bucket))])))
         return pa.Table.from_batches([record(out)])
 
     return run
 
 
-def _base(table: pa.Table) -> pa.Table:
-    """The sums of one part's documents over all buckets."""
-    sums, docs = [], None
-    for kind, blob in zip(table.column("kind").to_pylist(), table.column("blob").to_pylist()):
-        if kind == "docs":
-            docs = unpacked(blob)
-        else:
-            sums.append(unpacked(blob))
-    keys, lengths = docs
-    total, known = np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-    for who, x, k in sums:
-        total[who] += x
-        known[who] += k
-    keys, first = np.unique(keys, return_index=True)
-    return pa.table({"key": signed(keys), "log_counts": total[first], "n_known": known[first]})
-
-
-def _score(model, n_train: int, n_types: int, pair_weight: float):
-    def run(batches):
-        grams: LogFrequencyFilter = model()
+def _score(n_buckets: int, n_train: int, n_types: int, pair_weight: float):
+    """The texts of one part, from the counts and levels that all buckets sent back."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found, docs = {}, None
+        for kind, bucket, blob in zip(*(table.column(c).to_pylist() for c in ("kind", "bucket", "blob"))):
+            if kind == "docs":
+                docs = unpacked(blob)
+            else:
+                found[bucket] = blob
+        ids, train, lengths, seen, low, middle, high = docs
+        seen = restored(seen, 1, 0)
+        token = low.astype(np.int64) | middle.astype(np.int64) << 8 | high.astype(np.int64) << 16
+        # the keys that went to a bucket went in ascending order, and so come back
+        place = np.argsort(seen, kind="stable")
+        pair, which = np.unique(_pairs(seen[token]), return_inverse=True)
+        o1, s1 = by_bucket(bucket_of(seen[place], n_buckets), n_buckets)
+        o2, s2 = by_bucket(bucket_of(pair, n_buckets), n_buckets)
+        count, level, level_two = np.zeros(len(seen)), np.zeros(len(seen), np.int64), np.zeros(len(pair), np.int64)
+        for b, blob in found.items():
+            mine = place[o1[s1[b] : s1[b + 1]]]
+            count[mine], level[mine], level_two[o2[s2[b] : s2[b + 1]]] = unpacked(blob)
+        starts = starts_of(lengths)[:-1]
+        total = np.add.reduceat(np.log10(count + 1.0)[token], starts)
+        known = np.add.reduceat((count > 0)[token].astype(np.int64), starts)
+        single = count_of(level)
         floor = DISCOUNT * n_types / max(n_train, 1)
-        for batch, block in text_blocks(batches, 1_000_000):
-            hashed, lengths = with_ends(block)
-            seen, token = np.unique(hashed, return_inverse=True)
-            single = grams.counts(seen)
-            alone = np.where(single > 0, np.maximum(single - DISCOUNT, 0.05) / max(n_train, 1), floor)
-            before = np.concatenate([[END], hashed[:-1]])
-            single_before = np.concatenate([single[np.searchsorted(seen, [END])], single[token[:-1]]])
-            single, alone = single[token], alone[token]
-            both = np.zeros(len(hashed))
-            can = np.flatnonzero((single > 0) & (single_before > 0))
-            both[can] = grams.counts(mixed(before[can], hashed[can]))
-            both = np.minimum(both, np.minimum(single, single_before))
-            p = (both + pair_weight * alone) / (single_before + pair_weight)
-            score = np.add.reduceat(np.log10(np.clip(p, 1e-300, 1.0)), starts_of(lengths)[:-1])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(lengths), pa.array(signed(row_keys(batch, block))), pa.array(score)],
-                ["doc_id", "held_out", "n_tokens", "key", "score"],
-            )
+        alone = np.where(single > 0, np.maximum(single - DISCOUNT, 0.05) / max(n_train, 1), floor)[token]
+        single_before = np.concatenate([single[np.flatnonzero(seen == END)], single[token[:-1]]])
+        single = single[token]
+        both = np.where((single > 0) & (single_before > 0), count_of(level_two)[which], 0.0)
+        both = np.minimum(both, np.minimum(single, single_before))
+        p = (both + pair_weight * alone) / (single_before + pair_weight)
+        score = np.add.reduceat(np.log10(np.clip(p, 1e-300, 1.0)), starts)
+        return pa.table({"doc_id": pa.array(ids.tolist(), pa.int64()), "held_out": ~train, "n_tokens": lengths.astype(np.int64), "n_known": known, "log_counts": total, "score": score})
 
     return run
 
 
-def score_documents(docs: DataFrame, held_out_remainder: int = 2, modulus: int = 7, bits_per_entry: float = 8.0, max_filter_mb: int = 128, pair_weight: float = PAIR_WEIGHT, chars_per_bucket: int = 8_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, held_out_remainder: int = 2, modulus: int = 7, bits_per_entry: float = 8.0, pair_weight: float = PAIR_WEIGHT, chars_per_bucket: int = 8_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", "text").withColumn("held_out", remainder(F.col("doc_id"), modulus) == held_out_remainder)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(F.col("doc_id"), modulus) != held_out_remainder).alias("train"))
     n_buckets = buckets_for(texts, "text", chars_per_bucket)
-    most_bits = max_filter_mb * 8_000_000 // n_buckets
-    parts = texts.select("doc_id", "text", (~F.col("held_out")).alias("train")).mapInArrow(_gather(n_buckets), GATHERED)
-    gathered = written(parts.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_count(bits_per_entry, most_bits), GATHERED))
+    parts = texts.mapInArrow(_gather(n_buckets), GATHERED)
+    gathered = written(parts.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_count(n_buckets, bits_per_entry), GATHERED))
     totals = gathered.where("kind = 'filter'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train, n_types = totals["n"] or 0, totals["v"] or 0
-    segments = {r["bucket"]: bytes(r["blob"]) for r in gathered.where("kind = 'filter'").select("bucket", "blob").toLocalIterator()}
-    ordered = [segments.pop(b, bytes(8)) for b in range(n_buckets)]
-    sizes = [len(x) for x in ordered]
-    sent = spark.sparkContext.broadcast(b"".join(ordered))
-    del ordered
-
-    def model():
-        return LogFrequencyFilter(sent.value, sizes)
-
-    scored = texts.mapInArrow(_score(model, n_train, n_types, pair_weight), "doc_id long, held_out boolean, n_tokens long, key long, score double")
-    base = gathered.where("kind <> 'filter'").groupBy("flush").applyInArrow(_base, "key long, log_counts double, n_known long")
-    base = base.groupBy("key").agg(F.first("log_counts").alias("log_counts"), F.first("n_known").alias("n_known"))
+    scored = gathered.where("kind <> 'filter'").repartition(n_buckets, "flush").groupBy("flush").applyInArrow(
+        _score(n_buckets, n_train, n_types, pair_weight), "doc_id long, held_out boolean, n_tokens long, n_known long, log_counts double, score double"
+    )
     per_token = math.log10(n_train + n_types + 1)
-    return scored.join(base, "key").select(
+    return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("log_counts") - F.col("n_tokens") * F.lit(per_token)).alias("base_score"), "score",
     )

@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables with nulls, empties, repeats, ties and clashing columns."""
 
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -73,6 +74,42 @@ def test_filter_counts():
     assert (found >= exact).all() and (found == exact).mean() > 0.9
 
 
+def test_filter_has_no_cap(docs, rows):
+    """Scores of a filter with many bits an entry are those of exact quantised counts, whatever bound it can be given."""
+    bound = {"max_filter_mb": 0.004} if "max_filter_mb" in inspect.signature(lm_score.score_documents).parameters else {}
+    got = lm_score.score_documents(docs, bits_per_entry=256.0, **bound).collect()
+    one, two = {}, {}
+    texts = [(i, [*words(low(t)), "</end>"]) for i, t in rows]
+    for i, w in texts:
+        if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
+            for a, b in zip(["</end>", *w], w):
+                one[b], two[a, b] = one.get(b, 0) + 1, two.get((a, b), 0) + 1
+    n, v = sum(one.values()), len(one)
+    q = lambda c: float(lm_score.count_of(lm_score.level_of(np.array([c])))[0]) if c else 0.0
+    want = []
+    for i, w in texts:
+        total = 0.0
+        for a, b in zip(["</end>", *w], w):
+            x, y = q(one.get(a, 0)), q(one.get(b, 0))
+            alone = max(y - 0.75, 0.05) / n if y else 0.75 * v / n
+            total += np.log10(min(1.0, (min(q(two.get((a, b), 0)), x, y) + 200.0 * alone) / (x + 200.0)))
+        want.append((str(i), round(total, 6)))
+    assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted(want)
+
+
+def test_squeezed_keys():
+    keys = np.unique(np.random.default_rng(3).integers(0, 2**64, 5000, np.uint64))
+    for b in range(7):
+        mine = keys[lm_score.bucket_of(keys, 7) == b]
+        assert (lm_score.restored(lm_score.squeezed(mine, 7), 7, b) == mine).all()
+    assert not len(lm_score.restored(lm_score.squeezed(keys[:0], 7), 7, 3))
+
+
+def test_full_segment_ends():
+    keys = np.arange(10, dtype=np.uint64)
+    assert (lm_score.LogFrequencyFilter(b"\xff" * 8, [8], 3).counts(keys) == lm_score.count_of(np.array([3]))).all()
+
+
 def repeats(w):
     seen, cover = {}, set()
     for i in range(len(w) - 2):
