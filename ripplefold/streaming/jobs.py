@@ -11,9 +11,14 @@ from pyspark.sql import functions as F
 from ripplefold.sources.packets import as_packets
 
 
-def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """All files that are there come in one batch unless files_per_trigger says otherwise: files needn't follow each other in
+    time, and between batches the watermark closes windows that later files may still have rows for."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/events*.parquet")
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.parquet(f"{sf_dir}/events*.parquet")
 
 
 def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
