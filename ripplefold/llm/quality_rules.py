@@ -34,24 +34,27 @@ MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 
 
 def _repeats(df: DataFrame) -> DataFrame:
-    """n_repeat_words from the array of words: windows are hashed, sorted with their places, and compared with neighbours."""
-    # the places take the low bits of the sort key; more bits of it where a text has more words
-    bits = F.when(F.col("n_words") < 1 << 20, 20).otherwise(31)
+    """n_repeat_words from the array of words: windows are hashed, sorted with their places, and compared with neighbours.
+
+    A first sort, by the upper bits of the hash with the place in the lower 31, finds the windows that may have an equal;
+    those alone are sorted and compared by their whole hashes.
+    """
     df = df.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
     df = df.withColumn("_t", F.when(F.col("n_words") >= 3, F.expr("transform(slice(_h, 1, n_words - 2), (h, i) -> xxhash64(h, get(_h, i + 1), get(_h, i + 2)))")).otherwise(F.expr("cast(array() as array<bigint>)")))
-    df = df.withColumn("_some", F.size(F.array_distinct("_t")) < F.size("_t")).withColumn("_b", bits)
+    df = df.withColumn("_some", F.size(F.array_distinct("_t")) < F.size("_t"))
     nothing = F.expr("cast(array() as array<bigint>)")
-    df = df.withColumn("_p", F.when(F.col("_some"), F.expr("sort_array(transform(_t, (t, i) -> shiftleft(shiftright(t, _b), _b) | cast(i as bigint)))")).otherwise(nothing))
-    df = df.withColumn("_q", F.when(F.col("_some"), F.expr(
-        "sort_array(transform(filter(_p, (p, i) -> coalesce(shiftright(p, _b) = shiftright(get(_p, i - 1), _b), false) or coalesce(shiftright(p, _b) = shiftright(get(_p, i + 1), _b), false)), p -> p & (shiftleft(1L, _b) - 1)))"
-    )).otherwise(nothing))
+    df = df.withColumn("_p", F.when(F.col("_some"), F.expr("sort_array(transform(_t, (t, i) -> shiftleft(shiftright(t, 31), 31) | cast(i as bigint)))")).otherwise(nothing))
+    df = df.withColumn("_e", F.when(F.col("_some"), F.expr(
+        "sort_array(transform(filter(_p, (p, i) -> coalesce(shiftright(p, 31) = shiftright(get(_p, i - 1), 31), false) or coalesce(shiftright(p, 31) = shiftright(get(_p, i + 1), 31), false)), p -> struct(get(_t, cast(p & 2147483647L as int)) as t, p & 2147483647L as i)))"
+    )).otherwise(F.expr("cast(array() as array<struct<t: bigint, i: bigint>>)")))
+    df = df.withColumn("_q", F.expr("sort_array(transform(filter(_e, (e, i) -> coalesce(e.t = get(_e, i - 1).t, false) or coalesce(e.t = get(_e, i + 1).t, false)), e -> e.i))"))
     return df.withColumn("n_repeat_words", F.expr("aggregate(transform(_q, (q, i) -> least(3L, coalesce(get(_q, i + 1), q + 3) - q)), 0L, (a, x) -> a + x)"))
 
 
 def measured(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs (all by default) with the base measures and the two histograms `char_counts` and `word_counts`."""
     own = docs.columns if keep is None else keep
-    keep = [c for c in own if c not in (*MEASURES, "char_counts", "word_counts", "_w", "_h", "_t", "_some", "_b", "_p", "_q", "_all", "_lines", "_common")]
+    keep = [c for c in own if c not in (*MEASURES, "char_counts", "word_counts", "_w", "_h", "_t", "_some", "_p", "_e", "_q", "_all", "_lines", "_common")]
     df = docs.select(*keep, *(["text"] if "text" not in keep else [])).withColumn("_w", F.array_remove(F.split(F.coalesce("text", F.lit("")), SPACE, -1), ""))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
     df = _repeats(df.withColumn("n_words", F.col("n_words").cast("int")))

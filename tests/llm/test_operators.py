@@ -132,6 +132,14 @@ def test_quality_base(docs, rows, none):
     assert quality_rules.judged(none).count() == 0
 
 
+def test_repeats_of_a_very_long_text(spark):
+    """Over 2^20 words: only the windows that come twice count, not those whose hashes are alike in some bits."""
+    w = [f"w{i}" for i in range(1_600_000)] + ["w7", "w8", "w9"]
+    text = " ".join(w)
+    got = quality_rules.judged(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")).first()
+    assert (got.n_words, got.n_repeat_words) == (len(w), 6)
+
+
 def linked(sets, num, den):
     up = list(range(len(sets)))
 
