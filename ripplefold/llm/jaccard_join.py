@@ -25,12 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplefold.llm.common import LINKS, Forest, buckets_for, components, packed, unpacked, written
-from ripplefold.llm.count_tree import count_vector, link_sets
+from ripplefold.llm.count_tree import GROUPS, count_vector, link_sets
 from ripplefold.llm.words import Block, mixed, starts_of, text_blocks
 
 KEYS = "bucket int, doc_id long, node long, n long, blob binary"
 LEAF = 1024
 BROADCAST_ROWS = 2_000_000
+TASK_ITEMS = 500_000
 
 
 def shingle_sets(block: Block, width: int) -> list[np.ndarray]:
@@ -211,15 +212,17 @@ def _large_groups(members: DataFrame) -> DataFrame:
 
 
 def _in_tasks(members: DataFrame, large: DataFrame) -> DataFrame:
-    """Members with the task that looks at them: small groups share tasks; of a large group, each pair of leaves whose
+    """Members with the task that looks at them: small groups share tasks, as
+    many as keep about TASK_ITEMS items in each; of a large group, each pair of leaves whose
     size bands can hold a link is a task, and a leaf is the members of a band with one remainder of their hash."""
-    n_tasks = 4 * members.sparkSession.sparkContext.defaultParallelism + 4
+    split = members.join(large, ["grp", "band"], "left")
+    items = split.where("parts is null").agg(F.sum(F.col("n") + GROUPS).alias("items")).first()["items"] or 0
+    n_tasks = max(4 * members.sparkSession.sparkContext.defaultParallelism + 4, -(-int(items) // TASK_ITEMS))
     leaf = lambda part: F.xxhash64("grp", "band", part)
     leaves = large.select("grp", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")).select("grp", "band", leaf("part").alias("leaf"))
     other = leaves.select("grp", F.col("band").alias("band2"), F.col("leaf").alias("leaf2"))
     pairs = leaves.join(other, "grp").where("abs(band - band2) <= 1 and leaf <= leaf2").withColumn("task", F.xxhash64("leaf", "leaf2"))
     tasks = pairs.select("leaf", "task").unionByName(pairs.where("leaf <> leaf2").select(F.col("leaf2").alias("leaf"), "task"))
-    split = members.join(large, ["grp", "band"], "left")
     apart = split.where("parts is not null").withColumn("leaf", leaf(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))).join(tasks, "leaf")
     whole = split.where("parts is null").withColumn("leaf", F.lit(0).cast("long")).withColumn("task", F.pmod(F.xxhash64("grp"), F.lit(n_tasks)))
     return whole.select("task", "leaf", *members.columns).unionByName(apart.select("task", "leaf", *members.columns))
