@@ -5,6 +5,7 @@ Only for tokenizers that split at white space and never look across it, as this
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain
 
@@ -27,7 +28,23 @@ def vocabulary(path: str | None = None) -> str:
 
         path = public_tokenizers.path(DEFAULT)
     with open(path, encoding="utf-8") as f:
-        return f.read()
+        text = f.read()
+    refuse_others(text)
+    return text
+
+
+#: The steps before the merges that encoding word by word is exact for.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+
+
+def refuse_others(text: str) -> None:
+    """Raises unless the tokenizer has this normalizer, this split at white space and signs, and no decoder."""
+    found = json.loads(text)
+    steps = (found.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+    barred = all("|" in t["content"] for t in found.get("added_tokens") or [])
+    if found.get("normalizer") != NORMALIZER or steps[0] != SPLIT or found.get("decoder") is not None or found.get("post_processor") is not None or found["model"]["type"] != "BPE" or not barred:
+        raise ValueError("only for tokenizers that lower-case, split at white space and signs, and have no decoder")
 
 
 def tokenizer(text: str):
@@ -61,16 +78,15 @@ class WordCodes:
     def __init__(self, text: str, most: int = 400_000) -> None:
         self.codec, self.most = tokenizer(text), most
         self.token = [self.codec.id_to_token(i).encode() for i in range(self.codec.get_vocab_size())]
+        self.digits = [str(i).encode() for i in range(len(self.token))]
         self.clear()
 
     def clear(self) -> None:
         self.slot: dict[int, int] = {}
         self.lengths, self.flat = np.empty(0, np.int64), np.empty(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
-        self.numbers: list[bytes] = []
-        self.tokens: list[bytes] = []
 
-    def slots(self, block: Block, strings: bool) -> np.ndarray:
+    def slots(self, block: Block) -> np.ndarray:
         """For each word of the block, where its ids are kept."""
         if len(self.slot) > self.most:
             self.clear()
@@ -84,10 +100,8 @@ class WordCodes:
         new = np.flatnonzero(slots < 0)
         if len(new):
             data = block.data.tobytes()
-            ends = np.concatenate([block.starts[1:], [len(data)]])
-            # a word ends at white space, at the next word, or where its text ends
-            limits = np.minimum(ends, block.offsets[np.searchsorted(block.offsets, block.starts, side="right")])
-            words = [data[block.starts[i] : limits[i]].split(None, 1)[0].decode() for i in first[new]]
+            ends = block.ends()
+            words = [data[block.starts[i] : ends[i]].decode() for i in first[new]]
             ids = [e.ids for e in self.codec.encode_batch_fast(words, add_special_tokens=False)]
             at = len(self.slot)
             for i, h in enumerate(seen[new].tolist()):
@@ -96,9 +110,6 @@ class WordCodes:
             self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, ids), np.int64, len(ids))])
             self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
             self.starts = starts_of(self.lengths)
-            if strings:
-                self.numbers += [" ".join(map(str, x)).encode() for x in ids]
-                self.tokens += [b" ".join([self.token[i] for i in x]) for x in ids]
         return slots[inverse]
 
     def ids(self, slots: np.ndarray) -> np.ndarray:

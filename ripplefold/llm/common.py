@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import re
 import tempfile
 import uuid
 
@@ -13,20 +14,35 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor and the driver can read: spark.checkpoint.dir, or an own one where unset (tests)."""
+    """The folder every executor and the driver can read: spark.checkpoint.dir. Only where the master is local and the
+    setting is missing (as in tests) does a machine's own temporary folder take its place."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, so a lost executor costs no recomputation."""
+    """Writes df as Parquet in the shared folder and reads it back: lineage ends there, so a lost executor costs no
+    recomputation. Row groups are small, as each writing task holds one in memory."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
+
+
+def removed(*tables: DataFrame | None) -> None:
+    """Deletes tables that written() returned and nothing reads any more."""
+    for table in tables:
+        if table is not None:
+            spark = table.sparkSession
+            path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,21 +118,22 @@ def _local_stars(batches):
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the links no longer change. Minima are partial
-    aggregates and the joins can be split by AQE, so that a node with very many links stays no hot spot.
-    Nodes without links aren't returned; an empty input gives an empty table.
+    Alternates large-star and small-star steps until the links no longer change. Minima are partial aggregates and
+    are written before they are joined, so that the joins are broadcast while they are small and AQE can split a node
+    with very many links when they are large. Nodes without links aren't returned; an empty input gives an empty table.
     """
     found = written(links.where("u <> v").select("u", "v").mapInArrow(_local_stars, LINKS).distinct())
     before = None
     for _ in range(most_rounds):
         both = found.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(found.select(F.col("v").alias("a"), F.col("u").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # a node that is its own minimum must keep the link to itself out of the way: b > a >= m holds above
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a")
         stars = small.where("b > m").select(F.col("b").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("a").alias("u"), F.col("m").alias("v")))
-        found = written(stars.distinct())
+        old, found = found, written(stars.distinct())
+        removed(old, low, least)
         now = found.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == (now["n"], now["h"]):
             break
@@ -124,4 +141,6 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     else:
         raise RuntimeError("component labels did not settle")
     label = found.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return written(label.unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    out = written(label.unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
+    removed(found)
+    return out

@@ -127,7 +127,7 @@ def _pack(sent, tiers: tuple[int, ...], end_id: int, flush_tokens: int = 6_000_0
         first = group0 = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         ids_of, names, size = [], [], 0
         for batch, block in text_blocks(batches):
-            slots = codes.slots(signs_apart(block), strings=False)
+            slots = codes.slots(signs_apart(block))
             ids, lengths = codes.ids(slots), codes.lengths[slots]
             at = starts_of(lengths)[starts_of(block.counts)] if len(slots) else np.zeros(len(batch) + 1, np.int64)
             for i, name in enumerate(batch.column("doc_id").to_pylist()):

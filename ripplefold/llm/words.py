@@ -51,6 +51,13 @@ class Block:
         self.starts = starts
         self.counts = np.diff(np.searchsorted(starts, self.offsets))  # words of each text
 
+    def ends(self) -> np.ndarray:
+        """Where each word ends: at white space, at the next word, or where its text ends."""
+        space = np.flatnonzero(~IS_WORD[self.data])
+        space = np.append(space, len(self.data))[np.searchsorted(space, self.starts)] if len(self.starts) else np.empty(0, np.int64)
+        following = np.append(self.starts[1:], len(self.data))[: len(self.starts)]
+        return np.minimum(np.minimum(space, following), self.offsets[np.searchsorted(self.offsets, self.starts, side="right")]).astype(np.int64)
+
     def _sums(self, terms: np.ndarray) -> np.ndarray:
         return np.add.reduceat(terms, self.starts) if len(self.starts) else np.empty(0, terms.dtype)
 

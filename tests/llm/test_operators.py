@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 from ripplefold.llm import bpe_tree, embedding_dedup, html_text, jaccard_join, lm_score, packing, quality_knn, quality_rules, secret_scan, toxicity
-from ripplefold.llm.bpe_words import tokenizer, vocabulary
+from ripplefold.llm.bpe_words import WordCodes, tokenizer, vocabulary
 from ripplefold.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_words string, node string"
@@ -212,25 +212,38 @@ def test_secrets(docs, rows, none):
     assert secret_scan.scan_documents(none).count() == 0
 
 
+def digests(codec, text):
+    ids = codec.encode(text or "", add_special_tokens=False).ids
+    return len(ids), *(hashlib.sha256(x.encode()).hexdigest() for x in (" ".join(map(str, ids)), codec.decode(ids, skip_special_tokens=False)))
+
+
 @pytest.mark.parametrize("leaf", [16384, 37])
 def test_bpe(docs, rows, none, leaf):
     codec = tokenizer(vocabulary())
-    want = []
-    for i, t in rows:
-        ids = codec.encode(t or "", add_special_tokens=False).ids
-        want.append((str(i), *bpe_tree.digests(ids, codec.decode(ids, skip_special_tokens=False))))
-    assert sorted((str(r[0]), *r[1:]) for r in bpe_tree.encode_documents(docs, leaf_chars=leaf).collect()) == sorted(want)
+    want = sorted((str(i), *digests(codec, t)) for i, t in rows)
+    assert sorted((str(r[0]), *r[1:]) for r in bpe_tree.encode_documents(docs, leaf_chars=leaf).collect()) == want
     assert bpe_tree.encode_documents(none).count() == 0
 
 
 def test_bpe_joins():
-    codec, rnd = tokenizer(vocabulary()), random.Random(8)
-    for _ in range(150):
-        alphabet = rnd.choice(["ab", "abcé ", "!'s ab", "ñß日本 ́e", "12ab'"])
+    codec, codes, rnd = tokenizer(vocabulary()), WordCodes(vocabulary()), random.Random(8)
+    for _ in range(600):
+        alphabet = rnd.choice(["ab", "abcé ", "!'s ab", "ñß日本 ́e", "12ab'", "a=\u0338<>| ", "é.É, ll'"])
         text = "".join(rnd.choice(alphabet) for _ in range(rnd.randint(2, 400)))
         leaf = rnd.choice([3, 17, 60])
-        parts = [bpe_tree.encoded(codec, text, i, min(i + leaf, len(text))) for i in range(0, len(text), leaf)]
-        assert bpe_tree.tree(codec, text, parts).ids.tolist() == codec.encode(text, add_special_tokens=False).ids
+        data, parts, at = text.encode(), [], 0
+        for i in range(0, len(text), leaf):
+            n = len(text[i : i + leaf].encode())
+            parts.append(bpe_tree.encoded(codes, data, at, at + n))
+            at += n
+        assert bpe_tree.tree(codes, data, parts).ids.tolist() == codec.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_packing(docs, rows, none):
@@ -312,7 +325,7 @@ def test_words_are_encoded_as_in_whole_texts():
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
     found = []
     for part, block in text_blocks([batch], 10_000):
-        slots = codes.slots(signs_apart(block), strings=False)
+        slots = codes.slots(signs_apart(block))
         at = starts_of(codes.lengths[slots])[starts_of(block.counts)]
         found += [x.tolist() for x in np.split(codes.ids(slots), at[1:-1])]
     assert found == [codec.encode(t or "", add_special_tokens=False).ids for t in texts]
