@@ -159,7 +159,7 @@ def linked(sets, num, den):
 def test_jaccard_tasks_are_bounded(spark):
     """Members of small groups are dealt to more tasks as their sets grow."""
     members = spark.range(4000).selectExpr("id as node", "id div 2 as grp", "100000L as n", "1 as band")
-    dealt = jaccard_join._in_tasks(members, jaccard_join._large_groups(members.select("node", "grp", "band")))
+    dealt = jaccard_join._small_tasks(members)
     most = dealt.groupBy("task").sum("n").agg({"sum(n)": "max"}).first()[0]
     assert dealt.count() == 4000 and most <= 5_000_000
     assert dealt.groupBy("grp").agg({"task": "min"}).count() == dealt.select("grp", "task").distinct().count()
