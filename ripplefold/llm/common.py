@@ -25,6 +25,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: The tables that were written and not removed since.
+MADE: set[str] = set()
+
+
 def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, so a lost executor costs no
     recomputation. Row groups are small, as each writing task holds one in memory."""
@@ -33,16 +37,22 @@ def written(df: DataFrame) -> DataFrame:
     df.write.option("parquet.block.size", 16 << 20).parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
+    MADE.add(path)
     return table
 
 
-def removed(*tables: DataFrame | None) -> None:
-    """Deletes tables that written() returned and nothing reads any more."""
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of written() that nothing reads any more."""
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        MADE.discard(name)
+
+
+def forget(*tables: DataFrame) -> None:
+    """removed() by the tables themselves."""
     for table in tables:
-        if table is not None:
-            spark = table.sparkSession
-            path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        removed(table.sparkSession, table.written_to)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -133,7 +143,7 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         small = large.join(least, "a")
         stars = small.where("b > m").select(F.col("b").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("a").alias("u"), F.col("m").alias("v")))
         old, found = found, written(stars.distinct())
-        removed(old, low, least)
+        forget(old, low, least)
         now = found.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == (now["n"], now["h"]):
             break
@@ -142,5 +152,5 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
         raise RuntimeError("component labels did not settle")
     label = found.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = written(label.unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))
-    removed(found)
+    forget(found)
     return out

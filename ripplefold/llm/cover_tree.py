@@ -6,119 +6,103 @@ import numpy as np
 
 from ripplefold.llm.common import Forest
 
-SLACK = 1e-5  # more than single precision can be off for a distance of unit vectors
+SLACK = 1e-5  # more than single precision can be off for a product or distance of unit vectors
+LEAF = 256
+CENTRES = 64
 
 
 class Cover:
-    """A node: its centre's row, the greatest distance to a row below it, and its children; a leaf has none."""
+    """A node: its centre's row, the greatest distance to a row below it, its rows, and its children; a leaf has none."""
 
-    __slots__ = ("row", "radius", "rows", "children", "centres", "radii")
+    __slots__ = ("row", "radius", "rows", "children")
 
     def __init__(self, row: int, radius: float, rows: np.ndarray, children: list) -> None:
         self.row, self.radius, self.rows, self.children = row, radius, rows, children
-        self.centres = np.array([c.row for c in children], np.int64)
-        self.radii = np.array([c.radius for c in children], np.float32)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
 
 
-def build(x: np.ndarray, rows: np.ndarray, centre: int, scale: float) -> Cover:
-    """The subtree over rows around one of them; the children's covering radius is half of `scale`, and so on down."""
-    if len(rows) == 1:
-        return Cover(centre, 0.0, rows, [])
+def build(x: np.ndarray, rows: np.ndarray, centre: int, scale: float = 2.0) -> Cover:
+    """The subtree over rows around one of them. The children of a level lie within half of its scale of their centres, and so on
+    down. Where CENTRES centres of half the scale don't gather half of the rows, closer levels would not either, and the node is a leaf."""
     radius = float(distances(x[rows], x[[centre]]).max()) + SLACK
-    if radius <= 4 * SLACK:
-        return Cover(centre, radius, rows, [Cover(int(r), 0.0, np.array([r]), []) for r in rows])
     while scale / 2 > radius:
         scale /= 2
-    cos = x[rows] @ x[rows].T
-    order = np.concatenate([np.flatnonzero(rows == centre), np.flatnonzero(rows != centre)])
-    while True:
-        near = cos >= 1 - (scale / 2) ** 2 / 2
-        free, children = np.ones(len(rows), bool), []
-        for i in order:
-            if free[i]:
-                mine = near[i] & free
-                mine[i] = True
-                free &= ~mine
-                children.append((int(rows[i]), rows[mine]))
-        scale /= 2
-        # a level that hardly gathers anything is skipped, as its wide radii would only spoil the bounds
-        if len(children) <= len(rows) // 2 or scale <= 0.5:
-            break
-    children = [build(x, mine, row, scale) for row, mine in children]
+    if len(rows) <= LEAF or radius <= 8 * SLACK:
+        return Cover(centre, radius, rows, [])
+    free, groups = np.concatenate([[centre], rows[rows != centre]]), []
+    while len(free) and len(groups) < CENTRES:
+        near = x[free] @ x[free[0]] >= 1 - (scale / 2) ** 2 / 2
+        near[0] = True
+        groups.append((int(free[0]), free[near]))
+        free = free[~near]
+    if len(free) * 2 > len(rows):
+        return Cover(centre, radius, rows, [])
+    children = [build(x, mine, row, scale / 2) for row, mine in groups]
+    if len(free):
+        children.append(build(x, free, int(free[0]), scale / 2))
     return Cover(centre, radius, rows, children)
 
 
-def link_near(x: np.ndarray, y: np.ndarray, exact_x: np.ndarray, exact_y: np.ndarray, same: bool, least: float, names_x, names_y, forest: Forest) -> tuple[np.ndarray, np.ndarray]:
-    """How many rows of y (x) each row of x (y) reaches a cosine of `least` with; joins them in `forest`.
+def link_near(exact_x: np.ndarray, exact_y: np.ndarray, same: bool, least: float, weight_x: np.ndarray, weight_y: np.ndarray, names_x: list, names_y: list, forest: Forest, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of the rows of y (x) that each row of x (y) reaches a cosine of `least` with; joins them in `forest`.
 
-    A pair of nodes is left out when its centres are further apart than the threshold's chord and both
-    radii; when even the farthest rows are within the chord, all of its pairs count at once.
+    A pair of nodes is left out when its centres are further apart than the threshold's chord and both radii. Products are
+    taken in single precision; those too close to the threshold for it are taken again in double precision.
     """
     chord = float(np.sqrt(2 - 2 * least))
+    x, y = exact_x.astype(np.float32), exact_y.astype(np.float32)
     n_x, n_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-    tree_x = build(x, np.arange(len(x)), 0, 4.0)
-    tree_y = tree_x if same else build(y, np.arange(len(y)), 0, 4.0)
+    tree_x = build(x, np.arange(len(x)), 0)
+    tree_y = tree_x if same else build(y, np.arange(len(y)), 0)
 
     def verify(a: np.ndarray, b: np.ndarray, within: bool) -> None:
-        hit = exact_x[a] @ exact_y[b].T >= least
-        if within:
-            np.fill_diagonal(hit, False)
-        if within:  # each pair comes twice, once in either direction
-            n_x[a] += hit.sum(1)
-            hit = np.triu(hit)
-        else:
-            n_x[a] += hit.sum(1)
-            n_y[b] += hit.sum(0)
-        for i, j in zip(*np.nonzero(hit)):
-            forest.join(names_x[a[i]], names_y[b[j]])
-
-    def verify_pairs(a: np.ndarray, b: np.ndarray) -> None:
-        if same:
-            a, b = a[a != b], b[a != b]
-        for at in range(0, len(a), 100_000):
-            p, q = a[at : at + 100_000], b[at : at + 100_000]
-            hit = np.einsum("ij,ij->i", exact_x[p], exact_y[q]) >= least
-            np.add.at(n_x, p[hit], 1)
-            np.add.at(n_y, q[hit], 1)
-            for i, j in zip(p[hit].tolist(), q[hit].tolist()):
-                forest.join(names_x[i], names_y[j])
+        step = max(1, at_once // len(b))
+        for at in range(0, len(a), step):
+            part, rest = a[at : at + step], b[at:] if within else b  # within one set, a row only meets those behind it
+            i, j = np.nonzero(x[part] @ y[rest].T >= least - SLACK)
+            if within:
+                behind = j > i
+                i, j = i[behind], j[behind]
+            i, j = part[i], rest[j]
+            ok = np.ones(len(i), bool)
+            for k in range(0, len(i), 1 << 18):
+                cut = slice(k, k + (1 << 18))
+                ok[cut] = np.einsum("ij,ij->i", exact_x[i[cut]], exact_y[j[cut]]) >= least
+            i, j = i[ok], j[ok]
+            np.add.at(n_x, i, weight_y[j])
+            np.add.at(n_y, j, weight_x[i])
+            join_pairs(i, j)
+
+    def join_pairs(i: np.ndarray, j: np.ndarray) -> None:
+        """Rows with many pairs are joined by way of those already connected, so that the loop stays short."""
+        if len(i) > 4096:
+            keep = np.unique(np.concatenate([np.unique(i, return_index=True)[1], np.unique(j, return_index=True)[1]]))
+            for p, q in zip(i[keep].tolist(), j[keep].tolist()):
+                forest.join(names_x[p], names_y[q])
+            rows, other = np.unique(i), np.unique(j)
+            top = {**{("x", p): forest.root(names_x[p]) for p in rows.tolist()}, **{("y", q): forest.root(names_y[q]) for q in other.tolist()}}
+            root_i = np.array([top["x", p] for p in rows.tolist()])[np.searchsorted(rows, i)]
+            root_j = np.array([top["y", q] for q in other.tolist()])[np.searchsorted(other, j)]
+            apart = root_i != root_j
+            i, j = i[apart], j[apart]
+        for p, q in zip(i.tolist(), j.tolist()):
+            forest.join(names_x[p], names_y[q])
 
     stack = [(tree_x, tree_y)]
     while stack:
         a, b = stack.pop()
         within = same and a is b
-        if within and len(a.rows) == 1:
+        if not within and float(distances(x[[a.row]], y[[b.row]])[0, 0]) > chord + SLACK + a.radius + b.radius:
             continue
-        if len(a.rows) * len(b.rows) <= 4096 or not a.children and not b.children:
+        if not a.children and not b.children:
             verify(a.rows, b.rows, within)
-            continue
-        apart = float(distances(x[[a.row]], y[[b.row]])[0, 0])
-        if not within and apart + a.radius + b.radius <= chord - SLACK:
-            n_x[a.rows] += len(b.rows)
-            n_y[b.rows] += len(a.rows)
-            for r in a.rows:
-                forest.join(names_x[r], names_y[b.row])
-            for r in b.rows:
-                forest.join(names_x[a.row], names_y[r])
-            continue
-        kids_a, kids_b = (a.children or [a]), (b.children or [b])
-        rows_a, rad_a = (a.centres, a.radii) if a.children else (np.array([a.row]), np.array([a.radius], np.float32))
-        rows_b, rad_b = (b.centres, b.radii) if b.children else (np.array([b.row]), np.array([b.radius], np.float32))
-        size_a, size_b = np.array([len(k.rows) for k in kids_a]), np.array([len(k.rows) for k in kids_b])
-        for at in range(0, len(rows_a), 1024):
-            part = slice(at, at + 1024)
-            close = distances(x[rows_a[part]], y[rows_b]) <= (chord + SLACK + rad_a[part][:, None]) + rad_b[None, :]
-            i, j = np.nonzero(close)
-            i += at
-            if within:
-                i, j = i[i <= j], j[i <= j]
-            single = (size_a[i] == 1) & (size_b[j] == 1)
-            verify_pairs(rows_a[i[single]], rows_b[j[single]])
-            stack.extend((kids_a[p], kids_b[q]) for p, q in zip(i[~single].tolist(), j[~single].tolist()))
-    if same:
-        n_x += n_y
-    return n_x, n_y
+        elif within:
+            stack.extend((p, q) for k, p in enumerate(a.children) for q in a.children[k:])
+        elif a.children and (not b.children or len(a.rows) >= len(b.rows)):
+            stack.extend((p, b) for p in a.children)
+        else:
+            stack.extend((a, q) for q in b.children)
+    return (n_x + n_y, n_y) if same else (n_x, n_y)

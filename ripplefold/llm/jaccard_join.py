@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ripplefold.llm.common import LINKS, Forest, buckets_for, components, packed, removed, unpacked, written
+from ripplefold.llm.common import LINKS, Forest, buckets_for, components, forget, packed, unpacked, written
 from ripplefold.llm.count_tree import GROUPS, count_vector, link_sets
 from ripplefold.llm.words import Block, mixed, starts_of, text_blocks
 
@@ -332,7 +332,7 @@ def _component_links(members: DataFrame, num: int, den: int) -> DataFrame:
         side = F.broadcast(dealt) if dealt.count() <= BROADCAST_ROWS else dealt
         placed = members.select("node", "vector", *(["items"] if verify else [])).join(side, "node")
         links = written(placed.groupBy("task").applyInArrow(_join_block(num, den, verify), LINKS))
-        removed(dealt)
+        forget(dealt)
         return links
 
     whole = joined(_small_tasks(names.join(big, "grp", "left_anti")), True)
@@ -357,7 +357,7 @@ def _component_links(members: DataFrame, num: int, den: int) -> DataFrame:
     bound = joined(placed.join(_leaf_pairs(placed), "leaf"), False)
     finer = components(bound).select(F.col("node").alias("_label"), F.col("component").alias("_finer"))
     rest = written(apart.join(finer, F.col("label") == F.col("_label")).withColumn("grp", F.col("_finer")).select(*apart.columns))
-    removed(placed, bound)
+    forget(placed, bound)
     big = written(_large(rest))
     last = joined(_small_tasks(rest.join(big, "grp", "left_anti")), True)
     placed = written(_leaves(rest.join(big, "grp", "left_semi")))
@@ -388,6 +388,6 @@ def join_documents(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     label = components(links)
     named = sets.where("n > 0").join(label, "node", "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("component"))
     least = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    removed(members, chosen)
+    forget(members, chosen)
     out = named.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

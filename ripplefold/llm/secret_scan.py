@@ -6,9 +6,10 @@ within a document keeps an endpoint only with a strong candidate at most `reach`
 opaque token only with an access identifier or an endpoint kept that way. Weak candidates that overlap a
 strong one add nothing.
 
-Contract: spans count code points, end exclusive, ordered by start and then by kind as in KINDS. A null
-or empty text has no spans. Identical repeated rows give identical results; a null doc_id is kept. Only
-the columns named in `keep` (all by default) are carried along; helper columns start with an underscore.
+Contract: spans count code points, end exclusive, ordered by start, then by kind as in KINDS, then by end; ties of
+start and kind can't occur within a kind, as its matches don't overlap. A null or empty text has no spans. Repeated
+rows give repeated results; a null doc_id is kept. An empty table gives no rows. Input columns may have any
+name: they travel in one struct.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplefold.llm.common import written
+from ripplefold.llm.common import forget, written
 
 # The patterns and least lengths of the base rule, then those of the weak candidates.
 KINDS = ("assign", "access", "hex", "endpoint", "opaque")
@@ -26,6 +27,7 @@ HEX = r"[0-9a-f]{24,}"
 ENDPOINT = r"[a-z][a-z0-9+]{1,9}://[A-Za-z0-9._~:/?#@%&=+-]+|[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?"
 OPAQUE = r"[A-Za-z0-9+/]{32,}={0,2}"
 REACH = 200
+BROADCAST_SPANS = 500_000
 SPAN = "array<struct<start: bigint, rank: int, end: bigint>>"
 
 
@@ -46,56 +48,54 @@ def _text(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', array({names})[s.rank], cast(s.start as string), cast(s.end as string))), ',')")
 
 
-def scanned(docs: DataFrame, reach: int = REACH, keep: list[str] | None = None) -> DataFrame:
-    """docs with `base` and `spans` (arrays of start, rank of the kind, end) for every row."""
-    keep = docs.columns if keep is None else keep
-    df = docs.withColumn("_t", F.coalesce("text", F.lit(""))).withColumn("_key", F.xxhash64("doc_id", "_t"))
-    df = df.withColumn("_base", F.array_sort(F.concat(_spans("assign", ASSIGN, 6), _spans("access", ACCESS), _spans("hex", HEX))))
-    weak = F.when(F.size("_base") > 0, F.concat(_spans("endpoint", ENDPOINT), _spans("opaque", OPAQUE))).otherwise(F.expr(f"cast(array() as {SPAN})"))
-    df = df.withColumn("_weak", weak)
-    table = written(df.select(*keep, "_key", "_base", "_weak"))
-    parts = table.where(F.size("_weak") > 0).select("_key", "_base", "_weak").dropDuplicates(["_key"])
-    strong = parts.select("_key", F.explode("_base").alias("b"))
-    loose = parts.select("_key", F.explode("_weak").alias("w"))
-    scopes = lambda df, part: df.withColumn("_scope", F.explode(F.sequence(F.floor((F.col(f"{part}.start") - reach) / reach), F.floor((F.col(f"{part}.end") + reach) / reach))))
-    own = lambda df, part: df.withColumn("_scope", F.floor(F.col(f"{part}.start") / reach))
-
-    def near(weak: DataFrame, to: DataFrame) -> DataFrame:
-        """Weak parts with another part at most reach away: an interval join in scopes of that length."""
-        gap = F.greatest(F.col("w.start"), F.col("b.start")) - F.least(F.col("w.end"), F.col("b.end"))
-        wide = scopes(to, "b").withColumnRenamed("_key", "_k").withColumnRenamed("_scope", "_s")
-        narrow = own(weak, "w")
-        return narrow.join(wide, (narrow["_key"] == wide["_k"]) & (narrow["_scope"] == wide["_s"]) & (gap <= reach), "left_semi").drop("_scope")
-
-    clash = (F.col("w.start") < F.col("c.end")) & (F.col("c.start") < F.col("w.end"))
-    base = strong.select(F.col("_key").alias("_k"), F.col("b").alias("c"))
-    loose = written(loose.join(base, (F.col("_key") == F.col("_k")) & clash, "left_anti"))
-    endpoints = near(loose.where(F.col("w.rank") == KINDS.index("endpoint")), strong)
-    anchors = strong.where(F.col("b.rank") == KINDS.index("access")).unionByName(endpoints.select("_key", F.col("w").alias("b")))
-    opaque = near(loose.where(F.col("w.rank") == KINDS.index("opaque")), anchors)
-    linked = written(endpoints.unionByName(opaque).groupBy("_key").agg(F.collect_set("w").alias("_linked")).withColumnRenamed("_key", "_k"))
-    side = F.broadcast(linked) if linked.count() <= 200_000 else linked
-    return table.join(side, F.col("_key") == F.col("_k"), "left").select(
-        *keep, F.col("_base").alias("base"),
-        F.when(F.col("_linked").isNull(), F.col("_base")).otherwise(F.array_sort(F.concat("_base", "_linked"))).alias("spans"),
+def _in_scopes(df: DataFrame, span: str, reach: int, more: int = 0) -> DataFrame:
+    """df once for each stretch of `reach` characters that the span, widened by `more` on both sides, touches."""
+    return df.withColumn("scope", F.explode(F.sequence(F.floor((F.col(f"{span}.start") - more) / reach), F.floor((F.col(f"{span}.end") + more) / reach))))
+
+
+def _near(weak: DataFrame, strong: DataFrame, reach: int, most_gap: int) -> DataFrame:
+    """The distinct (key, w) with a strong span of the same key at most most_gap away (below 0: overlapping): an interval join in scopes."""
+    gap = F.greatest("w.start", "b.start") - F.least("w.end", "b.end")
+    return _in_scopes(weak, "w", reach).join(_in_scopes(strong, "b", reach, max(most_gap, 0)), ["key", "scope"]).where(gap <= most_gap).select("key", "w").distinct()
+
+
+def scanned(docs: DataFrame, reach: int = REACH) -> DataFrame:
+    """row (a struct of all columns of docs), base and spans (arrays of start, rank of the kind, end) for every row of docs."""
+    df = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("_t"), F.xxhash64("doc_id", "text").alias("key"))
+    df = df.withColumn("base", F.array_sort(F.concat(_spans("assign", ASSIGN, 6), _spans("access", ACCESS), _spans("hex", HEX))))
+    weak = F.when(F.size("base") > 0, F.concat(_spans("endpoint", ENDPOINT), _spans("opaque", OPAQUE))).otherwise(F.expr(f"cast(array() as {SPAN})"))
+    table = written(df.select("row", "key", "base", weak.alias("weak")))
+    parts = written(table.where(F.size("weak") > 0).select("key", "base", "weak").dropDuplicates(["key"]))
+    strong = parts.select("key", F.explode("base").alias("b"))
+    loose = parts.select("key", F.explode("weak").alias("w"))
+    loose = written(loose.join(_near(loose, strong, reach, -1), ["key", "w"], "left_anti"))
+    endpoints = written(_near(loose.where(F.col("w.rank") == KINDS.index("endpoint")), strong, reach, reach))
+    anchors = strong.where(F.col("b.rank") == KINDS.index("access")).unionByName(endpoints.select("key", F.col("w").alias("b")))
+    opaque = _near(loose.where(F.col("w.rank") == KINDS.index("opaque")), anchors, reach, reach)
+    linked = written(endpoints.unionByName(opaque).groupBy("key").agg(F.collect_list("w").alias("linked")))
+    size = linked.agg(F.sum(F.size("linked") + 2).alias("n")).first()["n"] or 0
+    side = F.broadcast(linked) if size <= BROADCAST_SPANS else linked
+    forget(parts, loose, endpoints)
+    return table.join(side, "key", "left").select(
+        "row", "base", F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked"))).alias("spans")
     )
 
 
 def scan_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row of docs."""
-    found = scanned(docs.select("doc_id", "text"), keep=["doc_id"])
+    found = scanned(docs.select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["rank"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"))
+    return found.select("row.doc_id", count("assign"), count("access"), count("hex"), F.sha2(_text("base"), 256).alias("base_sha256"), _text("spans").alias("spans"))
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of `text` replaced by mark (overlapping spans together) and n_chars counted anew."""
-    found = scanned(docs)
+    """docs with every span of `text` replaced by mark (overlapping spans together) and n_chars, where there is one, counted anew."""
+    text = "row.text"
     clean = F.expr(f"""
-        aggregate(spans, struct('' as done, 0L as at),
-            (a, s) -> struct(case when s.start >= a.at then concat(a.done, substring(text, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{mark}') else a.done end as done, greatest(a.at, s.end) as at),
-            a -> concat(a.done, substring(text, cast(a.at + 1 as int))))""")
-    found = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return found.select(*docs.columns)
+        aggregate(spans, struct(cast(array() as array<string>) as done, 0L as at),
+            (a, s) -> struct(case when s.start >= a.at then array_append(a.done, concat(substring({text}, cast(a.at + 1 as int), cast(s.start - a.at as int)), '{mark}')) else a.done end as done, greatest(a.at, s.end) as at),
+            a -> concat(array_join(a.done, ''), substring({text}, cast(a.at + 1 as int))))""")
+    found = scanned(docs).select("row", F.when(F.size("spans") > 0, clean).otherwise(F.col(text)).alias("clean"))
+    kinds = dict(docs.dtypes)
+    replaced = {"text": F.col("clean"), "n_chars": F.when(F.col("clean") == F.col(text), F.col("row.n_chars")).otherwise(F.length("clean")).cast(kinds["n_chars"])} if "n_chars" in kinds else {"text": F.col("clean")}
+    return found.select(*(replaced.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
