@@ -125,14 +125,15 @@ def _local_stars(batches):
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64())], ["u", "v"])
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, most_rounds: int = 40, stars: bool = False) -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node reachable.
 
     Alternates large-star and small-star steps until the links no longer change. Minima are partial aggregates and
     are written before they are joined, so that the joins are broadcast while they are small and AQE can split a node
-    with very many links when they are large. Nodes without links aren't returned; an empty input gives an empty table.
+    with very many links when they are large. With `stars`, each task's links are stars already. Nodes without links aren't returned; an empty input gives an empty table.
     """
-    found = written(links.where("u <> v").select("u", "v").mapInArrow(_local_stars, LINKS).distinct())
+    links = links.where("u <> v").select("u", "v")
+    found = written((links if stars else links.mapInArrow(_local_stars, LINKS)).distinct())
     before = None
     for _ in range(most_rounds):
         both = found.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(found.select(F.col("v").alias("a"), F.col("u").alias("b")))

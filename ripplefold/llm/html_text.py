@@ -1,9 +1,10 @@
 """Operator 4, main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. First pass: stop-word density, length and link density,
-within containers that either can't hold an article or are made for one, call a block text, boilerplate,
-or leave it open. Second pass: an open block takes the label of the nearest decided neighbours; where
-they differ, text wins inside the page's article container and boilerplate outside of it.
+A page is cut into blocks at block-level tags. First pass: stop-word density, length and link density call
+a block text, boilerplate, or leave it open; a container made for articles lowers the density that is asked
+for, one that can't hold an article makes its blocks boilerplate, and so do short calls to subscribe, share
+and the like. Second pass: an open block takes the label of the nearest decided block, first among those
+of the same kind of container; at equal distance text wins inside an article and boilerplate outside of one.
 
 Contract: null or empty html gives an empty text. Character references are decoded, white space inside a
 block becomes one space, blocks are trimmed and joined by one newline in page order; nothing else is
@@ -25,10 +26,13 @@ OUTSIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "head"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "nobr"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 ARTICLE = {"article", "main"}
-JUNK_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|sidebar|side|menu|nav\w*|breadcrumbs?|header|footer|comments?|comment-?list|disqus|repl(?:y|ies)|share|sharing|social|related|recommended|newsletter|subscribe|widget|login|search)(?:$|[\s_-])", re.I)
+JUNK_NAMES = re.compile(r"(?<!\bno)(?<!\bhas)(?<!\bwith)(?<!\bwithout)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|sidebar|side|menu|nav\w*|breadcrumbs?|header|footer|comments?|comment-?list|disqus|repl(?:y|ies)|share|sharing|social|related|recommended|newsletter|subscribe|widget|login|search)(?:$|[\s_-])", re.I)
 # Frequent words of four languages.
 STOP = frozenset("the of and to in is that for it with as was on be at by this are from or an which you not have der die und das von mit den ist im nicht ein eine des zu auf sich dem als auch für es an la le les et un une que qui dans pour du au pas sur plus ce il elle el los las del y se con por su para lo no a de en des est avec ou par".split())
-PIECES = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?|([^<]+|<)", re.S)
+# A quoted value that holds the start of another tag, or never ends, was left open: the tag then ends at its first >.
+PIECES = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"(?:[^\"<]|<(?![a-zA-Z/!]))*\"|'(?:[^'<]|<(?![a-zA-Z/!]))*'|[^>])*)>?|([^<]+|<)", re.S)
+# What short blocks say that are no part of a text.
+CALLS = re.compile(r"(?:advert\w*|sponsored(?: (?:content|post|link))?|promoted|subscribe(?: now| to .{1,40})?|sign up.{0,40}|log ?in|share(?: (?:this|on) .{1,30})?|follow us.{0,30}|read more|continue reading|related (?:articles|posts|stories)|buy now.{0,30}|shop now|learn more|accept(?: all)? cookies|skip to content|back to top|print this page)[.!:…»>]*", re.I)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACES = re.compile(r"\s+")
 STRIP = "\"'.,;:!?()[]#*$%&|<>"
@@ -103,38 +107,51 @@ def blocks_of(page: str) -> list[tuple[str, int, bool, bool]]:
     return out
 
 
-def labels_of(blocks: list[tuple[str, int, bool, bool]], least_stop: float = 0.15, short: int = 70, most_links: float = 0.5) -> list[int]:
+def labels_of(blocks: list[tuple[str, int, bool, bool]], high: float = 0.15, low: float = 0.05, short: int = 70, most_links: float = 0.5) -> list[int]:
     """TEXT or BOILERPLATE for each block."""
     first = []
     for text, linked, outside, article in blocks:
         words = text.split()
         stops = sum(w.strip(STRIP).lower() in STOP for w in words) / len(words)
-        if outside or linked > most_links * len(text):
+        if outside or linked > most_links * len(text) or len(text) < short and CALLS.fullmatch(text):
             first.append(BOILERPLATE)
-        elif len(text) >= short and (stops >= least_stop or article):
+        elif len(text) < short:
+            first.append(OPEN)
+        elif stops >= (low if article else high):
             first.append(TEXT)
-        elif len(text) >= short and stops < least_stop / 3 and not article:
-            first.append(BOILERPLATE)
         else:
-            first.append(OPEN)
-    before, seen = [], OPEN
-    for x in first:
-        before.append(seen)
-        seen = x or seen
-    after, seen = [], OPEN
-    for x in reversed(first):
-        after.append(seen)
-        seen = x or seen
-    after.reverse()
+            first.append(OPEN if article or stops >= low else BOILERPLATE)
+    kinds = [(outside, article) for _, _, outside, article in blocks]
+    near = {kind: _nearest(first, [k == kind for k in kinds]) for kind in set(kinds)}
+    anywhere = _nearest(first, [True] * len(first))
     out = []
-    for (_, _, _, article), label, b, a in zip(blocks, first, before, after):
+    for i, ((_, _, _, article), label) in enumerate(zip(blocks, first)):
         if label == OPEN:
-            near = {x for x in (b, a) if x}
-            label = near.pop() if len(near) == 1 and not article else TEXT if article else BOILERPLATE
+            (before, b), (after, a) = near[kinds[i]][i]
+            if not b and not a:
+                (before, b), (after, a) = ((0, TEXT), (0, TEXT)) if article else anywhere[i]
+            if not b or not a:
+                label = b or a or (TEXT if article else BOILERPLATE)
+            else:
+                label = b if before < after or b == a else a if after < before else TEXT if article else BOILERPLATE
         out.append(label)
     return out
 
 
+def _nearest(labels: list[int], count: list[bool]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """For each block, how far off the decided blocks that count are before and behind it, and their labels (OPEN: none)."""
+    def one_way(order):
+        found, at, seen = {}, 0, OPEN
+        for i in order:
+            found[i] = (abs(i - at), seen)
+            if count[i] and labels[i]:
+                at, seen = i, labels[i]
+        return found
+
+    ahead, back = one_way(range(len(labels))), one_way(range(len(labels) - 1, -1, -1))
+    return [(ahead[i], back[i]) for i in range(len(labels))]
+
+
 def main_text(page: str | None) -> str:
     blocks = blocks_of(page or "")
     return "\n".join(text for (text, *_), label in zip(blocks, labels_of(blocks)) if label == TEXT)

@@ -372,7 +372,7 @@ def join_documents(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     gathered = written(by(texts.mapInArrow(_sets_and_keys(width, num, den, n_buckets), "bucket int, keys boolean, blob binary")).applyInArrow(_shared(n_buckets), KEYS))
     sets = gathered.where("bucket is null").select("doc_id", "node", "n")
     kept = by(gathered.where("bucket is not null").select("bucket", "blob")).applyInArrow(_kept(n_buckets), BUCKETED)
-    groups = components(by(kept).applyInArrow(_chains, LINKS)).withColumnRenamed("component", "grp")
+    groups = components(by(kept).applyInArrow(_chains, LINKS), stars=True).withColumnRenamed("component", "grp")
 
     # one text for each class that has a candidate
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
@@ -380,9 +380,11 @@ def join_documents(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     chosen = written(sets.join(groups, "node").groupBy("node", "grp", "n").agg(F.min(named)["doc_id"].alias("rep")).withColumn("band", band))
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     own = texts.join(side.where("rep is not null"), F.col("doc_id") == F.col("rep")).select("text", "node", "grp", "n", "band")
-    # classes that only rows without an id are of: those rows find theirs by the hash of the set
-    alone = texts.where("doc_id is null").mapInArrow(_with_node(width), "text string, node long").join(chosen.where("rep is null"), "node").select("text", "node", "grp", "n", "band")
-    members = written(own.unionByName(alone).mapInArrow(_members(width), "node long, grp long, n long, band int, vector binary, items binary"))
+    if not chosen.where("rep is null").isEmpty():
+        # classes that only rows without an id are of: those rows find theirs by the hash of the set
+        alone = texts.where("doc_id is null").mapInArrow(_with_node(width), "text string, node long").join(chosen.where("rep is null"), "node")
+        own = written(own.unionByName(alone.select(*own.columns)))
+    members = written(own.mapInArrow(_members(width), "node long, grp long, n long, band int, vector binary, items binary"))
     links = _component_links(members, num, den)
 
     label = components(links)

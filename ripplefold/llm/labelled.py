@@ -17,6 +17,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: in
     known = known.where(remainder(F.col("doc_id"), modulus) != held_out).groupBy("doc_id").agg(F.max("label").alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("label = 0").orderBy(*order).limit(per_class).unionByName(known.where("label = 1").orderBy(*order).limit(per_class))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # 2 * per_class rows at most
-    rows = texts.mapInArrow(features, schema).collect()
-    return sorted(rows, key=lambda r: (r["doc_id"], r["label"]))[: 4 * per_class]
+    return _features(docs, chosen, features, schema)
+
+
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, modulus: int, held_out: int, most: int, features: Callable, schema: str) -> list:
+    """The same for at most `most` documents without a label, chosen by hash; their label is null."""
+    ids = docs.select("doc_id").where(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), modulus) != held_out))
+    ids = ids.join(labels.select("doc_id"), "doc_id", "left_anti").distinct()
+    return _features(docs, ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("label", F.lit(None).cast("int")), features, schema)
+
+
+def _features(docs: DataFrame, chosen: DataFrame, features: Callable, schema: str) -> list:
+    """One row for each chosen id: of repeated ids, that with the least text, found before rows travel to the driver."""
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # the bound of the sample
+    texts = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = texts.select("doc_id", "text", "label").mapInArrow(features, schema).collect()
+    return sorted(rows, key=lambda r: r["doc_id"])

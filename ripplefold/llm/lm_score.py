@@ -4,8 +4,13 @@ Counts of single tokens and of token pairs are gathered over the whole training
 hash bucket. Each bucket turns its counts into a segment of one Bloom filter: an n-gram with count c is
 entered under the levels 1..q, where q = 1 + floor(log(c) / log(step)). The same task probes its segment
 level after level, until one is missing, for all n-grams that any text holds, and sends the levels back to
-the parts of the corpus that asked. A part interpolates the pair estimate with a discounted single-token
-estimate. No task and no driver ever holds the whole filter.
+the parts of the corpus that asked. No task and no driver ever holds the whole filter.
+
+A level stands for the counts from count_of(level) to most_of(level). The probability of a token after another
+takes the least count of the pair and the greatest of the token before, and mixes in the single-token estimate with a
+fixed weight; that estimate discounts every known token and spreads what it gains evenly over as many unknown tokens
+as there are known ones, and one more. So the probabilities after any token sum to 1 at most, but for the filter's
+false positives (`bits_per_entry`).
 
 Contract: the filter takes `bits_per_entry` for each entry, whatever the size of the corpus. Null or empty
 texts have one token, the end. A null doc_id counts as a training row. Repeated rows give repeated
@@ -42,6 +47,22 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.where(levels > 0, np.ceil(STEP ** (np.maximum(levels, 1) - 1.0) - 1e-9), 0.0)
 
 
+def most_of(levels: np.ndarray) -> np.ndarray:
+    """The greatest count that has this level; 0 for level 0."""
+    return np.where(levels > 0, np.maximum(count_of(levels + 1) - 1, count_of(levels)), 0.0)
+
+
+def alone(count: np.ndarray, n_train: int, n_types: int) -> np.ndarray:
+    """The single-token probability by (quantised) count; 0 is an unknown token."""
+    unknown = DISCOUNT * n_types / max(n_train, 1) / (n_types + 1) if n_train else 1.0
+    return np.where(count > 0, np.maximum(count - DISCOUNT, 0.0) / max(n_train, 1), unknown)
+
+
+def after(pair: np.ndarray, before: np.ndarray, single: np.ndarray, weight: float) -> np.ndarray:
+    """The probability of a token after another, by the pair's count, that of the token before, and the token's own probability."""
+    return (pair + weight * single) / (before + weight)
+
+
 def bit_places(keys: np.ndarray, level: int, n_bits: np.ndarray | int) -> np.ndarray:
     """HASHES places in 0..n_bits-1 for each n-gram under one level."""
     with np.errstate(over="ignore"):
@@ -234,13 +255,12 @@ def _score(n_buckets: int, n_train: int, n_types: int, pair_weight: float):
         total = np.add.reduceat(np.log10(count + 1.0)[token], starts)
         known = np.add.reduceat((count > 0)[token].astype(np.int64), starts)
         single = count_of(level)
-        floor = DISCOUNT * n_types / max(n_train, 1)
-        alone = np.where(single > 0, np.maximum(single - DISCOUNT, 0.05) / max(n_train, 1), floor)[token]
-        single_before = np.concatenate([single[np.flatnonzero(seen == END)], single[token[:-1]]])
-        single = single[token]
-        both = np.where((single > 0) & (single_before > 0), count_of(level_two)[which], 0.0)
-        both = np.minimum(both, np.minimum(single, single_before))
-        p = (both + pair_weight * alone) / (single_before + pair_weight)
+        own = alone(single, n_train, n_types)[token]
+        before = most_of(level)
+        before = np.concatenate([before[np.flatnonzero(seen == END)], before[token[:-1]]])
+        both = np.where(before > 0, count_of(level_two)[which], 0.0)
+        both = np.minimum(both, np.minimum(single[token], before))
+        p = after(both, before, own, pair_weight)
         score = np.add.reduceat(np.log10(np.clip(p, 1e-300, 1.0)), starts)
         return pa.table({"doc_id": pa.array(ids.tolist(), pa.int64()), "held_out": ~train, "n_tokens": lengths.astype(np.int64), "n_known": known, "log_counts": total, "score": score})
 

@@ -105,7 +105,7 @@ def step_groups(sizes: list[int], tokens: int = STEP_TOKENS) -> list[int]:
     return group
 
 
-def _pack(sent, tiers: tuple[int, ...], end_id: int, flush_tokens: int = 6_000_000):
+def _pack(sent, tiers: tuple[int, ...], end_id: int, flush_tokens: int = 4_000_000):
     def flush(ids_of: list[np.ndarray], names: list, first: int, group0: int):
         lengths = [len(x) for x in ids_of]
         sequences = packed_sequences(lengths, tiers)
@@ -123,7 +123,7 @@ def _pack(sent, tiers: tuple[int, ...], end_id: int, flush_tokens: int = 6_000_0
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], fields), len(sequences), max(groups, default=-1) + 1
 
     def run(batches):
-        codes = WordCodes(sent.value, most=700_000)
+        codes = WordCodes(sent.value)
         first = group0 = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         ids_of, names, size = [], [], 0
         for batch, block in text_blocks(batches):

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ripplefold.llm.bpe_tree import encode_documents
 from ripplefold.llm.common import read_table
 from ripplefold.llm.embedding_dedup import near_duplicates
 from ripplefold.llm.html_text import extract_pages
 from ripplefold.llm.jaccard_join import join_documents
 from ripplefold.llm.lm_score import score_documents
+from ripplefold.llm.oracles import ORACLE_SQL  # noqa: F401
 from ripplefold.llm.packing import pack_documents
 from ripplefold.llm.quality_knn import score_quality
 from ripplefold.llm.quality_rules import judged
@@ -21,7 +24,8 @@ def op1_lm_score(spark, sf_dir):
 
 def op2_quality_rules(spark, sf_dir):
     return judged(read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), keep=["doc_id", "lang"]).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_divergence", "word_divergence", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+        F.round("char_divergence", 6).alias("char_divergence"), F.round("word_divergence", 6).alias("word_divergence"), "kept",
     )
 
 
@@ -61,4 +65,3 @@ QUERIES = {
     f.__name__: f
     for f in (op1_lm_score, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_secret_scan, op6_quality_knn, op7_bpe_tree, op8_embedding_dedup, op9_packing, op10_toxicity)
 }
-ORACLE_SQL: dict[str, str] = {}

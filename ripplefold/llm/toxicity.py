@@ -1,14 +1,16 @@
 """Operator 10, toxicity by weak supervision.
 
 Voters are lexicons and patterns: fixed word lists, lexicons of words and of word beginnings mined from
-labelled training rows, and a few patterns of tone. A generative label model (naive Bayes over votes,
-fitted by expectation-maximisation; voters that agree more than their accuracies explain share their
-weight) turns the votes into posterior labels, on which a linear classifier over words and word
-beginnings is trained. Every document is then scored by that classifier, over its whole text.
-
-Contract: `per_class` bounds the labelled sample; its labels come from rows that aren't held out. A null or
-empty text has no features and scores the classifier's base rate. Without labelled rows of both classes
-every score is 0. A null doc_id counts as a training row that carries no label. Repeated rows give
+labelled training rows, sums of such words' odds over several bounds, address, and a few patterns of tone.
+A generative label model turns their votes into posterior labels: by expectation-maximisation over
+labelled and unlabelled training rows it estimates, for the hidden label, the prior and how often each
+voter fires given the label and given the vote of the one voter that it depends on most (the tree of the
+strongest pairwise dependences). Gold labels only choose the voters and tell which side is toxic. A linear
+classifier over words and word beginnings is trained on the posteriors, and scores every whole document.
+
+Contract: `per_class` bounds the labelled sample, and twice as many rows the unlabelled one; no row of either is
+held out. A null or empty text has no features and scores the classifier's base rate. Without labelled rows of
+both classes every score is 0. A null doc_id counts as a training row that carries no label. Repeated rows give
 repeated results; other columns are ignored; an empty table gives no rows.
 """
 
@@ -20,13 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplefold.llm.common import packed, remainder, unpacked
-from ripplefold.llm.labelled import labelled_sample
+from ripplefold.llm.labelled import labelled_sample, unlabelled_sample
 from ripplefold.llm.words import Block, mixed, text_blocks
 
 PER_CLASS = 2000
 PREFIX = 5
 FEATURES = 3000
 MINED_VOTERS = 12
+MOST_FALSE = 0.01
 # Insulting words, by kind.
 LEXICONS = {
     "mind": "idiot moron stupid imbecile fool dumb cretin dummkopf idiota imbécile estúpido tonto blöd crétin",
@@ -40,15 +43,20 @@ def _by_text(words: str) -> np.ndarray:
     return np.unique(Block(np.frombuffer(data, np.uint8), np.array([0, len(data)])).hashes())
 
 
+ADDRESS = _by_text("you your you're du dich dein ihr euch tu toi ton vous tú ti vosotros usted")  # fixed values: words of address
+
+
 def terms_of(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, word or word beginning) pairs, each once, and per text the shares of shouting and exclamation."""
+    """(text, word or word beginning) for all words, and per text the shares of shouted words, of those with an exclamation and of address."""
     doc = np.repeat(np.arange(len(block.counts)), block.counts)
     upper, sign = np.zeros(256, np.int64), np.zeros(256, np.int64)
     upper[65:91] = 1
     sign[ord("!")] = 1
     size = np.maximum(block.counts, 1)
-    tone = np.stack([np.bincount(doc, block.sums(t) > 1, len(block.counts)) / size for t in (upper, sign)], 1)
-    return np.concatenate([doc, doc]), np.concatenate([block.hashes(), mixed(block.hashes(prefix=PREFIX), np.uint64(4242))]), tone
+    hashed = block.hashes()
+    marks = [block.sums(upper) > 1, block.sums(sign) > 0, np.isin(hashed, ADDRESS)]
+    tone = np.stack([np.bincount(doc, x, len(block.counts)) / size for x in marks], 1)
+    return np.concatenate([doc, doc]), np.concatenate([hashed, mixed(block.hashes(prefix=PREFIX), np.uint64(4242))]), tone
 
 
 def _term_rows(batches):
@@ -60,46 +68,84 @@ def _term_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.binary())], ["doc_id", "label", "x"])
 
 
-def mined_terms(terms: list[np.ndarray], y: np.ndarray, least: int = 4, certain: float = 2.5) -> tuple[np.ndarray, np.ndarray]:
-    """Terms found in at least so many sample texts, with their smoothed log odds between the classes; only
-    those whose odds stand out by `certain` standard errors."""
-    def counted(rows):
-        return np.unique(np.concatenate(rows), return_counts=True) if rows else (np.empty(0, np.uint64), np.empty(0, np.int64))
+def mined_terms(terms: list[np.ndarray], y: np.ndarray, least: int = 3, certain: float = 12.0) -> tuple[np.ndarray, np.ndarray]:
+    """Terms found in at least so many sample texts, with their smoothed log odds between the classes; only those whose
+    likelihood ratio against equal shares is `certain`: a term that clean texts never hold needs few toxic ones at any sample size."""
+    def counted(label):
+        mine = [t for t, v in zip(terms, y) if v == label]
+        return np.unique(np.concatenate(mine), return_counts=True) if mine else (np.empty(0, np.uint64), np.empty(0, np.int64))
 
-    (t1, n1), (t0, n0) = counted([x for x, v in zip(terms, y) if v]), counted([x for x, v in zip(terms, y) if not v])
+    (t1, n1), (t0, n0) = counted(1), counted(0)
     every = np.union1d(t1, t0)
     pos, neg = np.zeros(len(every)), np.zeros(len(every))
     pos[np.searchsorted(every, t1)] = n1
     neg[np.searchsorted(every, t0)] = n0
-    odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
-    error = np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-    keep = (pos + neg >= least) & (np.abs(odds) > certain * error)
+    share = y.mean()
+    odds = np.log((pos + share) / (y.sum() + 1)) - np.log((neg + 1 - share) / ((1 - y).sum() + 1))
+    part = lambda n, expected: np.where(n > 0, n * np.log(np.maximum(n, 1) / expected), 0.0)
+    ratio = 2 * (part(pos, (pos + neg) * share) + part(neg, (pos + neg) * (1 - share)))
+    keep = (pos + neg >= least) & (ratio >= certain)
     return every[keep], odds[keep]
 
 
 class LabelModel:
-    """Posterior of a hidden binary label from votes (1 fires, 0 doesn't): class-conditional firing rates by
-    expectation-maximisation, started from the labels, and a weight for each voter that is the lower the
-    more its votes go along with others' beyond what the label explains."""
-
-    def __init__(self, votes: np.ndarray, y: np.ndarray, rounds: int = 20) -> None:
-        p = np.where(y == 1, 0.95, 0.05)
-        self.weight = np.ones(votes.shape[1])
-        for _ in range(rounds):
-            self.prior = p.mean()
-            self.on = ((votes * p[:, None]).sum(0) + 0.5) / (p.sum() + 1)
-            self.off = ((votes * (1 - p)[:, None]).sum(0) + 0.5) / ((1 - p).sum() + 1)
-            rest = votes - (p[:, None] * self.on + (1 - p)[:, None] * self.off)
-            spread = np.sqrt((rest * rest).mean(0)) + 1e-6
-            together = np.abs(rest.T @ rest / len(votes) / spread[:, None] / spread[None, :])
-            np.fill_diagonal(together, 0)
-            self.weight = 1 / (1 + np.where(together > 0.1, together, 0).sum(0))
-            # the labels of the training rows are votes too, of a fixed accuracy
-            p = self.posterior(votes, np.where(y == 1, 2.5, -2.5))
-
-    def posterior(self, votes: np.ndarray, more: np.ndarray | float = 0.0) -> np.ndarray:
-        fires, silent = np.log(self.on / self.off), np.log((1 - self.on) / (1 - self.off))
-        z = np.log(self.prior / (1 - self.prior)) + (self.weight * (votes * fires + (1 - votes) * silent)).sum(1) + more
+    """Posterior of a hidden binary label from votes (1 fires, 0 doesn't), without any gold label.
+
+    Given the label, a voter depends on at most one other, its parent: the tree that gathers most mutual information
+    given the label. Tables of firing rates and the prior come from expectation-maximisation, started from the number of votes.
+    """
+
+    def __init__(self, votes: np.ndarray, rounds: int = 30) -> None:
+        v = votes.astype(int)
+        # voters that always go together start as one
+        rest = votes - votes.mean(0)
+        spread = np.sqrt((rest * rest).mean(0)) + 1e-9
+        weight = 1 / (np.clip(rest.T @ rest / len(v) / spread[:, None] / spread[None, :], 0, 1) ** 2).sum(1).clip(1e-9)
+        p = np.where(v @ weight >= max(1.5, weight.sum() / 5), 0.9, np.where(v.any(1), 0.4, 0.02))
+        self.parent = [-1] * v.shape[1]
+        for i in range(rounds):
+            if i in (0, 3, 10):
+                self.parent = self._tree(v, p)
+            self.prior = float(np.clip(p.mean(), 1e-3, 0.5))
+            self.rates = []
+            for k, parent in enumerate(self.parent):
+                up = v[:, parent] if parent >= 0 else np.zeros(len(v), int)
+                table = np.zeros((2, 2))  # by label and the parent's vote: how often it fires
+                for label, weight in enumerate((1 - p, p)):
+                    fires, seen = np.bincount(up, weight * v[:, k], 2), np.bincount(up, weight, 2)
+                    overall = (fires.sum() + 0.5) / (seen.sum() + 1)
+                    table[label] = (fires + 2 * overall) / (seen + 2)
+                self.rates.append(np.clip(table, 1e-4, 1 - 1e-4))
+            p = self.posterior(v)
+
+    @staticmethod
+    def _tree(v: np.ndarray, p: np.ndarray) -> list[int]:
+        """For each voter its parent, -1 for the first: Prim's algorithm over mutual information given the label."""
+        m = v.shape[1]
+        gain = np.zeros((m, m))
+        for weight in (1 - p, p):
+            total = weight.sum() + 4
+            both = (v * weight[:, None]).T @ v
+            one = np.diag(both)
+            cells = [(both, one[:, None], one[None, :], 1, 1), (one[:, None] - both, one[:, None], one[None, :], 1, 0), (one[None, :] - both, one[:, None], one[None, :], 0, 1), (weight.sum() - one[:, None] - one[None, :] + both, one[:, None], one[None, :], 0, 0)]
+            for n, a, b, x, y in cells:
+                pa_, pb = ((a if x else weight.sum() - a) + 2) / total, ((b if y else weight.sum() - b) + 2) / total
+                share = (np.maximum(n, 0) + 1) / total
+                gain += total * share * np.log(share / (pa_ * pb))
+        parent, inside = [-1] * m, {0}
+        while len(inside) < m:
+            best = max(((gain[i, j], i, j) for i in inside for j in range(m) if j not in inside), default=None)
+            parent[best[2]] = best[1]
+            inside.add(best[2])
+        return parent
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        v = votes.astype(int)
+        z = np.full(len(v), np.log(self.prior / (1 - self.prior)))
+        for k, (parent, rates) in enumerate(zip(self.parent, self.rates)):
+            up = v[:, parent] if parent >= 0 else np.zeros(len(v), int)
+            fires, silent = np.log(rates[1] / rates[0])[up], np.log((1 - rates[1]) / (1 - rates[0]))[up]
+            z += np.where(v[:, k] == 1, fires, silent)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -122,21 +168,27 @@ def linear_fit(rows: list[np.ndarray], width: int, target: np.ndarray, passes: i
 class Model:
     """The features in sorted order, their weights, and the base rate."""
 
-    def __init__(self, rows: list, y: np.ndarray) -> None:
-        parts = [unpacked(r["x"]) for r in rows]
+    def __init__(self, rows: list, y: np.ndarray, more: list) -> None:
+        parts = [unpacked(r["x"]) for r in [*rows, *more]]
         terms, tone = [p[0] for p in parts], np.array([p[1] for p in parts])
-        found, odds = mined_terms(terms, y)
-        best = found[np.argsort(-odds, kind="stable")[: FEATURES // 10]]
-        best = best[np.sort(odds)[::-1][: len(best)] > 2.0]
+        found, odds = mined_terms(terms[: len(rows)], y)
+        telling = odds > 1.0
+        best = np.argsort(-odds, kind="stable")[: FEATURES // 10]
+        best = found[best[odds[best] > 2.0]]
         groups = [best[i::MINED_VOTERS] for i in range(MINED_VOTERS)]
         lexicons = [_by_text(words) for words in LEXICONS.values()] + [g for g in groups if len(g)]
-        votes = np.array([[np.isin(t, lex, assume_unique=True).any() for lex in lexicons] for t in terms], float)
-        votes = np.concatenate([votes, tone > 0.2], 1)
-        posterior = LabelModel(votes, y).posterior(votes, np.where(y == 1, 2.5, -2.5))
+        votes = [[np.isin(t, lex, assume_unique=True).any() for lex in lexicons] for t in terms]
+        sums = np.array([odds[telling & np.isin(found, t, assume_unique=True)].sum() for t in terms])  # long texts hold more of all others
+        votes = np.concatenate([np.array(votes, float), sums[:, None] > np.array([2.5, 5.0, 9.0]), tone > np.array([0.2, 0.2, 0.0])], 1)
+        # a voter that fires for no text, for too many clean ones, or is none for the toxic side, is left out
+        rate = lambda label: (votes[: len(rows)][y == label].sum(0) + 0.5) / ((y == label).sum() + 1)
+        votes = votes[:, (votes.sum(0) > 0) & (rate(1) > 1.5 * rate(0)) & (rate(0) < MOST_FALSE)]
+        posterior = LabelModel(votes).posterior(votes) if votes.shape[1] else np.full(len(votes), 0.02)
+        if len(set(y.tolist())) == 2 and posterior[: len(rows)][y == 1].mean() < posterior[: len(rows)][y == 0].mean():
+            posterior = 1 - posterior
         strong = np.argsort(-np.abs(odds), kind="stable")[:FEATURES]
         self.terms = np.unique(np.concatenate([found[strong], *lexicons]))
-        hits = [np.flatnonzero(np.isin(self.terms, t, assume_unique=True)) for t in terms]
-        self.weights, self.base = linear_fit(hits, len(self.terms), posterior)
+        self.weights, self.base = linear_fit([np.flatnonzero(np.isin(self.terms, t, assume_unique=True)) for t in terms], len(self.terms), posterior)
 
     @classmethod
     def restored(cls, state: dict | None):
@@ -167,9 +219,12 @@ def _scores(sent):
 
 
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, modulus: int = 5, held_out: int = 0) -> Model | None:
-    rows = labelled_sample(docs, labels, "toxic", modulus, held_out, per_class, _term_rows, "doc_id long, label int, x binary")
+    schema = "doc_id long, label int, x binary"
+    rows = labelled_sample(docs, labels, "toxic", modulus, held_out, per_class, _term_rows, schema)
     y = np.array([r["label"] for r in rows], np.int64)
-    return Model(rows, y) if len(set(y.tolist())) == 2 else None
+    if len(set(y.tolist())) < 2:
+        return None
+    return Model(rows, y, unlabelled_sample(docs, labels, modulus, held_out, 2 * per_class, _term_rows, schema))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, modulus: int = 5, held_out: int = 0) -> DataFrame:

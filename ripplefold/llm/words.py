@@ -95,6 +95,7 @@ def text_blocks(batches: Iterator[pa.RecordBatch], most_bytes: int = 3_000_000)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
         for i, j in zip(cuts, cuts[1:]):
             yield batch.slice(i, j - i), Block(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+    pa.default_memory_pool().release_unused()  # workers live on after their task
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -8,8 +8,9 @@ import zlib
 
 import numpy as np
 import pytest
+from oracle import differences, views
 
-from ripplefold.llm import bpe_tree, embedding_dedup, html_text, jaccard_join, lm_score, packing, quality_knn, quality_rules, secret_scan, toxicity
+from ripplefold.llm import bpe_tree, embedding_dedup, html_text, jaccard_join, lm_score, packing, quality_knn, quality_rules, queries, secret_scan, toxicity
 from ripplefold.llm.bpe_words import WordCodes, tokenizer, vocabulary
 from ripplefold.llm.common import components
 
@@ -85,18 +86,45 @@ def test_filter_has_no_cap(docs, rows):
             for a, b in zip(["</end>", *w], w):
                 one[b], two[a, b] = one.get(b, 0) + 1, two.get((a, b), 0) + 1
     n, v = sum(one.values()), len(one)
-    q = lambda c: float(lm_score.count_of(lm_score.level_of(np.array([c])))[0]) if c else 0.0
+    level = lambda c: lm_score.level_of(np.array([c]))
+    least = lambda c: float(lm_score.count_of(level(c))[0]) if c else 0.0
+    most = lambda c: float(lm_score.most_of(level(c))[0]) if c else 0.0
     want = []
     for i, w in texts:
         total = 0.0
         for a, b in zip(["</end>", *w], w):
-            x, y = q(one.get(a, 0)), q(one.get(b, 0))
-            alone = max(y - 0.75, 0.05) / n if y else 0.75 * v / n
-            total += np.log10(min(1.0, (min(q(two.get((a, b), 0)), x, y) + 200.0 * alone) / (x + 200.0)))
+            own = (least(one[b]) - 0.75) / n if one.get(b) else 0.75 * v / n / (v + 1)
+            total += np.log10((min(least(two.get((a, b), 0)), least(one.get(b, 0)), most(one.get(a, 0))) + 200.0 * own) / (most(one.get(a, 0)) + 200.0))
         want.append((str(i), round(total, 6)))
     assert sorted((str(r.doc_id), round(r.score, 6)) for r in got) == sorted(want)
 
 
+def test_probabilities_sum_to_one():
+    """After each token of a small corpus, over all known tokens and as many unknown ones (and one more)."""
+    rnd = random.Random(5)
+    tokens = [rnd.choice("abcdefgh") if rnd.random() < 0.9 else "end" for _ in range(400)]
+    one, two = {}, {}
+    for a, b in zip(["end", *tokens], tokens):
+        one[b], two[a, b] = one.get(b, 0) + 1, two.get((a, b), 0) + 1
+    n, v = len(tokens), len(one)
+    quantised = lambda f, c: float(f(lm_score.level_of(np.array([c])))[0]) if c else 0.0
+    known = {w: float(lm_score.alone(np.array([quantised(lm_score.count_of, c)]), n, v)[0]) for w, c in one.items()}
+    unknown = float(lm_score.alone(np.zeros(1), n, v)[0])
+    for a in [*one, "unseen"]:
+        before = quantised(lm_score.most_of, one.get(a, 0))
+        total = sum(lm_score.after(quantised(lm_score.count_of, two.get((a, b), 0)) if before else 0.0, before, p, 5.0) for b, p in known.items())
+        total += (v + 1) * lm_score.after(0.0, before, unknown, 5.0)
+        assert 0.6 < total <= 1 + 1e-9
+
+
+def test_nonsense_scores_below_text(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    odd = spark.createDataFrame([(10**9 + i, " ".join(f"zq{i}x{k}" for k in range(200))) for i in range(20)], "doc_id long, text string")
+    rows = [r for r in lm_score.score_documents(docs.unionByName(odd)).collect() if r.held_out and r.n_tokens > 60]
+    per = lambda keep: [r.score / r.n_tokens for r in rows if keep(r)]
+    assert max(per(lambda r: r.doc_id >= 10**9)) < np.median(per(lambda r: r.doc_id < 10**9)) - 0.5
+
+
 def test_squeezed_keys():
     keys = np.unique(np.random.default_rng(3).integers(0, 2**64, 5000, np.uint64))
     for b in range(7):
@@ -271,11 +299,14 @@ def test_packing(docs, rows, none):
     assert packing.pack_documents(none).count() == 0
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("block", [12_288, 16])
+def test_embeddings(spark, block, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     rnd = np.random.default_rng(4)
     base = rnd.normal(size=(60, 8))
     x = [*base, *(base[:20] + rnd.normal(size=(20, 8)) * 0.15), *([base[0]] * 5)]
     rows = [(i, [float(v) for v in e]) for i, e in enumerate(x)] + [(200, None), (201, [0.0] * 8), (202, [1.0, None] + [0.0] * 6), (203, [float("nan")] * 8)]
+    rows += [(300, [1.0, 2.0]), (301, [2.0, 4.0]), (302, [1e300, 2e300]), (303, [3.0]), (None, [-1.0, 1.0]), (305, [-1.0, 1.0])]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     u = np.array(x) / np.linalg.norm(x, axis=1)[:, None]
     near = u @ u.T >= 0.9
@@ -284,11 +315,85 @@ def test_embeddings(spark):
     label = list(range(len(x)))
     for _ in x:
         label = [min([label[i], *(label[j] for j in np.flatnonzero(near[i]))]) for i in range(len(x))]
-    want = {i: (int(near[i].sum()), label[i], label[i] == i) for i in range(len(x))} | {i: (0, i, True) for i in range(200, 204)}
+    want = {i: (int(near[i].sum()), label[i], label[i] == i) for i in range(len(x))} | {i: (0, i, True) for i in (*range(200, 204), 303)}
+    want |= {300: (2, 300, True), 301: (2, 300, False), 302: (2, 300, False), 305: (1, 305, True), None: (1, 305, True)}
     assert got == want
+    odd = spark.createDataFrame([(7, [1.0, 0.0], "a", "b", 3), (7, [1.0, 0.0], "a", "b", 3)], "vec_id long, embedding array<float>, name string, length string, m long")
+    assert [tuple(r) for r in embedding_dedup.near_duplicates(odd).collect()] == [(7, 1, 7, True)] * 2
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def against_sql(spark, tmp_path, query, table, df):
+    """Differences between a registered query and its SQL on a table of our own."""
+    df.write.parquet(f"{tmp_path}/{table}.parquet")
+    return differences(queries.QUERIES[query](spark, str(tmp_path)), views(str(tmp_path)), queries.ORACLE_SQL[query])
+
+
+@pytest.mark.parametrize("query", ["op2_quality_rules", "op3_jaccard_join", "op5_secret_scan"])
+def test_sql_on_odd_rows(spark, docs, none, tmp_path, query):
+    assert against_sql(spark, tmp_path / "rows", query, "documents", docs.coalesce(1)) == ""
+    assert queries.QUERIES[query](spark, str(tmp_path / "rows")).count() == docs.count()
+
+
+@pytest.mark.parametrize("query", sorted(queries.ORACLE_SQL))
+def test_sql_on_given_rows(spark, query):
+    sf = "/root/testdata/sf0.001"
+    assert differences(queries.QUERIES[query](spark, sf), views(sf), queries.ORACLE_SQL[query]) == ""
+
+
+def test_long_weak_secrets(spark, tmp_path):
+    """An opaque token is linked on either side of an access identifier, however long it is; and not beyond the reach."""
+    key, token = "AKIA" + "Q7" * 9, "Zk9" * 200
+    far = "word " * 60
+    rows = [(1, f"{token} x {key}"), (2, f"{key} x {token}"), (3, f"{key} {far}{token}"), (4, token), (5, f"{token} {key} http://a.b/c {token}"), (6, ("x " * 50_000) + f"{key} {token[:80]}"), (6, ("x " * 50_000) + f"{key} {token[:80]}")]
+    df = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.spans.count("opaque") for r in secret_scan.scan_documents(df).collect()}
+    assert got == {1: 1, 2: 1, 3: 0, 4: 0, 5: 2, 6: 1}
+    assert against_sql(spark, tmp_path / "rows", "op5_secret_scan", "documents", df.coalesce(1)) == ""
+
+
+def test_pages_of_many_kinds(spark):
+    """Hand-made pages with their main text: nothing of it may be lost, nothing else kept."""
+    long = "This is the text of a part that goes on for quite a while, and it has all of the words that are usual in it."
+    more = "And here is the other part of it, which is also long enough to be known as text by the words that it has."
+    cases = [
+        (f"<article><p title=\"a>{long}</p></article>", [long]),
+        (f"<article><p title='x > y'>{long}</p></article>", [long]),
+        (f"<article><h1>One</h1><p>{long}<p>{more}<p>To.</article><footer>the end of it</footer>", ["One", long, more, "To."]),
+        (f"<article><p>{long}</p><p>Subscribe</p><p>{more}</p></article>", [long, more]),
+        (f"<article><p>{long}</p><div>Advertisement</div><p>Short one.</p></article>", [long, "Short one."]),
+        (f"<main><p>{long}</p><ul><li><a href=x>{more}</a></li></ul></main>", [long]),
+        (f"<div class=no-sidebar><article><p>{long}</p></article></div>", [long]),
+        (f"<div id=page class='has-comments'><main><p>{long}</p></main></div>", [long]),
+        (f"<body><div>{long}</div><div class=sidebar><p>{more}</p></div></body>", [long]),
+        (f"<nav><ul><li>Home</li></ul></nav><h1>Head</h1><p>{long}</p><p>{more}</p><p>Short.</p>", ["Head", long, more, "Short."]),
+        (f"<article><p>{long}</p></article><section class=comments><article><p>{more}</p></article></section>", [long]),
+        (f"<form><p>{more}</p><input value='the of and'></form><article><p>{long}</p></article>", [long]),
+        (f"<script>var a='</p><p>{more}'</script><article><p>{long}</p></article>", [long]),
+        (f"<article><p>a &amp; b &lt;c&gt; &#233;&nbsp;{long}</p></article>", [f"a & b <c> é {long}"]),
+        (f"<article><pre>x\n  y\t z</pre><p>{long}</p></article>", ["x y z", long]),
+        (f"<ARTICLE><P>{long}<BR>{more}</P></ARTICLE>", [f"{long} {more}"]),
+        (f"<article><table><tr><td>one</td><td>two</td></tr></table><p>{long}</p></article>", ["one", "two", long]),
+        (f"<!-- <p>{more}</p> --><article><p>{long}</p><!-- x --></article>", [long]),
+        (f"<article><p>{long}</p><aside>{more}</aside><p>End of <b>it</b>.</p></article>", [long, "End of it."]),
+        (f"<div class='cookie-notice'>{more}</div><main><article><p>{long}</p></article></main>", [long]),
+        (f"<header><h1>Site</h1></header><article><header><h1>Own</h1></header><p>{long}</p></article>", ["Own", long]),
+        (f"<article><p>{long}", [long]),
+        (f"<p><a href=a>one</a> <a href=b>two</a></p><p>{long}</p>", [long]),
+        (f"<article><p>{long} 1 < 2 and 3 > 2</p></article>", [f"{long} 1 < 2 and 3 > 2"]),
+    ]
+    found = [html_text.main_text(f"<html><body>{page}</body></html>").split("\n") for page, _ in cases]
+    wrong = [(page, got, want) for (page, want), got in zip(cases, found) if got != want]
+    hits = sum(len([x for x in got if x in want]) for (_, want), got in zip(cases, found))
+    assert hits / sum(len(x) for x in found) > 0.95 and hits / sum(len(want) for _, want in cases) > 0.95, wrong
+    assert len(wrong) <= 1, wrong
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    repeated = pages.unionByName(pages).withColumn("text", pages["url"]).withColumn("n_chars", pages["page_id"])
+    rows = html_text.extract_pages(repeated).collect()
+    assert len(rows) == repeated.count() and all(r.n_chars == len(r.text) for r in rows)
+    assert html_text.main_text(f"<article>{f'<p>{long}</p>' * 20_000}</article>").count("\n") == 19_999
+
+
 @pytest.mark.parametrize("score,target", [(quality_knn.score_quality, "quality"), (toxicity.score_toxicity, "toxic")])
 def test_classifiers(spark, docs, none, score, target):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
@@ -300,6 +405,58 @@ def test_classifiers(spark, docs, none, score, target):
     assert score(none, labels).count() == 0
 
 
+def test_toxic_recall(spark):
+    """On held-out rows of the larger table: nearly all toxic ones, hardly any clean one."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score_toxicity(d, labels).join(labels, "doc_id").where("held_out").groupBy("toxic", "predicted").count().collect()
+    n = {(r.toxic, r.predicted): r["count"] for r in rows}
+    assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) >= 0.9 and n.get((0, 1), 0) / n[0, 0] < 0.01
+
+
+def test_label_model():
+    """Posteriors from votes alone, where two of the voters copy a third."""
+    rnd = np.random.default_rng(2)
+    y = rnd.random(4000) < 0.2
+    votes = np.stack([np.where(y, rnd.random(4000) < on, rnd.random(4000) < off) for on, off in [(0.7, 0.02), (0.6, 0.03), (0.8, 0.05), (0.5, 0.01), (0.4, 0.1)]], 1)
+    votes = np.concatenate([votes, votes[:, [4]], votes[:, [4]]], 1).astype(float)
+    assert ((toxicity.LabelModel(votes).posterior(votes) > 0.5) == y).mean() > 0.95
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, number long, spans string, base string, key string, kept string, n_words string, score string, node string, label string, _t string"
+
+
+def test_pipeline_stages(spark):
+    """Each stage on repeated and null ids, null, empty and repeated texts, columns of any name, and nothing at all."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    given = [r for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
+    text = next(r.text for r in given if len(r.text.split()) > 200)
+    rows = [(r.doc_id, r.text, r.lang) for r in given[:40]] + [(3, text, "en"), (5, text, "en"), (None, text, None), (3, "other words " * 9, "en"), (9001, text + " end", "en"), (9002, None, "en"), (9003, "", "en")]
+    odd = spark.createDataFrame([(i, t, g, "s", len(t or ""), *["x"], 7, *["x"] * 9) for i, t, g in rows], ODD).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, sf)
+        if name != "packing":
+            assert out.columns == odd.columns
+            assert {(r.doc_id, r.row, r.number) for r in out.collect()} <= {(i, "x", 7) for i, _, _ in rows}
+        assert stage(spark, odd.limit(0), sf).count() == 0
+    quality = [r.text for r in corpus_pipeline.quality(spark, odd, sf).collect()]
+    judged = quality_rules.judged(odd).collect()
+    assert sorted(quality) == sorted(r.text for r in judged if r["kept"] is True) and quality
+    assert len(corpus_pipeline.secrets(spark, odd, sf).collect()) == len(rows)
+
+    left = corpus_pipeline.near_duplicates(spark, odd, sf).collect()
+    sets = []
+    for _, t, _ in rows:
+        w = words(low(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set()))
+    label = linked(sets, 80, 100)
+    groups = len({g if s else (k, "alone") for k, (g, s) in enumerate(zip(label, sets))})
+    assert len(left) == groups
+    same = [r.doc_id for r in left if r.text and r.text.startswith(text)]
+    assert len(same) == 1 and same[0] is not None
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
