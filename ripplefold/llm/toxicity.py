@@ -97,14 +97,15 @@ class LabelModel:
 
     def __init__(self, votes: np.ndarray, rounds: int = 30) -> None:
         v = votes.astype(int)
-        # voters that always go together start as one
+        # of voters that nearly always go together only the first counts for the start
         rest = votes - votes.mean(0)
         spread = np.sqrt((rest * rest).mean(0)) + 1e-9
-        weight = 1 / (np.clip(rest.T @ rest / len(v) / spread[:, None] / spread[None, :], 0, 1) ** 2).sum(1).clip(1e-9)
-        p = np.where(v @ weight >= max(1.5, weight.sum() / 5), 0.9, np.where(v.any(1), 0.4, 0.02))
+        together = rest.T @ rest / len(v) / spread[:, None] / spread[None, :]
+        first = v[:, ~(np.triu(together, 1) > 0.9).any(0)]
+        p = np.where(first.sum(1) >= max(2, first.shape[1] // 5), 0.9, np.where(v.any(1), 0.4, 0.02))
         self.parent = [-1] * v.shape[1]
         for i in range(rounds):
-            if i in (0, 3, 10):
+            if i in (1, 10):
                 self.parent = self._tree(v, p)
             self.prior = float(np.clip(p.mean(), 1e-3, 0.5))
             self.rates = []
