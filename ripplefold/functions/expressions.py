@@ -46,15 +46,34 @@ def seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 
 
-def slice_bounds(values: Column, bits: str) -> tuple[Column, Column]:
-    """First and last value of the dyadic slice that `bits` (a leading 1, then halves) selects of sorted distinct values."""
+def slice_positions(n: Column, bits: str) -> tuple[Column, Column]:
+    """First and last position of the dyadic slice that `bits` (a leading 1, then halves) selects of n sorted distinct values.
+    Positions are halved on the smallest power-of-two grid that holds the last one, and only the end is capped: a slice whose first
+    position is n or more doesn't exist."""
     depth, at = len(bits) - 1, int(bits[1:] or "0", 2)
-    n = F.size(values)
-    first = F.floor(F.lit(at) * n / (1 << depth)).cast("int")
-    last = (F.floor(F.lit(at + 1) * n / (1 << depth)) - 1).cast("int")
-    return F.get(values, first), F.get(values, last)
+    digits = F.when(n > 1, F.length(F.bin((n - 1).cast("long")))).otherwise(0)
+    width = F.when(digits > depth, F.pow(F.lit(2), digits - depth)).otherwise(1).cast("long")
+    first = F.lit(at).cast("long") * width
+    return first, F.least(first + width - 1, (n - 1).cast("long"))
 
 
-def in_slice(field: Column, values: Column, bits: str) -> Column:
-    low, high = slice_bounds(values, bits)
-    return field.between(low, high)
+def slice_exists(n: Column, bits: str) -> Column:
+    return slice_positions(n, bits)[0] < n
+
+
+def clock_12(text: Column, pattern: str = "d/M/yyyy H:mm") -> Column:
+    """A time written on a 12-hour clock without morning or afternoon: hours before 8 are afternoon ones; then the zone's shift."""
+    parsed = F.to_timestamp(text, pattern)
+    return F.when(F.hour(parsed) < 8, parsed + F.expr("interval 11 hours")).otherwise(parsed - F.expr("interval 1 hour"))
+
+
+def is_tcp(protocol: Column) -> Column:
+    return protocol == 6
+
+
+def is_udp(protocol: Column) -> Column:
+    return protocol == 17
+
+
+def is_sip(protocol: Column, src_port: Column, dst_port: Column, port: int = 5060) -> Column:
+    return is_udp(protocol) & ((src_port == port) | (dst_port == port))

@@ -23,37 +23,17 @@ def super_spreaders(df: DataFrame, key: str, other: str, least: int = 0) -> Data
     return count_by(df.select(key, other).where(F.col(other).isNotNull()).distinct(), [key], "partners").where(F.col("partners") > least)
 
 
-def sketch_of(df: DataFrame, key: str, eps: float = 0.001, confidence: float = 0.99, seed: int = 7) -> DataFrame:
-    """One row: a count-min sketch of the column, of a fixed size, merged from partial sketches."""
-    return df.agg(F.count_min_sketch(F.col(key), F.lit(eps), F.lit(confidence), F.lit(seed)).alias("sketch"))
-
-
-def heavy_hitters_sketch(df: DataFrame, key: str, threshold: int, eps: float = 0.001, confidence: float = 0.99, seed: int = 7) -> DataFrame:
-    """Keys over the threshold. The sketch's estimates never fall below the true counts, so its candidates hold
-    every heavy key; only those are then counted exactly."""
-    import numpy as np
-    import pyarrow as pa
-
-    state = sketch_of(df, key, eps, confidence, seed).first()["sketch"]
-    version, total, depth, width = np.frombuffer(state[:4], ">i4")[0], *np.frombuffer(state[4:12], ">i8"), *np.frombuffer(state[12:20], ">i4")
-    if version != 1 or not total:
-        return count_by(df, [key]).where(F.col("n") > threshold)
-    hashes = np.frombuffer(state[20 : 20 + 8 * depth], ">i8").astype(np.int64)
-    counts = np.frombuffer(state[20 + 8 * depth :], ">i8").astype(np.int64).reshape(depth, width)
-    prime = (1 << 31) - 1
-
-    def estimates(batches):
-        for batch in batches:
-            item = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False)
-            least = np.full(len(item), np.iinfo(np.int64).max)
-            with np.errstate(over="ignore"):
-                for i in range(depth):
-                    h = hashes[i] * item
-                    h = (h + (h >> 32)) & prime
-                    least = np.minimum(least, counts[i][h.astype(np.int32) % width])
-            yield batch.filter(pa.array(least > threshold))
-
-    likely = df.select(F.col(key).cast("long").alias(key)).where(F.col(key).isNotNull()).mapInArrow(estimates, f"{key} long")
+def heavy_hitters_sketch(df: DataFrame, key: str, threshold: int, cells: int = 10_000, rows: int = 3) -> DataFrame:
+    """Keys over the threshold by way of a sketch of rows x cells counters, whose estimates never fall below the true counts: only
+    keys whose cell is over the threshold in every row are then counted by themselves."""
+    cell = lambda i: F.pmod(F.xxhash64(F.lit(i), F.col(key)), F.lit(cells)).cast("int")
+    known = df.select(key).where(F.col(key).isNotNull())
+    sketch = known.select(F.explode(F.array(*(F.struct(F.lit(i).alias("row"), cell(i).alias("cell")) for i in range(rows)))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    full = lambda i: F.collect_set(F.when(F.col("c.row") == i, F.col("c.cell"))).alias(f"_full{i}")
+    over = F.broadcast(sketch.where(F.col("n") > threshold).agg(*map(full, range(rows))))  # rows x cells numbers at most
+    for i in range(rows):
+        known = known.withColumn(f"_cell{i}", cell(i))
+    likely = known.join(over).where(" and ".join(f"array_contains(_full{i}, _cell{i})" for i in range(rows))).select(key)
     return count_by(likely, [key]).where(F.col("n") > threshold)
 
 
@@ -121,6 +101,18 @@ def trace_stats(df: DataFrame) -> DataFrame:
     ).join(F.broadcast(hosts))
 
 
+def trace_counters(df: DataFrame) -> DataFrame:
+    """Fourteen counters of a decoded trace: packets by version and transport, distinct addresses and ports."""
+    v4, v6, tcp, udp = F.col("version") == 4, F.col("version") == 6, F.col("protocol") == 6, F.col("protocol") == 17
+    of = lambda condition, column: F.count_distinct(F.when(condition, F.col(column)))
+    hosts = df.where(v4).select(F.explode(F.array("src", "dst")).alias("h")).distinct().agg(F.count("*").alias("ips"))
+    return df.agg(
+        F.count("*").alias("packets"), F.count_if(v4).alias("ipv4"), F.count_if(v6).alias("ipv6"), F.count_if(v4 & tcp).alias("tcp"), F.count_if(v4 & udp).alias("udp"), F.count_if(v4 & ~tcp & ~udp).alias("other"),
+        of(v4, "src").alias("srcips"), of(v4, "dst").alias("dstips"), of(v4 & tcp, "src").alias("tcpsrcips"), of(v4 & tcp, "src_port").alias("tcpsrcs"), of(v4 & tcp, "dst_port").alias("tcpdsts"),
+        of(v4 & udp, "src_port").alias("udpsrcs"), of(v4 & udp, "dst_port").alias("udpdsts"),
+    ).join(F.broadcast(hosts))
+
+
 def label_profile(df: DataFrame, label: str, ts: str) -> DataFrame:
     total = Window.partitionBy()
     out = df.groupBy(label).agg(F.count("*").alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"))

@@ -5,11 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def handshakes(df: DataFrame) -> DataFrame:
-    """SYN, then a reply from the other side, then an ACK: packets of a pair in time order, both directions under one key."""
-    a, b = F.least("src", "dst"), F.greatest("src", "dst")
-    return df.withColumn("low", a).withColumn("high", b)
+from ripplefold.functions.expressions import slice_positions
+from ripplefold.sources.stored import stored
 
 
 def seen_before(df: DataFrame, host: str, ts: str, earlier: DataFrame, earlier_host: str, earlier_ts: str) -> DataFrame:
@@ -44,12 +41,38 @@ def zipped(left: DataFrame, left_order: list[str], right: DataFrame, right_order
 
 
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """A dense 0-based number over the whole order, without a single-task window."""
+    """A dense 0-based number over the whole order, without a single-task window: range partitions, written once, with the counts
+    of those before as offsets."""
     parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    first = ranged.groupBy("_p").agg(F.min("_m").alias("_first"), F.count("*").alias("_c"))
-    before = first.withColumn("_before", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranged.join(F.broadcast(before), "_p").withColumn(name, F.col("_m") - F.col("_first") + F.col("_before")).drop("_p", "_m", "_first", "_before", "_c")
+    ranged = stored(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))  # one row a partition
+    before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return ranged.withColumn("_own", own).join(F.broadcast(before), "_p").withColumn(name, F.col("_own") + F.col("_before")).drop("_p", "_own", "_before")
+
+
+def ranked(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
+    """A 1-based rank within few keys, without one task for each: numbers over keys and order, less the first of the key."""
+    whole = stored(numbered(df, [*keys, *order], "_n"))
+    first = F.broadcast(whole.groupBy(*keys).agg(F.min("_n").alias("_first")))
+    return whole.join(first, keys).withColumn(name, (F.col("_n") - F.col("_first") + 1).cast("int")).drop("_n", "_first")
+
+
+def value_positions(df: DataFrame, fields: list[str]) -> DataFrame:
+    """idx, value, pos, n: the sorted distinct values of each field over all rows, as a table rather than as one array."""
+    pairs = df.select(F.posexplode(F.array(*fields)).alias("idx", "value")).where("value is not null").distinct()
+    placed = ranked(pairs, ["idx"], ["value"], "pos")
+    return placed.join(F.broadcast(placed.groupBy("idx").agg(F.count("*").alias("n"))), "idx").select("idx", "value", (F.col("pos") - 1).cast("long").alias("pos"), "n")
+
+
+def in_slice(df: DataFrame, field: str, bits: str, form: str = "==") -> DataFrame:
+    """Rows whose field lies in the dyadic slice of the field's values (== or ->), from its start on (>=) or up to its end (<=);
+    none where the slice doesn't exist. Only the slice's bounds, one row, are sent to all tasks."""
+    first, last = slice_positions(F.col("n"), bits)
+    found = value_positions(df, [field]).where((F.col("pos") >= first) & (F.col("pos") <= last))
+    ends = F.broadcast(found.agg(F.min("value").alias("_low"), F.max("value").alias("_high")).where("_low is not null"))
+    here = {"==": F.col(field).between(F.col("_low"), F.col("_high")), "->": F.col(field).between(F.col("_low"), F.col("_high")), ">=": F.col(field) >= F.col("_low"), "<=": F.col(field) <= F.col("_high")}[form]
+    return df.join(ends).where(here).drop("_low", "_high")
 
 
 def attach_labels(labels: DataFrame, packets: DataFrame, keys: list[str], label_ts: str, ts: str, timeout_s: int) -> DataFrame:
@@ -61,3 +84,60 @@ def attach_labels(labels: DataFrame, packets: DataFrame, keys: list[str], label_
     near = p.join(l, [*keys, "_b"]).where(gap < timeout_s).withColumn("gap", gap).drop("_b")
     best = near.groupBy("pkt_id").agg(F.min_by(F.struct("label_id", "gap"), F.struct("gap", F.col(label_ts), "label_id")).alias("best"))
     return best.select("pkt_id", "best.label_id", "best.gap")
+
+
+def attach_in_order(labels: DataFrame, packets: DataFrame, keys: list[str], label_ts: str, ts: str, timeout_s: int) -> DataFrame:
+    """Packets attached to label records, which are used up in time order: a packet belongs to the current record of its keys if it
+    lies less than timeout_s from the record's time or from the last packet attached to it; one that comes later moves on to the next
+    record, past those that start too late for it. Packets before their record or after the last are abnormal.
+
+    pkt_id, label_id (null: not attached), status (attached, abnormal, passed, unknown keys) and skipped, the records passed over.
+    Rows are sorted by key and time, and each task goes through them once with the records of one key in memory.
+    """
+    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    rows = labels.select(*keys, F.lit(0).alias("kind"), second(label_ts).alias("at"), F.col("label_id").alias("id")).unionByName(packets.select(*keys, F.lit(1).alias("kind"), second(ts).alias("at"), F.col("pkt_id").alias("id")))
+    parts = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartition(parts, *keys).sortWithinPartitions(*keys, "kind", "at", "id")
+
+    def attach(batches):
+        import pyarrow as pa
+
+        key, records, at, end = None, [], 0, None
+        for batch in batches:
+            out: list[tuple] = []
+            for *own, kind, t, i in zip(*(batch.column(c).to_pylist() for c in (*keys, "kind", "at", "id"))):
+                if own != key:
+                    key, records, at, end = own, [], 0, None
+                if kind == 0:
+                    records.append((t, i))
+                    continue
+                here = lambda: abs(records[at][0] - t) < timeout_s or end is not None and abs(end - t) < timeout_s  # noqa: B023, E731
+                skipped = 0
+                if not records:
+                    status = "unknown keys"
+                elif at >= len(records):
+                    status = "abnormal"
+                elif here():
+                    status = "attached"
+                elif t < records[at][0]:
+                    status = "abnormal"
+                else:
+                    at, end = at + 1, None
+                    while at < len(records) and records[at][0] - t >= timeout_s:
+                        at, skipped = at + 1, skipped + 1
+                    status = "abnormal" if at >= len(records) else "attached" if here() else "passed"
+                if status == "attached":
+                    end = t
+                out.append((i, records[at][1] if status == "attached" else None, status, skipped))
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*out)) or [[]] * 4, kinds)], ["pkt_id", "label_id", "status", "skipped"])
+
+    return ordered.mapInArrow(attach, "pkt_id long, label_id long, status string, skipped long")
+
+
+def coverage(attached: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of attach_in_order: packets without any record of their keys, abnormal ones, records skipped, records without a packet."""
+    used = attached.where("label_id is not null").select("label_id").distinct()
+    uncovered = labels.select("label_id").join(used, "label_id", "left_anti").agg(F.count("*").alias("uncovered"))
+    counts = attached.agg(F.count_if(F.col("status") == "attached").alias("labelled"), F.count_if(F.col("status") == "unknown keys").alias("unlabelled"), F.count_if(F.col("status") == "abnormal").alias("abnormal"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("skipped"))
+    return counts.join(F.broadcast(uncovered))

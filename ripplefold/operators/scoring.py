@@ -5,15 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def grid(traces: DataFrame, programs: DataFrame, keys: list[str]) -> DataFrame:
-    """Per trace and program, how many packets lie in the program's value range; `programs` is a small table
-    (program_id, low, high) whose rows are checked to be few before they are broadcast."""
-    if programs.count() > 100_000:
-        raise ValueError("score the programs in batches of at most 100,000")
-    hit = traces.crossJoin(F.broadcast(programs)).where((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")))
-    counts = hit.groupBy("program_id", *keys).agg(F.count("*").alias("upper"))
-    every = traces.select(*keys).distinct().crossJoin(F.broadcast(programs.select("program_id")))
+from ripplefold.functions.expressions import slice_positions
+from ripplefold.operators.joins import ranked, value_positions
+from ripplefold.sources.stored import stored
+
+
+def grid(traces: DataFrame, programs: DataFrame, keys: list[str], buckets: int = 64) -> DataFrame:
+    """Per trace and program, how many packets lie in the program's value range. Values are counted per trace first, and meet
+    only the programs of their value bucket; the result has a row for every trace and program, which is what is asked for."""
+    span = programs.agg(F.min("low").alias("a"), F.max("high").alias("b")).first()
+    width = max(1, ((span["b"] or 0) - (span["a"] or 0)) // buckets + 1)
+    bucket = lambda c: F.floor(F.col(c) / width)
+    ranges = programs.withColumn("_b", F.explode(F.sequence(bucket("low"), bucket("high"))))
+    values = traces.groupBy(*keys, "x").agg(F.count("*").alias("c")).withColumn("_b", bucket("x"))
+    hit = values.join(ranges, "_b").where((F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")))
+    counts = hit.groupBy("program_id", *keys).agg(F.sum("c").alias("upper"))
+    every = traces.select(*keys).distinct().join(programs.select("program_id"))
     return every.join(counts, ["program_id", *keys], "left").select("program_id", *keys, F.coalesce("upper", F.lit(0)).cast("long").alias("upper"))
 
 
@@ -29,15 +36,75 @@ def accuracy(scored: DataFrame) -> DataFrame:
     )
 
 
-def rank_pairs(scores: DataFrame) -> DataFrame:
+def rank_pairs(scores: DataFrame, positive: str = "upper", negative: str = "upper") -> DataFrame:
     """The i-th smallest positive with the i-th largest negative, the shorter side stretched over the longer."""
-    p = scores.where("label = 1").withColumn("i", F.row_number().over(Window.partitionBy("program_id").orderBy("upper", "trace_id"))).select("program_id", "i", F.col("upper").alias("pos"))
-    n = scores.where("label = 0").withColumn("i", F.row_number().over(Window.partitionBy("program_id").orderBy(F.desc("upper"), "trace_id"))).select("program_id", "i", F.col("upper").alias("neg"))
+    scores = stored(scores.select("program_id", "label", "trace_id", F.col(positive).alias("pos"), F.col(negative).alias("neg")))
+    p = ranked(scores.where("label = 1"), ["program_id"], ["pos", "trace_id"], "ip").select("program_id", "ip", "pos")
+    n = ranked(scores.where("label = 0").withColumn("down", -F.col("neg")), ["program_id"], ["down", "trace_id"], "ineg").select("program_id", "ineg", "neg")
     sizes = scores.groupBy("program_id").agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")).where("n_pos > 0 and n_neg > 0")
     longest = F.greatest("n_pos", "n_neg")
     steps = sizes.select("program_id", "n_pos", "n_neg", F.explode(F.sequence(F.lit(1), longest.cast("int"))).alias("i"), longest.alias("m"))
     steps = steps.select("program_id", "i", F.ceil(F.col("i") * F.col("n_pos") / F.col("m")).cast("int").alias("ip"), F.ceil(F.col("i") * F.col("n_neg") / F.col("m")).cast("int").alias("ineg"))
-    return steps.join(p.withColumnRenamed("i", "ip"), ["program_id", "ip"]).join(n.withColumnRenamed("i", "ineg"), ["program_id", "ineg"]).select("program_id", "i", "pos", "neg")
+    return steps.join(p, ["program_id", "ip"]).join(n, ["program_id", "ineg"]).select("program_id", "i", "pos", "neg")
+
+
+def acceptable(scores: DataFrame, accuracy: float) -> DataFrame:
+    """Whether a partial program may still be right, by the bounds of its results: pairs of the positives' upper bounds, smallest
+    first, and the negatives' lower bounds, largest first, of which at most a share of 1 - accuracy may be in the wrong order."""
+    pairs = rank_pairs(scores, "upper", "lower")
+    out = pairs.groupBy("program_id").agg(F.count_if(F.col("pos") <= F.col("neg")).alias("invalid"), F.count("*").alias("pairs"))
+    return out.withColumn("accepted", F.col("invalid") <= (1 - accuracy) * F.col("pairs"))
+
+
+def weighted_round(scores: DataFrame, weights: DataFrame, required: float, reached: float) -> tuple[bool, DataFrame]:
+    """One round of the weighted acceptance of one program: the mean weight of the examples whose verdict is right must come up to
+    `required`; if it does, their weights become (reached + w) / 2. scores: label, trace_id, right; weights: label, trace_id, weight."""
+    both = scores.join(weights, ["label", "trace_id"])
+    value = both.agg(F.avg(F.when(F.col("right"), F.col("weight")).otherwise(0.0)).alias("v")).first()["v"] or 0.0
+    if value < required:
+        return False, weights
+    return True, stored(both.select("label", "trace_id", F.when(F.col("right"), (F.lit(reached) + F.col("weight")) / 2).otherwise(F.col("weight")).alias("weight")))
+
+
+def result_vectors(scores: DataFrame) -> DataFrame:
+    """Per trace, the results of all programs in their order."""
+    return scores.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("program_id", "upper"))), lambda x: x["upper"]).alias("results"))
+
+
+def complexity(programs: DataFrame, unit: int = 100) -> DataFrame:
+    """A candidate's complexity: its terms, one for each join of two parts, and a penalty for each part still open, in units."""
+    return programs.withColumn("complexity", (F.lit(unit) * (F.col("terms") + F.greatest(F.col("parts") - 1, F.lit(0)) + 2 * F.col("open_parts"))).cast("long"))
+
+
+def atoms(df: DataFrame, fields: list[str], depth: int) -> DataFrame:
+    """Candidate programs of one predicate: field and dyadic slice up to a depth, with the slice's value bounds, where it exists."""
+    found = None
+    slices = [format(x, "b") for d in range(1, depth + 1) for x in range(1 << d, 2 << d)]
+    positions = stored(value_positions(df, fields))
+    for bits in slices:  # a fixed number of templates
+        first, last = slice_positions(F.col("n"), bits)
+        one = positions.where((F.col("pos") >= first) & (F.col("pos") <= last)).groupBy("idx").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+        one = one.select(F.concat("idx", F.lit(f":{bits}")).alias("program_id"), "idx", "low", "high", F.lit(len(bits)).alias("terms"), F.lit(1).alias("parts"), F.lit(0).alias("open_parts"))
+        found = one if found is None else found.unionByName(one)
+    return complexity(found)
+
+
+def sweep(traces: DataFrame, fields: list[str], depth: int) -> DataFrame:
+    """All one-predicate candidates over labelled traces (label, trace_id and the fields), with learned thresholds, both accuracies
+    and their rank: the most accurate first, then the simplest."""
+    programs = stored(atoms(traces, fields, depth))
+    keys = ["label", "trace_id"]
+    long = traces.select(*keys, F.posexplode(F.array(*fields)).alias("idx", "x"))
+    ranges = F.broadcast(programs.select("program_id", F.col("idx").alias("_idx"), "low", "high"))  # a fixed number of templates
+    hit = long.groupBy(*keys, "idx", "x").agg(F.count("*").alias("c")).join(ranges, (F.col("idx") == F.col("_idx")) & F.col("x").between(F.col("low"), F.col("high")))
+    counts = hit.groupBy("program_id", *keys).agg(F.sum("c").alias("upper"))
+    every = traces.select(*keys).distinct().join(F.broadcast(programs.select("program_id")))
+    scores = stored(every.join(counts, ["program_id", *keys], "left").withColumn("upper", F.coalesce("upper", F.lit(0))))
+    limits = thresholds(scores).select("program_id", F.col("threshold").alias("limit"))
+    rated = accuracy(scores.join(limits, "program_id").withColumn("positive", F.coalesce(F.col("upper") > F.col("limit"), F.lit(False))))
+    table = rated.join(limits, "program_id").join(programs.select("program_id", "complexity"), "program_id")
+    order = Window.orderBy(F.desc(F.col("tpr") + F.col("tnr")), "complexity", "program_id")  # one row a candidate
+    return table.withColumn("place", F.row_number().over(order)).select("place", "program_id", F.col("limit").alias("threshold"), "tpr", "tnr", "complexity")
 
 
 def thresholds(scores: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ripplefold.operators import patterns as Q
 from ripplefold.operators import prepare as D
 from ripplefold.operators import scoring as L
 from ripplefold.operators import windows as W
+from ripplefold.plans import extended
 from ripplefold.sources.packets import packets, table, trace_texts
 from ripplefold.streaming import jobs as R
 
@@ -50,7 +51,6 @@ add("a04_heavy_hitters", lambda p: A.heavy_hitters(p, ["src", "dst"], "len", 50_
 add("a05_super_spreaders", lambda p: A.super_spreaders(p, "src", "dst", 20), "SELECT src, count(DISTINCT dst) AS partners FROM {pk} GROUP BY src HAVING count(DISTINCT dst) > 20")
 add("a06_distinct_sources", lambda p: p.agg(F.count_distinct("src").alias("n")), "SELECT count(DISTINCT src) AS n FROM {pk}")
 add("a07_heavy_hitters_sketch", lambda p: A.heavy_hitters_sketch(p, "src", 60), "SELECT src, count(*) AS n FROM {pk} WHERE src IS NOT NULL GROUP BY src HAVING count(*) > 60")
-add("a08_super_spreaders_approx", lambda p: A.super_spreaders_approx(p, "src", "dst"))
 add("a09_frequency", lambda p: A.frequency_by(p, "src").select("src", "n", F.round("share", 9).alias("share")), "SELECT src, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM {pk} GROUP BY src")
 add("a10_entropy", lambda p: A.entropy(p, "src"), "WITH c AS (SELECT count(*) AS n FROM {pk} GROUP BY src) SELECT round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) AS entropy FROM c")
 add("a11_flow_size_share", lambda p: A.share_between(p, ["src", "dst"], "len", 10_000, 100_000), "WITH c AS (SELECT sum(len) AS t FROM {pk} GROUP BY src, dst) SELECT count(*) FILTER (t > 10000 AND t < 100000) AS inside, count(*) AS pairs, round(count(*) FILTER (t > 10000 AND t < 100000) / count(*), 6) AS share FROM c")
@@ -75,7 +75,6 @@ add("a16_trace_stats", A.trace_stats, """SELECT count(*) AS packets, count(*) FI
  count(DISTINCT dst) AS targets, count(DISTINCT (src, dst)) AS pairs, sum(len)::BIGINT AS bytes, (SELECT count(*) FROM (SELECT src FROM {pk} UNION SELECT dst FROM {pk})) AS hosts FROM {pk}""")
 add("a17_distinct_hosts", lambda p: p.select("src").union(p.select("dst")).distinct().agg(F.count("*").alias("hosts")), "SELECT count(*) AS hosts FROM (SELECT src FROM {pk} UNION SELECT dst FROM {pk})")
 add("a18_label_profile", lambda p: A.label_profile(p, "kind", "ts"), "SELECT kind, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, round(count(*) / sum(count(*)) OVER (), 6) AS ratio FROM {pk} GROUP BY kind")
-add("a19_value_ranges", lambda p: A.value_ranges(p, ["src", "dst"]).select("idx", F.size("values").alias("n"), F.array_join(F.col("values").cast("array<string>"), ",").alias("vals")), "SELECT idx, count(*)::INT AS n, string_agg(v::VARCHAR, ',' ORDER BY v) AS vals FROM (SELECT DISTINCT 0 AS idx, src AS v FROM {pk} WHERE src IS NOT NULL UNION SELECT DISTINCT 1, dst FROM {pk} WHERE dst IS NOT NULL) GROUP BY idx")
 add("a20_score_histogram", lambda p: A.count_by(A.count_by(p, ["src", "kind"], "upper"), ["kind", "upper"]), "WITH c AS (SELECT src, kind, count(*) AS upper FROM {pk} GROUP BY src, kind) SELECT kind, upper, count(*) AS n FROM c GROUP BY kind, upper")
 add("a22_duplicate_acks", lambda p: A.duplicates(p.where("ack"), ["src"], "dst"), "WITH c AS (SELECT src, dst, count(*) AS n FROM {pk} WHERE ack GROUP BY src, dst) SELECT src, count(*) FILTER (n >= 2) AS repeated FROM c GROUP BY src")
 add("a23_heavy_users", lambda p: A.heavy_users(p, "src", "len", 1.2), "WITH c AS (SELECT src, sum(len) AS total FROM {pk} GROUP BY src) SELECT src, total::BIGINT AS total FROM c WHERE total * (SELECT count(*) FROM c) > 1.2 * (SELECT sum(total) FROM c)")
@@ -89,15 +88,8 @@ for _name, _predicate, _sql in (
     add(_name, lambda p, f=_predicate: p.where(f()).select("pkt_id"), f"SELECT pkt_id FROM {{pk}} WHERE {_sql}")
 add("p14_choose", lambda p: p.select("pkt_id", E.choose(F.col("syn"), F.col("len"), -F.col("len")).alias("v")), "SELECT pkt_id, CASE WHEN syn THEN len ELSE -len END AS v FROM {pk}")
 add("p15_member", lambda p: p.select("pkt_id", F.struct("src", "dst").alias("last")).select("pkt_id", "last.src"), "SELECT pkt_id, src FROM {pk}")
-add("p16_features", lambda p: p.select("pkt_id", F.array_join(F.array(F.lit(0), "src", "dst", "len").cast("array<string>"), " ").alias("features")), "SELECT pkt_id, concat_ws(' ', 0, src, dst, len) AS features FROM {pk}")
 
 
-def _sliced(p):
-    r = A.value_ranges(p, ["src"]).select(F.col("values").alias("v"))
-    return p.join(F.broadcast(r)).where(E.in_slice(F.col("src"), F.col("v"), "101")).select("pkt_id")
-
-
-add("p09_dyadic_slice", _sliced, "WITH v AS (SELECT src, row_number() OVER (ORDER BY src) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT src FROM {pk})) SELECT pkt_id FROM {pk} JOIN v USING (src) WHERE i >= floor(n / 4) AND i <= floor(2 * n / 4) - 1")
 add("p19_flow_length", lambda p: A.count_by(p, ["src", "dst"]).where(F.col("n").between(2, 5)), "SELECT src, dst, count(*) AS n FROM {pk} GROUP BY src, dst HAVING count(*) BETWEEN 2 AND 5")
 
 # windows and time
@@ -107,7 +99,6 @@ add("w04_traffic_change", lambda p: W.traffic_change(p, ["src"], "ts", "len", 36
 add("w05_recent", lambda p: p.join(F.broadcast(p.agg(F.max("ts").alias("end_ts")))).where(E.seconds(F.col("ts")) > E.seconds(F.col("end_ts")) - 86_400).select("pkt_id"), "SELECT pkt_id FROM {pk} WHERE sec > (SELECT max(sec) FROM {pk}) - 86400")
 add("w06_longest_run", lambda p: W.longest_run(p, ["src"], ["ts", "pkt_id"], "ack"), "WITH a AS (SELECT src, ack, row_number() OVER (PARTITION BY src ORDER BY ts, pkt_id) AS n, ts, pkt_id FROM {pk}), b AS (SELECT src, n - row_number() OVER (PARTITION BY src ORDER BY ts, pkt_id) AS g FROM a WHERE ack), c AS (SELECT src, g, count(*) AS r FROM b GROUP BY src, g) SELECT src, max(r) AS longest FROM c GROUP BY src")
 add("w07_segments", lambda p: W.segments(p, ["src"], ["ts", "pkt_id"], ["kind"]).select("pkt_id", "segment"), "WITH a AS (SELECT pkt_id, src, ts, CASE WHEN lag(kind) OVER (PARTITION BY src ORDER BY ts, pkt_id) IS DISTINCT FROM kind THEN 1 ELSE 0 END AS c FROM {pk}) SELECT pkt_id, sum(c) OVER (PARTITION BY src ORDER BY ts, pkt_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM a")
-add("w08_rank", lambda p: p.select("pkt_id", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("len"), "pkt_id")).alias("r")), "SELECT pkt_id, row_number() OVER (PARTITION BY kind ORDER BY len DESC, pkt_id) AS r FROM {pk}")
 add("w09_sample_windows", lambda p: W.sample_windows(p, ["src"], ["ts", "pkt_id"], 10).groupBy("src", "sample").agg(F.count("*").alias("n")), "WITH a AS (SELECT src, (row_number() OVER (PARTITION BY src ORDER BY ts, pkt_id) - 1) // 10 AS sample FROM {pk}) SELECT src, sample, count(*) AS n FROM a GROUP BY src, sample")
 add("w10_clock_repair", lambda p: p.select("pkt_id", F.when(F.hour("ts") < 8, F.col("ts") + F.expr("interval 11 hours")).otherwise(F.col("ts") - F.expr("interval 1 hour")).alias("fixed")), "SELECT pkt_id, CASE WHEN hour(ts) < 8 THEN ts + INTERVAL 11 HOUR ELSE ts - INTERVAL 1 HOUR END AS fixed FROM {pk}")
 add("t01_tumbling", lambda p: W.tumbling_sums(p, "ts", "len", 3_600_000), "WITH s AS (SELECT CAST(floor(epoch_ms(ts) / 3600000) * 3600000 AS BIGINT) AS b, sum(len) AS t FROM {pk} GROUP BY 1), g AS (SELECT unnest(generate_series((SELECT min(b) FROM s), (SELECT max(b) FROM s), 3600000)) AS bucket) SELECT bucket, coalesce(t, 0)::BIGINT AS total FROM g LEFT JOIN s ON b = bucket")
@@ -144,24 +135,12 @@ def _flow_life(p):
 
 
 add("q14_flow_life", _flow_life, "WITH c AS (SELECT pkt_id, fin, sec, last_value(CASE WHEN syn THEN sec END IGNORE NULLS) OVER (PARTITION BY src ORDER BY ts, pkt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM {pk} WHERE syn OR fin) SELECT pkt_id, sec - o AS life FROM c WHERE fin AND o IS NOT NULL")
-add("q15_half_open", lambda p: Q.encoded(p, ["src"], ["ts", "pkt_id"], sym()).select("src", (F.regexp_count("symbols", F.lit("s")) - F.regexp_count("symbols", F.lit("s[^sf]*a[^sf]*f"))).cast("long").alias("half_open")), _enc + " SELECT src, len(regexp_extract_all(x, 's')) - len(regexp_extract_all(x, 's[^sf]*a[^sf]*f')) AS half_open FROM e")
 add("q18_transitions", lambda p: p.withColumn("prev", F.lag("kind").over(Window.partitionBy("src").orderBy("ts", "pkt_id"))).groupBy("src").agg(F.count_if((F.col("prev") == "view") & (F.col("kind") == "click")).alias("requests")), "WITH c AS (SELECT src, kind, lag(kind) OVER (PARTITION BY src ORDER BY ts, pkt_id) AS prev FROM {pk}) SELECT src, count(*) FILTER (prev = 'view' AND kind = 'click') AS requests FROM c GROUP BY src")
 add("q19_ongoing", lambda p: Q.match(p, ["src"], ["ts", "pkt_id"], sym(), Q.seq(Q.star(Q.anyone()), Q.one("s"), Q.star(Q.but("f")))).where("matched").select("src"), _enc + " SELECT src FROM e WHERE regexp_full_match(x, '.*s[^f]*')")
 add_on("q20_word_count", lambda s, d: table(s, d, "documents").select("doc_id", F.regexp_count("text", F.lit("the")).cast("long").alias("n")), "SELECT doc_id, len(regexp_extract_all(text, 'the')) AS n FROM documents")
 
 # joins
-add("j03_canonical_direction", lambda p: A.sum_by(J.handshakes(p), ["low", "high"], "len"), "SELECT least(src, dst) AS low, greatest(src, dst) AS high, sum(len)::BIGINT AS total FROM {pk} GROUP BY 1, 2")
-
-
-def _syn_ack_fin(p):
-    k = ["src", "dst"]
-    s = p.where("syn").select(*k, F.col("ts").alias("t1"), F.col("pkt_id").alias("syn_id"))
-    a = p.where("ack").select(*k, F.col("ts").alias("t2"))
-    f = p.where("fin").select(*k, F.col("ts").alias("t3"))
-    return s.join(a, k).where("t1 < t2").join(f, k).where("t2 < t3").select("syn_id").distinct()
-
-
-add("j04_handshake", _syn_ack_fin, "SELECT DISTINCT s.pkt_id AS syn_id FROM {pk} s JOIN {pk} a ON a.src = s.src AND a.dst = s.dst AND a.ack AND a.ts > s.ts JOIN {pk} f ON f.src = s.src AND f.dst = s.dst AND f.fin AND f.ts > a.ts WHERE s.syn")
+add("j03_canonical_direction", lambda p: A.sum_by(p.withColumn("low", F.least("src", "dst")).withColumn("high", F.greatest("src", "dst")), ["low", "high"], "len"), "SELECT least(src, dst) AS low, greatest(src, dst) AS high, sum(len)::BIGINT AS total FROM {pk} GROUP BY 1, 2")
 
 
 def _inside(p):
@@ -198,12 +177,9 @@ _idx = lambda p: D.indexed(_flows(p), ["src"], ["open_ts", "dst"])
 add("d01_flows", _flows, f"WITH {_flows_sql} SELECT * FROM f")
 add("d02_split_by_kind", lambda p: A.count_by(p.where("kind <> 'view'"), ["src", "kind"]).where("kind = 'error'"), "SELECT src, kind, count(*) AS n FROM {pk} WHERE kind = 'error' GROUP BY src, kind")
 add("d03_batches", lambda p: D.batches(_idx(p), "idx", 4, 5, 2, 1).select("src", "dst", "sample"), _idx_sql + " SELECT src, dst, (idx - 2) // 5 AS sample FROM i WHERE idx >= 2 AND (idx - 2) // 5 < 5 AND (idx - 2) % 5 < 4")
-add("d04_mix", lambda p: D.mixed_by_ratio(p.withColumn("label", F.col("rst").cast("int")), "label", "pkt_id", 1, 3).select("pkt_id", "label"))
 add("d06_rechunk", lambda p: D.rechunked(_idx(p), "idx", [2, 5]).groupBy("src", "size", "sample").agg(F.count("*").alias("n")), _idx_sql + " SELECT src, s AS size, idx // s AS sample, count(*) AS n FROM i, (VALUES (2), (5)) v(s) GROUP BY src, s, idx // s")
 add("d07_interleave", lambda p: D.interleaved(D.indexed(p.withColumn("label", F.col("rst").cast("int")), ["src", "label"], ["ts", "pkt_id"]), "label", "idx", 3, 1).select("pkt_id", "slot"), "WITH i AS (SELECT pkt_id, rst, row_number() OVER (PARTITION BY src, rst ORDER BY ts, pkt_id) - 1 AS idx FROM {pk}) SELECT pkt_id, CASE WHEN NOT rst THEN idx // 3 * 4 + idx % 3 ELSE idx * 4 + 3 END AS slot FROM i")
 add("d08_after_trigger", lambda p: D.after_trigger(p, ["src"], ["ts", "pkt_id"], "syn").select("pkt_id"), "SELECT pkt_id FROM (SELECT pkt_id, max(syn::INT) OVER (PARTITION BY src ORDER BY ts, pkt_id ROWS UNBOUNDED PRECEDING) AS o FROM {pk}) WHERE o = 1")
-add("d09_periodic", lambda p: D.periodic_samples(D.indexed(p, ["src"], ["ts", "pkt_id"]), "idx", 10, 3).select("pkt_id", "sample"))
-add("d10_halves", lambda p: D.halves(p, "kind", "pkt_id").select("pkt_id", "half"), "SELECT pkt_id, ntile(2) OVER (PARTITION BY kind ORDER BY pkt_id) AS half FROM {pk}")
 add("d11_one_class", lambda p: D.indexed(p.where("rst"), ["src"], ["ts", "pkt_id"]).where("idx between 2 and 6").select("pkt_id"), "SELECT pkt_id FROM (SELECT pkt_id, row_number() OVER (PARTITION BY src ORDER BY ts, pkt_id) - 1 AS i FROM {pk} WHERE rst) WHERE i BETWEEN 2 AND 6")
 add("s06_trace_texts", lambda p: trace_texts(p.select(F.lit(1).alias("label"), F.col("src").alias("trace_id"), F.col("pkt_id").alias("pos"), F.array("dst", "len").alias("features"))), "SELECT 1 AS label, src AS trace_id, string_agg(dst || ' ' || len, chr(10) ORDER BY pkt_id) AS text FROM {pk} GROUP BY src")
 
@@ -236,7 +212,9 @@ add("f04_f05_addresses", lambda p: p.select("pkt_id", E.ip_to_text(F.col("src")
 add("f10_time_bucket", lambda p: A.count_by(p.select(E.bucket_ms(F.col("ts"), 60_000).alias("bucket")), ["bucket"]), "SELECT CAST(floor(epoch_ms(ts) / 60000) * 60000 AS BIGINT) AS bucket, count(*) AS n FROM {pk} GROUP BY 1")
 
 # streams over the event table
-add_on("r01_live_counts", lambda s, d: R.drained(R.live_counts(R.packet_stream(s, d), "src"), "complete").groupBy("src").agg(F.max("n").alias("n")), "SELECT src, count(*) AS n FROM {pk} GROUP BY src")
+add_on("r01_live_counts", lambda s, d: R.drained(R.live_counts(R.packet_stream(s, d), "src"), "update").groupBy("src").agg(F.max_by("n", "batch").alias("n")), "SELECT src, count(*) AS n FROM {pk} GROUP BY src")
 add_on("r06_same_query", lambda s, d: R.drained(R.packet_stream(s, d).where("syn or fin").select("pkt_id", "src")), "SELECT pkt_id, src FROM {pk} WHERE syn OR fin")
 add_on("r07_tumbling_stream", lambda s, d: R.drained(R.windowed_sums(R.packet_stream(s, d), [], "1 hour", None, "1 hour"), "update").groupBy("window_start").agg(F.max_by("total", "batch").alias("total")), "SELECT date_trunc('hour', ts) AS window_start, sum(len)::BIGINT AS total FROM {pk} GROUP BY 1")
 add_on("r03_sliding_stream", lambda s, d: R.drained(R.windowed_sums(R.packet_stream(s, d), ["src"], "2 hours", "1 hour", "2 hours"), "update").groupBy("src", "window_start").agg(F.max_by("total", "batch").alias("total")), "SELECT src, w AS window_start, sum(len)::BIGINT AS total FROM (SELECT src, len, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM {pk}) GROUP BY src, w")
+
+extended.register(add, add_on, _scores, _score_sql, _pairs_sql)

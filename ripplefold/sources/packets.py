@@ -8,6 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ripplefold.operators.joins import numbered, zipped
+from ripplefold.sources.stored import stored
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,20 +36,27 @@ def _frames(batches):
     """Packet records of whole capture files, one file at a time."""
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            rows, at = [], 24
-            if len(content) >= 24:
-                magic = content[:4]
-                order = "<" if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1") else ">"
-                nano = magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d")
-                linktype = struct.unpack(order + "I", content[20:24])[0]
-                while at + 16 <= len(content):
-                    sec, frac, cap, _ = struct.unpack(order + "IIII", content[at : at + 16])
-                    rows.append((path, len(rows), sec * 1_000_000 + (frac // 1000 if nano else frac), cap, linktype, content[at + 16 : at + 16 + cap]))
-                    at += 16 + cap
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            for i in range(0, len(rows), 20_000):
-                part = rows[i : i + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), kinds)], ["file", "pkt_no", "ts_us", "caplen", "linktype", "raw"])
+            rows, at, number = [], 24, 0
+            if len(content) < 24:
+                continue
+            magic = content[:4]
+            order = "<" if magic in (b"\xd4\xc3\xb2\xa1", b"\x4d\x3c\xb2\xa1") else ">"
+            nano = magic in (b"\x4d\x3c\xb2\xa1", b"\xa1\xb2\x3c\x4d")
+            linktype = struct.unpack(order + "I", content[20:24])[0]
+            while at + 16 <= len(content):
+                sec, frac, cap, _ = struct.unpack(order + "IIII", content[at : at + 16])
+                rows.append((path, number, sec * 1_000_000 + (frac // 1000 if nano else frac), cap, linktype, content[at + 16 : at + 16 + cap]))
+                at, number = at + 16 + cap, number + 1
+                if len(rows) == 20_000:
+                    yield _framed(rows)
+                    rows = []
+            if rows:
+                yield _framed(rows)
+
+
+def _framed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], ["file", "pkt_no", "ts_us", "caplen", "linktype", "raw"])
 
 
 def read_pcap(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -86,14 +96,26 @@ def payload_tokens(df: DataFrame, width: int, n: int, column: str = "payload") -
     return df.withColumn("tokens", F.transform(F.sequence(F.lit(0), F.least(F.length(column) * per, F.lit(n)) - 1), token))
 
 
+def _trace_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The pieces between blank lines, with `head` true for the first of each file, which begins with the two header lines."""
+    parts = spark.read.option("lineSep", "\n\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("trace_id"))
+    first = F.broadcast(parts.groupBy("file").agg(F.min("trace_id").alias("first")))  # one row a file
+    return parts.join(first, "file").withColumn("head", F.col("trace_id") == F.col("first")).drop("first")
+
+
 def read_traces(spark: SparkSession, path: str, label: int) -> DataFrame:
-    """Token traces: blank lines part traces, a line is a packet; the two header lines are dropped."""
-    parts = spark.read.option("lineSep", "\n\n").text(path).withColumn("trace_id", F.monotonically_increasing_id())
+    """Token traces: blank lines part traces, a line is a packet; each file's two header lines are left out."""
     lines = F.filter(F.split("value", "\n"), lambda x: F.trim(x) != "")
-    df = parts.withColumn("lines", lines).withColumn("lines", F.when(F.col("trace_id") == 0, F.expr("slice(lines, 3, greatest(size(lines) - 2, 0))")).otherwise(F.col("lines")))
+    df = _trace_parts(spark, path).withColumn("lines", F.when(F.col("head"), F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0)))).otherwise(lines))
     return df.select(F.lit(label).alias("label"), "trace_id", F.posexplode("lines").alias("pos", "line")).select("label", "trace_id", "pos", F.transform(F.split(F.trim("line"), r"\s+"), lambda x: x.cast("long")).alias("features"))
 
 
+def trace_kinds(spark: SparkSession, path: str) -> DataFrame:
+    """idx, kind: what the headers say of each field (0 scalar, 1 ranged, 2 discrete)."""
+    heads = _trace_parts(spark, path).where("head").select(F.split(F.trim(F.get(F.split("value", "\n"), 1)), r"\s+").alias("k")).distinct()
+    return heads.select(F.posexplode("k").alias("idx", "kind")).select("idx", F.col("kind").cast("int").alias("kind")).distinct()
+
+
 def trace_texts(traces: DataFrame) -> DataFrame:
     """Each trace as the text that write_traces puts between blank lines."""
     lines = traces.select("label", "trace_id", "pos", F.array_join(F.transform("features", lambda x: x.cast("string")), " ").alias("line"))
@@ -101,16 +123,13 @@ def trace_texts(traces: DataFrame) -> DataFrame:
 
 
 def write_traces(traces: DataFrame, kinds: list[int], path: str) -> None:
-    n = traces.select("label", "trace_id").distinct().count()
-    head = f"{n} {len(kinds)}\n{' '.join(map(str, kinds))}\n"
-    texts = trace_texts(traces).orderBy("label", "trace_id").withColumn("n", F.row_number().over(_by_trace()))
-    texts.select(F.when(F.col("n") == 1, F.concat(F.lit(head), "text")).otherwise(F.col("text")).alias("value")).coalesce(1).write.option("lineSep", "\n\n").text(path)
-
-
-def _by_trace():
-    from pyspark.sql import Window
-
-    return Window.orderBy("label", "trace_id")
+    """Part files in order; the header opens the first trace of the first."""
+    texts = stored(trace_texts(traces))
+    size = texts.agg(F.count("*").alias("n"), F.min(F.struct("label", "trace_id")).alias("first")).first()
+    head = f"{size['n']} {len(kinds)}\n{' '.join(map(str, kinds))}\n"
+    first = (F.col("label") == size["first"]["label"]) & (F.col("trace_id") == size["first"]["trace_id"]) if size["n"] else F.lit(False)
+    ordered = texts.repartitionByRange("label", "trace_id").sortWithinPartitions("label", "trace_id")
+    ordered.select(F.when(first, F.concat(F.lit(head), "text")).otherwise(F.col("text")).alias("value")).write.option("lineSep", "\n\n").text(path)
 
 
 FLOW_LABELS = "flow_id string, src_ip string, src_port int, dst_ip string, dst_port int, protocol int, time string"
@@ -132,7 +151,57 @@ def read_programs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where("trim(value) <> ''").select(F.get(parts, 0).alias("program"), F.get(parts, 1).cast("long").alias("threshold"), (F.get(parts, 2) == "1").alias("tie_is_neg"))
 
 
-def read_labelled_strings(spark: SparkSession, path: str, n_positive: int) -> DataFrame:
-    """Strings of one file with its header line; the first n_positive of them are positive."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("id", "text"))
-    return lines.where("id > 0 and text <> ''").select("id", F.when(F.col("id") <= n_positive, 1).otherwise(0).alias("label"), "text")
+def read_labelled_strings(spark: SparkSession, path: str) -> DataFrame:
+    """Strings of one file below a header line, whose last two numbers are how many positive and negative ones there are."""
+    lines = numbered(spark.read.text(path).where("value <> ''").withColumn("_at", F.monotonically_increasing_id()), ["_at"], "id").drop("_at")
+    counts = F.split(F.trim("value"), r"\s+")
+    head = F.broadcast(lines.where("id = 0").select(F.get(counts, F.size(counts) - 2).cast("long").alias("n_pos"), F.get(counts, F.size(counts) - 1).cast("long").alias("n_neg")))
+    return lines.where("id > 0").join(head).where("id <= n_pos + n_neg").select("id", (F.col("id") <= F.col("n_pos")).cast("int").alias("label"), F.col("value").alias("text"))
+
+
+def read_feature_csv(spark: SparkSession, features: str, labels: str) -> DataFrame:
+    """pos, features, label: row i of a CSV of numbers with row i below the header of a label CSV (column 1)."""
+    rows = spark.read.csv(features)
+    values = rows.select(F.array(*rows.columns).cast("array<double>").alias("features"), F.monotonically_increasing_id().alias("_l"))
+    marks = spark.read.csv(labels, header=True, enforceSchema=False)
+    marks = marks.select(F.col(f"`{marks.columns[1]}`").cast("int").alias("label"), F.monotonically_increasing_id().alias("_r"))
+    return zipped(values, ["_l"], marks, ["_r"]).select("pos", "features", "label")
+
+
+def read_labelled_pcap(spark: SparkSession, capture: str, labels: str) -> DataFrame:
+    """Decoded packets of a capture with the label of row i for packet i."""
+    marks = spark.read.csv(labels, header=True, enforceSchema=False)
+    marks = marks.select(F.col(f"`{marks.columns[1]}`").cast("int").alias("label"), F.monotonically_increasing_id().alias("_r"))
+    both = zipped(read_pcap(spark, capture), ["file", "pkt_no"], marks, ["_r"])
+    return decode_headers(both.drop("_r", "pos", "label")).join(both.select("file", "pkt_no", "label"), ["file", "pkt_no"])
+
+
+def union_captures(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The frames of all captures as one stream in time order: pkt_id numbers it."""
+    return numbered(read_pcap(spark, paths), ["ts_us", "file", "pkt_no"], "pkt_id")
+
+
+def write_bandwidth(sums: DataFrame, path: str) -> None:
+    """The bandwidth record: bucket in milliseconds and bits."""
+    sums.select("bucket", (F.col("total") * 8).alias("bits")).write.csv(path)
+
+
+#: The twenty features of a packet, in order, and their kinds (0 scalar, 1 ranged, 2 discrete).
+FEATURES = ["time", "time_since_last", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "frag", "ip_id", "len", "tos", "ttl", "syn", "ack", "fin", "rst", "psh", "urg", "seq", "win"]
+FEATURE_KINDS = [0, 0, 1, 1, 1, 1, 2, 0, 0, 0, 2, 0, 2, 2, 2, 2, 2, 2, 0, 0]
+
+
+def to_features(df: DataFrame) -> DataFrame:
+    """df with `features`: the twenty of a packet in order; time counts for nothing, and fields that df lacks are 0."""
+    field = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0)) if c in df.columns and c != "time" else F.lit(0).cast("long")
+    return df.withColumn("features", F.array(*map(field, FEATURES)))
+
+
+def features_of_kind(spark: SparkSession, kinds: list[int]) -> DataFrame:
+    """idx, name and kind of the features of these kinds."""
+    return spark.createDataFrame(list(zip(range(len(FEATURES)), FEATURES, FEATURE_KINDS)), "idx int, name string, kind int").where(F.col("kind").isin(kinds))
+
+
+def row_to_features(df: DataFrame, columns: list[str]) -> DataFrame:
+    """df with its numeric columns as one vector."""
+    return df.withColumn("features", F.array(*columns).cast("array<double>"))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ripplefold.sources.packets import as_packets
+from ripplefold.sources.stored import shared_folder
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -25,14 +23,9 @@ def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_packets(event_stream(spark, sf_dir))
 
 
-def shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what its source holds now and returns all it wrote; update and complete go by key, latest batch last."""
-    spark, home = stream.sparkSession, shared(stream.sparkSession)
+    spark, home = stream.sparkSession, shared_folder(stream.sparkSession, "stream")
     write = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{home}/state")
     if mode == "append":
         query = write.outputMode("append").format("parquet").start(f"{home}/out")
@@ -54,3 +47,48 @@ def windowed_sums(packets: DataFrame, keys: list[str], width: str, slide: str |
 
 def alerts(sums: DataFrame, threshold: int) -> DataFrame:
     return sums.where(F.col("total") > threshold)
+
+
+STATE = "open boolean, n long, alerted boolean"
+CHANGES = "src long, n long, delta long, alert boolean"
+
+
+def pattern_state(packets: DataFrame, threshold: int) -> DataFrame:
+    """Keyed pattern state: per source, the pieces from an opening packet to the next closing one that are complete so far.
+
+    Each batch emits, for the sources it touches, the count, its change (so that sums kept elsewhere can be updated by difference),
+    and an alert in the one batch in which the count first goes over the threshold. Packets of a batch are taken in time order."""
+    import pandas as pd
+
+    def update(key, frames, state):
+        is_open, n, alerted = state.get if state.exists else (False, 0, False)
+        rows = pd.concat(list(frames)).sort_values(["ts", "pkt_id"])
+        before = n
+        for opens, closes in zip(rows["syn"].tolist(), rows["fin"].tolist()):
+            if opens:
+                is_open = True
+            elif closes and is_open:
+                is_open, n = False, n + 1
+        alert = n > threshold and not alerted
+        state.update((is_open, n, alerted or alert))
+        yield pd.DataFrame({"src": [key[0]], "n": [n], "delta": [n - before], "alert": [alert]})
+
+    control = packets.where("(syn or fin) and src is not null").select("src", "ts", "pkt_id", "syn", "fin")
+    return control.groupBy("src").applyInPandasWithState(update, CHANGES, STATE, "update", "NoTimeout")
+
+
+def write_alerts(stream: DataFrame, path: str, checkpoint: str):
+    """An append-only alert sink: one row for each offending pair, written once; returns the running query."""
+    return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode("append").format("parquet").start(path)
+
+
+def alert_rows(packets: DataFrame, limit: int) -> DataFrame:
+    """An alert for every packet over the limit: time, both ends, and what it held."""
+    return packets.where(F.col("len") > limit).select("pkt_id", "ts", "src", "dst", "len")
+
+
+def alerts_written(stream: DataFrame) -> DataFrame:
+    """Runs the sink over what the source holds now and reads what it wrote."""
+    home = shared_folder(stream.sparkSession, "alerts")
+    write_alerts(stream, f"{home}/out", f"{home}/state").awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{home}/out")

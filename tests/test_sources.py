@@ -39,6 +39,6 @@ def test_lists(spark, tmp_path):
     (tmp_path / "p").write_text("max(sum(x)) 12 1\nf 3 0\n")
     assert [tuple(r) for r in S.read_programs(spark, str(tmp_path / "p")).collect()] == [("max(sum(x))", 12, True), ("f", 3, False)]
     (tmp_path / "s").write_text("2 2 1\nab\ncd\nef\n")
-    assert sorted(tuple(r) for r in S.read_labelled_strings(spark, str(tmp_path / "s"), 2).collect()) == [(1, 1, "ab"), (2, 1, "cd"), (3, 0, "ef")]
+    assert sorted(tuple(r) for r in S.read_labelled_strings(spark, str(tmp_path / "s")).collect()) == [(1, 1, "ab"), (2, 1, "cd"), (3, 0, "ef")]
     (tmp_path / "f.csv").write_text("id,src,sp,dst,dp,proto,time,x,Label\na,1.2.3.4,1,5.6.7.8,2,6,t,0.5,BENIGN\nb,1.2.3.4,1,5.6.7.8,2,6,t,1.5,DoS\n")
     assert S.read_flow_labels(spark, str(tmp_path / "f.csv"), 1, "attack").select("flow_id", "f0").first()[:] == ("b", 1.5)
