@@ -107,6 +107,7 @@ class Forest:
 
 
 LINKS = "u long, v long"
+LINKS_PER_TASK = 500_000
 
 
 def _local_stars(batches):
@@ -128,14 +129,18 @@ def _local_stars(batches):
 def components(links: DataFrame, most_rounds: int = 40, stars: bool = False) -> DataFrame:
     """(node, component) for every node with a link; component is the smallest node reachable.
 
-    Alternates large-star and small-star steps until the links no longer change. Minima are partial aggregates and
+    Tasks of about LINKS_PER_TASK links reduce theirs to stars; what one such task holds is then settled. Otherwise
+    large-star and small-star steps alternate until the links no longer change. Minima are partial aggregates and
     are written before they are joined, so that the joins are broadcast while they are small and AQE can split a node
     with very many links when they are large. With `stars`, each task's links are stars already. Nodes without links aren't returned; an empty input gives an empty table.
     """
     links = links.where("u <> v").select("u", "v")
     found = written((links if stars else links.mapInArrow(_local_stars, LINKS)).distinct())
+    n_tasks = -(-found.count() // LINKS_PER_TASK)
+    given, found = found, written(found.coalesce(max(1, n_tasks)).mapInArrow(_local_stars, LINKS))
+    forget(given)
     before = None
-    for _ in range(most_rounds):
+    for _ in range(most_rounds if n_tasks > 1 else 0):
         both = found.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(found.select(F.col("v").alias("a"), F.col("u").alias("b")))
         low = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -147,9 +152,10 @@ def components(links: DataFrame, most_rounds: int = 40, stars: bool = False) ->
         forget(old, low, least)
         now = found.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if before == (now["n"], now["h"]):
+            n_tasks = 1
             break
         before = (now["n"], now["h"])
-    else:
+    if n_tasks > 1:
         raise RuntimeError("component labels did not settle")
     label = found.select(F.col("u").alias("node"), F.col("v").alias("component"))
     out = written(label.unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()))

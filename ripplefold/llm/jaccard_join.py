@@ -376,8 +376,8 @@ def join_documents(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
 
     # one text for each class that has a candidate
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(den / num)) + 1e-9).cast("int")
-    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
-    chosen = written(sets.join(groups, "node").groupBy("node", "grp", "n").agg(F.min(named)["doc_id"].alias("rep")).withColumn("band", band))
+    classes = written(sets.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("rep")))  # copies are one row before any join
+    chosen = written(classes.join(groups, "node").select("node", "grp", "n", "rep").withColumn("band", band))
     side = F.broadcast(chosen) if chosen.count() <= BROADCAST_ROWS else chosen
     own = texts.join(side.where("rep is not null"), F.col("doc_id") == F.col("rep")).select("text", "node", "grp", "n", "band")
     if not chosen.where("rep is null").isEmpty():
@@ -387,9 +387,10 @@ def join_documents(docs: DataFrame, width: int = 4, num: int = 85, den: int = 10
     members = written(own.mapInArrow(_members(width), "node long, grp long, n long, band int, vector binary, items binary"))
     links = _component_links(members, num, den)
 
-    label = components(links)
-    named = sets.where("n > 0").join(label, "node", "left").select("doc_id", "node", "n", F.coalesce("component", "node").alias("component"))
-    least = written(named.groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    forget(members, chosen)
-    out = named.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = classes.join(components(links), "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = written(named.join(least, "component").select("node", "component_id"))
+    forget(members, chosen, classes)
+    side = F.broadcast(named) if named.count() <= BROADCAST_ROWS else named
+    out = sets.where("n > 0").join(side, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.unionByName(sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from oracle import differences, views
 
-from ripplefold.llm import bpe_tree, embedding_dedup, html_text, jaccard_join, lm_score, packing, quality_knn, quality_rules, queries, secret_scan, toxicity
+from ripplefold.llm import bpe_tree, common, embedding_dedup, html_text, jaccard_join, lm_score, packing, quality_knn, quality_rules, queries, secret_scan, toxicity
 from ripplefold.llm.bpe_words import WordCodes, tokenizer, vocabulary
 from ripplefold.llm.common import components
 
@@ -210,7 +210,9 @@ def test_jaccard(docs, rows, none, leaf, monkeypatch):
     assert jaccard_join.join_documents(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("per_task", [500_000, 9])
+def test_components(spark, per_task, monkeypatch):
+    monkeypatch.setattr(common, "LINKS_PER_TASK", per_task)
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 130)}}
