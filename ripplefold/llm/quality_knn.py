@@ -121,7 +121,7 @@ def _scores(sent, constant: float):
 
 def score_quality(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = 0.3, modulus: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
-    rows = labelled_sample(docs, labels, "quality", modulus, held_out, per_class, _feature_rows, "doc_id long, label int, x binary")
+    rows = sorted(labelled_sample(docs, labels, "quality", modulus, held_out, per_class, _feature_rows, "doc_id long, label int, x binary").collect(), key=lambda r: r["doc_id"])
     y = np.array([r["label"] for r in rows], np.int64)
     model = Model(np.array([np.frombuffer(r["x"], np.float32) for r in rows]), y) if len(set(y.tolist())) == 2 else None
     sent = docs.sparkSession.sparkContext.broadcast(model and vars(model))

@@ -169,10 +169,11 @@ def linear_fit(rows: list[np.ndarray], width: int, target: np.ndarray, passes: i
 class Model:
     """The features in sorted order, their weights, and the base rate."""
 
-    def __init__(self, rows: list, y: np.ndarray, more: list) -> None:
-        parts = [unpacked(r["x"]) for r in [*rows, *more]]
+    def __init__(self, rows: list[bytes], y: np.ndarray) -> None:
+        """rows: the feature rows of the texts with the labels y, and those of texts without labels after them."""
+        parts = [unpacked(x) for x in rows]
         terms, tone = [p[0] for p in parts], np.array([p[1] for p in parts])
-        found, odds = mined_terms(terms[: len(rows)], y)
+        found, odds = mined_terms(terms[: len(y)], y)
         telling = odds > 1.0
         best = np.argsort(-odds, kind="stable")[: FEATURES // 10]
         best = found[best[odds[best] > 2.0]]
@@ -182,22 +183,20 @@ class Model:
         sums = np.array([odds[telling & np.isin(found, t, assume_unique=True)].sum() for t in terms])  # long texts hold more of all others
         votes = np.concatenate([np.array(votes, float), sums[:, None] > np.array([2.5, 5.0, 9.0]), tone > np.array([0.2, 0.2, 0.0])], 1)
         # a voter that fires for no text, for too many clean ones, or is none for the toxic side, is left out
-        rate = lambda label: (votes[: len(rows)][y == label].sum(0) + 0.5) / ((y == label).sum() + 1)
+        rate = lambda label: (votes[: len(y)][y == label].sum(0) + 0.5) / ((y == label).sum() + 1)
         votes = votes[:, (votes.sum(0) > 0) & (rate(1) > 1.5 * rate(0)) & (rate(0) < MOST_FALSE)]
         posterior = LabelModel(votes).posterior(votes) if votes.shape[1] else np.full(len(votes), 0.02)
-        if len(set(y.tolist())) == 2 and posterior[: len(rows)][y == 1].mean() < posterior[: len(rows)][y == 0].mean():
+        if len(set(y.tolist())) == 2 and posterior[: len(y)][y == 1].mean() < posterior[: len(y)][y == 0].mean():
             posterior = 1 - posterior
         strong = np.argsort(-np.abs(odds), kind="stable")[:FEATURES]
         self.terms = np.unique(np.concatenate([found[strong], *lexicons]))
         self.weights, self.base = linear_fit([np.flatnonzero(np.isin(self.terms, t, assume_unique=True)) for t in terms], len(self.terms), posterior)
 
     @classmethod
-    def restored(cls, state: dict | None):
-        """From the plain arrays that were broadcast."""
-        if state is None:
-            return None
+    def restored(cls, terms: np.ndarray, weights: np.ndarray, base: np.ndarray):
+        """From the arrays that were broadcast."""
         model = cls.__new__(cls)
-        model.__dict__.update(state)
+        model.terms, model.weights, model.base = terms, weights, float(base[0])
         return model
 
     def score(self, block: Block) -> np.ndarray:
@@ -211,7 +210,7 @@ class Model:
 
 def _scores(sent):
     def run(batches):
-        model = Model.restored(sent.value)
+        model = Model.restored(*sent.value) if sent.value else None
         for batch, block in text_blocks(batches):
             score = model.score(block) if model is not None else np.zeros(len(batch))
             yield pa.RecordBatch.from_arrays([*batch.select([c for c in batch.schema.names if c != "text"]).columns, pa.array(score)], [*[c for c in batch.schema.names if c != "text"], "score"])
@@ -219,19 +218,30 @@ def _scores(sent):
     return run
 
 
-def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, modulus: int = 5, held_out: int = 0) -> Model | None:
+def _fit(table: pa.Table) -> pa.Table:
+    """The classifier from the bounded sample, or no row where a class lacks labels."""
+    table = table.sort_by("doc_id")
+    labelled, rest = table.filter(table.column("label").is_valid()), table.filter(table.column("label").is_null())
+    y, blobs = labelled.column("label").to_numpy().astype(np.int64), []
+    if len(np.unique(y)) == 2:
+        model = Model([*labelled.column("x").to_pylist(), *rest.column("x").to_pylist()], y)
+        blobs.append(packed(model.terms, model.weights, np.array([model.base])))
+    return pa.table({"model": pa.array(blobs, pa.binary())})
+
+
+def fitted(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, modulus: int = 5, held_out: int = 0) -> tuple | None:
+    """The classifier's arrays; one task fits them from at most 4 * per_class rows, so that no text's features reach the driver."""
     schema = "doc_id long, label int, x binary"
-    rows = labelled_sample(docs, labels, "toxic", modulus, held_out, per_class, _term_rows, schema)
-    y = np.array([r["label"] for r in rows], np.int64)
-    if len(set(y.tolist())) < 2:
-        return None
-    return Model(rows, y, unlabelled_sample(docs, labels, modulus, held_out, 2 * per_class, _term_rows, schema))
+    known = labelled_sample(docs, labels, "toxic", modulus, held_out, per_class, _term_rows, schema)
+    rows = known.unionByName(unlabelled_sample(docs, labels, modulus, held_out, 2 * per_class, _term_rows, schema))
+    found = rows.groupBy().applyInArrow(_fit, "model binary").first()
+    return unpacked(found["model"]) if found else None
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, modulus: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     model = fitted(docs, labels, modulus=modulus, held_out=held_out)
-    sent = docs.sparkSession.sparkContext.broadcast(model and vars(model))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select("doc_id", (remainder(F.col("doc_id"), modulus) == held_out).alias("held_out"), "text")
     scored = texts.mapInArrow(_scores(sent), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -239,7 +249,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, m
 
 def _kept(sent, threshold: float):
     def run(batches):
-        model = Model.restored(sent.value)
+        model = Model.restored(*sent.value) if sent.value else None
         for batch, block in text_blocks(batches):
             yield batch if model is None else batch.filter(pa.array(model.score(block) < threshold))
 
@@ -249,5 +259,5 @@ def _kept(sent, threshold: float):
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
     model = fitted(docs, labels)
-    sent = docs.sparkSession.sparkContext.broadcast(model and vars(model))
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(_kept(sent, threshold), docs.schema)
