@@ -6,7 +6,7 @@ import numpy as np
 
 from ripplefold.llm.common import Forest
 
-SLACK = 1e-5  # more than single precision can be off for a product or distance of unit vectors
+SLACK = 1e-7  # more than double precision can be off for the distance of unit vectors, of equal ones too
 LEAF = 256
 CENTRES = 64
 
@@ -20,17 +20,24 @@ class Cover:
         self.row, self.radius, self.rows, self.children = row, radius, rows, children
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 - 2 * (a @ b.T), 0))
+def away(rows: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Distances of rows from one vector, by differences: products would lose small distances to rounding."""
+    return np.sqrt(np.square(rows - centre).sum(1))
+
+
+def single_slack(length: int) -> float:
+    """More than a product of unit vectors of this length can be off in single precision: one rounding for each
+    component of either vector, each product and each sum."""
+    return (length + 4) * 2.0**-23
 
 
 def build(x: np.ndarray, rows: np.ndarray, centre: int, scale: float = 2.0) -> Cover:
     """The subtree over rows around one of them. The children of a level lie within half of its scale of their centres, and so on
     down. Where CENTRES centres of half the scale don't gather half of the rows, closer levels would not either, and the node is a leaf."""
-    radius = float(distances(x[rows], x[[centre]]).max()) + SLACK
+    radius = max(float(away(x[rows[k : k + 4096]], x[centre]).max()) for k in range(0, len(rows), 4096)) + SLACK
     while scale / 2 > radius:
         scale /= 2
-    if len(rows) <= LEAF or radius <= 8 * SLACK:
+    if len(rows) <= LEAF or radius <= 2 * SLACK:
         return Cover(centre, radius, rows, [])
     free, groups = np.concatenate([[centre], rows[rows != centre]]), []
     while len(free) and len(groups) < CENTRES:
@@ -49,20 +56,21 @@ def build(x: np.ndarray, rows: np.ndarray, centre: int, scale: float = 2.0) -> C
 def link_near(exact_x: np.ndarray, exact_y: np.ndarray, same: bool, least: float, weight_x: np.ndarray, weight_y: np.ndarray, names_x: list, names_y: list, forest: Forest, at_once: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
     """The weight of the rows of y (x) that each row of x (y) reaches a cosine of `least` with; joins them in `forest`.
 
-    A pair of nodes is left out when its centres are further apart than the threshold's chord and both radii. Products are
-    taken in single precision; those too close to the threshold for it are taken again in double precision.
+    A pair of nodes is left out when its centres are further apart than the threshold's chord and both radii, all in double
+    precision. Products of the rows that are left are taken in single precision first; those that reach the threshold less
+    what single precision can be off are taken again in double precision.
     """
-    chord = float(np.sqrt(2 - 2 * least))
+    chord, loose = float(np.sqrt(2 - 2 * least)), single_slack(exact_x.shape[1])
     x, y = exact_x.astype(np.float32), exact_y.astype(np.float32)
     n_x, n_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-    tree_x = build(x, np.arange(len(x)), 0)
-    tree_y = tree_x if same else build(y, np.arange(len(y)), 0)
+    tree_x = build(exact_x, np.arange(len(x)), 0)
+    tree_y = tree_x if same else build(exact_y, np.arange(len(y)), 0)
 
     def verify(a: np.ndarray, b: np.ndarray, within: bool) -> None:
         step = max(1, at_once // len(b))
         for at in range(0, len(a), step):
             part, rest = a[at : at + step], b[at:] if within else b  # within one set, a row only meets those behind it
-            i, j = np.nonzero(x[part] @ y[rest].T >= least - SLACK)
+            i, j = np.nonzero(x[part] @ y[rest].T >= least - loose)
             if within:
                 behind = j > i
                 i, j = i[behind], j[behind]
@@ -95,7 +103,7 @@ def link_near(exact_x: np.ndarray, exact_y: np.ndarray, same: bool, least: float
     while stack:
         a, b = stack.pop()
         within = same and a is b
-        if not within and float(distances(x[[a.row]], y[[b.row]])[0, 0]) > chord + SLACK + a.radius + b.radius:
+        if not within and float(away(exact_x[[a.row]], exact_y[b.row])[0]) > chord + SLACK + a.radius + b.radius:
             continue
         if not a.children and not b.children:
             verify(a.rows, b.rows, within)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ripplefold.llm.common import Forest, components, written
-from ripplefold.llm.cover_tree import distances, link_near
+from ripplefold.llm.cover_tree import SLACK, away, link_near
 
 BLOCK = 12_288
 SAMPLE = 1024
@@ -39,10 +39,10 @@ def unit(column: pa.Array) -> np.ndarray:
 
 def pivots_of(sample: np.ndarray, n: int) -> np.ndarray:
     """n rows of the sample, each the one farthest from those before it."""
-    chosen, far = [0], distances(sample, sample[[0]])[:, 0]
+    chosen, far = [0], away(sample, sample[0])
     while len(chosen) < min(n, len(sample)):
         chosen.append(int(far.argmax()))
-        far = np.minimum(far, distances(sample, sample[[chosen[-1]]])[:, 0])
+        far = np.minimum(far, away(sample, sample[chosen[-1]]))
     return sample[chosen]
 
 
@@ -50,14 +50,14 @@ def _nearest(pivots: dict[int, np.ndarray]):
     def run(batches):
         for batch in batches:
             length = batch.column("length").to_numpy()
-            cell, away = np.zeros(len(batch), np.int64), np.full(len(batch), 2.0)
+            cell, far = np.zeros(len(batch), np.int64), np.full(len(batch), 2.0)
             for n in np.unique(length).tolist():
                 if n in pivots:
                     mine = np.flatnonzero(length == n)
-                    d = distances(unit(batch.column("embedding").take(pa.array(mine))), pivots[n])
-                    cell[mine] = d.argmin(1)
-                    away[mine] = d[np.arange(len(mine)), cell[mine]]
-            yield pa.RecordBatch.from_arrays([batch.column("length"), batch.column("name"), batch.column("m"), pa.array(cell), pa.array(away), batch.column("embedding")], ["length", "name", "m", "cell", "away", "embedding"])
+                    x = unit(batch.column("embedding").take(pa.array(mine)))
+                    cell[mine] = (x @ pivots[n].T).argmax(1)
+                    far[mine] = away(x, pivots[n][cell[mine]])
+            yield pa.RecordBatch.from_arrays([batch.column("length"), batch.column("name"), batch.column("m"), pa.array(cell), pa.array(far), batch.column("embedding")], ["length", "name", "m", "cell", "away", "embedding"])
 
     return run
 
@@ -72,7 +72,7 @@ def _partners(pivots: dict[int, np.ndarray], blocks: dict[int, tuple], chord: fl
                 names, cells, radii = blocks[length]
                 may = names >= name
                 if length in pivots:
-                    may &= distances(pivots[length][[cell]], pivots[length][cells])[0] <= chord + 1e-5 + radius + radii
+                    may &= away(pivots[length][cells], pivots[length][cell]) <= chord + SLACK + radius + radii
                 for other in names[may].tolist():
                     for one in {name, other}:
                         block.append(one)
