@@ -98,4 +98,15 @@ def _embeddings(least: float = 0.9) -> str:
 SELECT vec_id, coalesce(n_links, 0) AS n_links, CASE WHEN f.r IS NULL THEN vec_id ELSE component_id END AS component_id, coalesce(vec_id = CASE WHEN f.r IS NULL THEN vec_id ELSE component_id END, TRUE) AS kept FROM d LEFT JOIN f USING (r)"""
 
 
-ORACLE_SQL = {"op2_quality_rules": _quality(), "op3_jaccard_join": _jaccard(), "op5_secret_scan": _secrets(), "op8_embedding_dedup": _embeddings()}
+def _negatives() -> str:
+    return """WITH d AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, embedding FROM embeddings),
+ g AS (SELECT r, vec_id, label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM d WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, a.label = b.label AS same, b.r AS r, b.vec_id AS vec_id, list_dot_product(a.x, b.x)::BIGINT AS score FROM g a JOIN g b ON a.r <> b.r AND len(a.x) = len(b.x) WHERE a.vec_id % 50 = 0),
+ p AS (SELECT anchor, anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, r) <= 5),
+ w AS (SELECT DISTINCT anchor, positive_score FROM p),
+ n AS (SELECT anchor, positive_score, vec_id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY anchor, positive_score ORDER BY score DESC, vec_id NULLS LAST, r) AS rank
+  FROM w JOIN s USING (anchor) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM p JOIN n USING (anchor, positive_score) WHERE rank <= 3"""
+
+
+ORACLE_SQL = {"op2_quality_rules": _quality(), "op3_jaccard_join": _jaccard(), "op5_secret_scan": _secrets(), "op8_embedding_dedup": _embeddings(), "op12_hard_negatives": _negatives()}

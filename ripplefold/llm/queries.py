@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ripplefold.llm.bpe_tree import encode_documents
 from ripplefold.llm.common import read_table
 from ripplefold.llm.embedding_dedup import near_duplicates
+from ripplefold.llm.hard_negatives import hard_negatives
 from ripplefold.llm.html_text import extract_pages
 from ripplefold.llm.jaccard_join import join_documents
 from ripplefold.llm.lm_score import score_documents
@@ -16,6 +17,7 @@ from ripplefold.llm.quality_knn import score_quality
 from ripplefold.llm.quality_rules import judged
 from ripplefold.llm.secret_scan import scan_documents
 from ripplefold.llm.toxicity import score_toxicity
+from ripplefold.llm.whitening import whitened
 
 
 def op1_lm_score(spark, sf_dir):
@@ -61,7 +63,17 @@ def op10_toxicity(spark, sf_dir):
     return score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_whitening(spark, sf_dir):
+    return whitened(read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark, sf_dir):
+    label = F.col("label").cast("long")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives(read_table(spark, sf_dir, "embeddings").select("vec_id", shifted.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_score, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_secret_scan, op6_quality_knn, op7_bpe_tree, op8_embedding_dedup, op9_packing, op10_toxicity)
+    for f in (op1_lm_score, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_secret_scan, op6_quality_knn, op7_bpe_tree, op8_embedding_dedup, op9_packing, op10_toxicity, op11_whitening, op12_hard_negatives)
 }
