@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import pickle
 import re
 import tempfile
@@ -29,12 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
 MADE: set[str] = set()
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: lineage ends there, so a lost executor costs no
     recomputation. Row groups are small, as each writing task holds one in memory."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    df.write.option("parquet.block.size", 16 << 20).parquet(path, compression=codec)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     MADE.add(path)
@@ -55,6 +56,13 @@ def forget(*tables: DataFrame) -> None:
         removed(table.sparkSession, table.written_to)
 
 
+def settled(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of the steps that are written by now: it does so for plans that the driver's JVM has
+    collected, which may otherwise be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

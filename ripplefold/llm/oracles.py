@@ -109,4 +109,14 @@ def _negatives() -> str:
 SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM p JOIN n USING (anchor, positive_score) WHERE rank <= 3"""
 
 
-ORACLE_SQL = {"op2_quality_rules": _quality(), "op3_jaccard_join": _jaccard(), "op5_secret_scan": _secrets(), "op8_embedding_dedup": _embeddings(), "op12_hard_negatives": _negatives()}
+def _substrings(width: int = 35) -> str:
+    return f"""WITH {WORDS.replace("lang, ", "")},
+ k AS (SELECT r, i, md5(array_to_string(w[i : i + {width - 1}], ' ')) AS g FROM (SELECT r, w, unnest(range(1, len(w) - {width - 2})) AS i FROM d WHERE len(w) >= {width})),
+ c AS (SELECT r, i FROM k QUALIFY count(*) OVER (PARTITION BY g) > 1),
+ x AS (SELECT DISTINCT r, j FROM (SELECT r, unnest(range(i, i + {width})) AS j FROM c)),
+ p AS (SELECT r, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS j FROM d),
+ m AS (SELECT p.r, string_agg(v, ' ' ORDER BY p.j) AS kept, count(*) AS n FROM p LEFT JOIN x ON x.r = p.r AND x.j = p.j WHERE x.r IS NULL GROUP BY p.r)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN m ON m.r = d.r"""
+
+
+ORACLE_SQL = {"op2_quality_rules": _quality(), "op3_jaccard_join": _jaccard(), "op5_secret_scan": _secrets(), "op8_embedding_dedup": _embeddings(), "op12_hard_negatives": _negatives(), "op13_substring_dedup": _substrings()}

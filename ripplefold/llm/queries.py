@@ -16,6 +16,7 @@ from ripplefold.llm.packing import pack_documents
 from ripplefold.llm.quality_knn import score_quality
 from ripplefold.llm.quality_rules import judged
 from ripplefold.llm.secret_scan import scan_documents
+from ripplefold.llm.substring_dedup import without_repeats
 from ripplefold.llm.toxicity import score_toxicity
 from ripplefold.llm.whitening import whitened
 
@@ -73,7 +74,11 @@ def op12_hard_negatives(spark, sf_dir):
     return hard_negatives(read_table(spark, sf_dir, "embeddings").select("vec_id", shifted.alias("label"), "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op13_substring_dedup(spark, sf_dir):
+    return without_repeats(read_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_lm_score, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_secret_scan, op6_quality_knn, op7_bpe_tree, op8_embedding_dedup, op9_packing, op10_toxicity, op11_whitening, op12_hard_negatives)
+    for f in (op1_lm_score, op2_quality_rules, op3_jaccard_join, op4_html_extraction, op5_secret_scan, op6_quality_knn, op7_bpe_tree, op8_embedding_dedup, op9_packing, op10_toxicity, op11_whitening, op12_hard_negatives, op13_substring_dedup)
 }
