@@ -177,10 +177,10 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Da
     listed = apart.groupBy("row").agg(F.collect_list("segment").alias("segments"))  # at most one for each word of a text
     windows = written(texts.select("row", "text").join(listed, "row").mapInArrow(_windows(width), WINDOWS))
     settled(spark)
-    by_window = indexed(windows, "hash", F.max("repeated").alias("repeated")).where("n > 1 or repeated")
+    by_window = written(indexed(windows, "hash", F.max("repeated").alias("repeated")).where("n > 1 or repeated"))  # so that both sides of the join are shuffled, and a window with very many rows can be split
     single = placed(windows.where("not repeated").withColumn("starts", F.lit(1)), by_window, "hash")
     found = written(placed(common, by_segment.where("n > 1"), "segment").unionByName(single))
-    forget(shared, common, by_segment, windows)
+    forget(shared, common, by_segment, windows, by_window)
     settled(spark)
     gathered = found.groupBy("row").agg(F.collect_list(F.struct("start", "starts", "source", "source_start")).alias("found"))  # the same bound
     return texts.join(gathered, "row", "left").mapInArrow(_kept(width), KEPT)
