@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ripplefold.functions.expressions import slice_positions
 from ripplefold.sources.stored import stored
@@ -40,22 +41,49 @@ def zipped(left: DataFrame, left_order: list[str], right: DataFrame, right_order
     return numbered(left, left_order, "pos").join(numbered(right, right_order, "pos"), "pos")
 
 
+def _in_order(parts: DataFrame) -> DataFrame:
+    """Range partitions in order, written once, with _id: the partition, and in its lower 33 bits the place there."""
+    return stored(parts.withColumn("_id", F.monotonically_increasing_id()))
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """A dense 0-based number over the whole order, without a single-task window: range partitions, written once, with the counts
-    of those before as offsets."""
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = stored(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    """A dense 0-based number over the whole order, without a single-task window: places within sorted range partitions, with the
+    counts of the partitions before as offsets."""
+    ranged = _in_order(df.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_p", F.shiftright("_id", 33))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))  # one row a partition
     before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_p").withColumn(name, F.col("_own") + F.col("_before")).drop("_p", "_own", "_before")
+    return ranged.join(F.broadcast(before), "_p").withColumn(name, F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")).drop("_p", "_id", "_before")
+
+
+def _counting(batches):
+    """Adds to sorted rows how many so far in this task have _flag, the task's number, and takes _flag away."""
+    import numpy as np
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    part, so_far = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        own = so_far + np.cumsum(batch.column("_flag").fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        so_far = int(own[-1]) if len(own) else so_far
+        kept = [n for n in batch.schema.names if n != "_flag"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(own), pa.array(np.full(len(batch), part, np.int64))], [*kept, "_own", "_p"])
+
+
+def in_order(df: DataFrame, order: list[str], flag: Column, name: str) -> DataFrame:
+    """df with _p, the number of the range partition of the order that a row lies in, and how many rows up to and with each one have
+    the flag (1, else 0 or null), over the whole order: counts of range partitions are offsets."""
+    fields = StructType([*df.schema.fields, StructField("_own", LongType()), StructField("_p", LongType())])
+    ranged = stored(df.withColumn("_flag", flag.cast("long")).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_counting, fields))
+    counts = ranged.groupBy("_p").agg(F.max("_own").alias("_c"))  # one row a partition
+    before = counts.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return ranged.join(F.broadcast(before), "_p").withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before")
 
 
 def ranked(df: DataFrame, keys: list[str], order: list, name: str) -> DataFrame:
     """A 1-based rank within few keys, without one task for each: numbers over keys and order, less the first of the key."""
     whole = stored(numbered(df, [*keys, *order], "_n"))
     first = F.broadcast(whole.groupBy(*keys).agg(F.min("_n").alias("_first")))
-    return whole.join(first, keys).withColumn(name, (F.col("_n") - F.col("_first") + 1).cast("int")).drop("_n", "_first")
+    return whole.join(first, keys).withColumn(name, F.col("_n") - F.col("_first") + 1).drop("_n", "_first")
 
 
 def value_positions(df: DataFrame, fields: list[str]) -> DataFrame:

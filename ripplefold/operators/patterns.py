@@ -1,9 +1,8 @@
-"""Ordered patterns over keyed streams: match, count and fold, with three equivalent evaluators.
+"""Ordered patterns over keyed streams: match, count and fold, with two equivalent evaluators.
 
 A packet becomes one symbol by the first predicate that holds. The evaluators are the string form (symbols
-joined in order and matched by a regular expression), the fold form (an automaton's table looked up
-packet by packet) and the chunked form, which composes the automaton's state maps of chunks so that one
-long key is no bottleneck.
+joined in order and matched by a regular expression) and the fold form (an automaton's table looked up
+packet by packet). Both hold a key's packets in one row; the forms of the module `chunks` don't.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplefold.sources.stored import stored
-
 
 @dataclass(frozen=True)
 class Pattern:
@@ -161,48 +158,13 @@ def fold(df: DataFrame, keys: list[str], order: list[str], columns: list[str], s
 def match_by_fold(df: DataFrame, keys: list[str], order: list[str], sym: Column, pattern: Pattern, symbols: str) -> DataFrame:
     table, accepting = automaton(pattern, symbols)
     flat = F.array(*(F.lit(x) for row in table for x in row))
-    coded = df.withColumn("_code", _code(sym, symbols))
+    coded = df.withColumn("_code", code_of(sym, symbols))
     out = fold(coded, keys, order, ["_code"], F.lit(0), lambda state, p: F.get(flat, state * len(symbols) + p["_code"]), name="_state")
     return out.select(*keys, F.get(F.array(*(F.lit(a) for a in accepting)), F.col("_state")).alias("matched"))
 
 
-def _code(sym: Column, symbols: str) -> Column:
+def code_of(sym: Column, symbols: str) -> Column:
     out = F.lit(0)
     for i, s in enumerate(symbols):
         out = F.when(sym == s, i).otherwise(out)
     return out
-
-
-def match_chunked(df: DataFrame, keys: list[str], order: list[str], sym: Column, pattern: Pattern, symbols: str, chunks: int) -> DataFrame:
-    """The same as match, for keys of any length: the stream is cut into chunks of about equal numbers of rows by ranges of keys and
-    order, every chunk of a key yields the map from the state before it to the state after it, and the maps are composed in order."""
-    table, accepting = automaton(pattern, symbols)
-    flat = F.array(*(F.lit(x) for row in table for x in row))
-    whole = F.array(*(F.lit(i) for i in range(len(table))))
-    maps = fold(_in_chunks(df, keys, order, sym, symbols, chunks), [*keys, "_chunk"], order, ["_code"], whole, lambda states, p: F.transform(states, lambda s: F.get(flat, s * len(symbols) + p["_code"])), name="_map")
-    total = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_map"))).alias("_maps"))
-    state = F.aggregate("_maps", F.lit(0), lambda s, m: F.get(m["_map"], s))
-    return total.select(*keys, F.get(F.array(*(F.lit(a) for a in accepting)), state).alias("matched"))
-
-
-def count_chunked(df: DataFrame, keys: list[str], order: list[str], sym: Column, pattern: Pattern, symbols: str, chunks: int, name: str = "n") -> DataFrame:
-    """The same as count_matches where a piece ends as soon as it matches and no piece has to be given up halfway: the maps of chunks
-    then carry the number of pieces that were completed from each state."""
-    table, accepting = automaton(pattern, symbols)
-    width = len(symbols)
-    ends = [accepting[t] for row in table for t in row]
-    dead = [not accepting[i] and set(row) == {i} for i, row in enumerate(table)]
-    # a symbol that leads nowhere is outside of pieces, where it leads back to the start
-    to = [0 if accepting[t] or dead[t] else t for row in table for t in row]
-    flat, done = F.array(*(F.lit(x) for x in to)), F.array(*(F.lit(int(x)).cast("long") for x in ends))
-    start = F.array(*(F.struct(F.lit(i).alias("s"), F.lit(0).cast("long").alias("n")) for i in range(len(table))))
-    step = lambda states, p: F.transform(states, lambda x: F.struct(F.get(flat, x["s"] * width + p["_code"]).alias("s"), (x["n"] + F.get(done, x["s"] * width + p["_code"])).alias("n")))
-    maps = fold(_in_chunks(df, keys, order, sym, symbols, chunks), [*keys, "_chunk"], order, ["_code"], start, step, name="_map")
-    total = maps.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_chunk", "_map"))).alias("_maps"))
-    last = F.aggregate("_maps", F.struct(F.lit(0).alias("s"), F.lit(0).cast("long").alias("n")), lambda a, m: F.struct(F.get(m["_map"], a["s"])["s"].alias("s"), (a["n"] + F.get(m["_map"], a["s"])["n"]).alias("n")))
-    return total.select(*keys, last["n"].alias(name))
-
-
-def _in_chunks(df: DataFrame, keys: list[str], order: list[str], sym: Column, symbols: str, chunks: int) -> DataFrame:
-    coded = df.select(*keys, *order, _code(sym, symbols).alias("_code")).repartitionByRange(chunks, *keys, *order)
-    return stored(coded.withColumn("_chunk", F.spark_partition_id()))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ripplefold.operators.joins import in_order
 from ripplefold.operators.patterns import Pattern, automaton
-from ripplefold.sources.stored import stored
 
 FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 EMPTY = {"sum": 0, "max": 0, "min": 1 << 20}  # fixed values: what a fold over no pieces gives
@@ -55,20 +55,10 @@ def while_open(df: DataFrame, keys: list[str], order: list[str], opens: Column,
     return df.withColumn("_open", last).where("_open").drop("_open")
 
 
-def running_count(df: DataFrame, order: list[str], flag: Column, name: str) -> DataFrame:
-    """How many rows up to and with each one have the flag, over the whole order: counts of range partitions are offsets."""
-    parts = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    ranged = stored(df.withColumn("_flag", flag.cast("int")).repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
-    before = ranged.groupBy("_p").agg(F.sum("_flag").alias("_c"))  # one row a partition
-    offset = before.select("_p", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    own = F.sum("_flag").over(Window.partitionBy("_p").orderBy(*order))
-    return ranged.withColumn("_own", own).join(F.broadcast(offset), "_p").withColumn(name, F.col("_own") + F.col("_before")).drop("_flag", "_p", "_own", "_before")
-
-
 def shared_counts(df: DataFrame, keys: list[str], order: list[str], concerns_all: Column) -> DataFrame:
     """Per key, how many packets that concern every key came before its first packet (which its state starts with) and in all.
     A count over the whole stream takes the place of sending those packets to every key."""
-    counted = running_count(df, order, concerns_all, "_all")
+    counted = in_order(df, order, concerns_all.cast("int"), "_all").drop("_p")
     total = F.broadcast(counted.agg(F.max("_all").alias("in_all")))
     first = counted.groupBy(*keys).agg(F.min_by(F.col("_all") - F.when(concerns_all, 1).otherwise(0), F.struct(*order)).alias("at_start"))
     return first.join(total).select(*keys, "at_start", "in_all")

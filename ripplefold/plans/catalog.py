@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from ripplefold.functions import expressions as E
 from ripplefold.operators import aggregates as A
+from ripplefold.operators import chunks as K
 from ripplefold.operators import joins as J
 from ripplefold.operators import patterns as Q
 from ripplefold.operators import prepare as D
 from ripplefold.operators import scoring as L
 from ripplefold.operators import windows as W
-from ripplefold.plans import extended
+from ripplefold.plans import extended, valued
 from ripplefold.sources.packets import packets, table, trace_texts
 from ripplefold.streaming import jobs as R
 
@@ -116,7 +117,7 @@ add("q07_split", lambda p: Q.encoded(p, ["src"], ["ts", "pkt_id"], sym()).select
 add("q08_agg_over", lambda p: Q.count_matches(p, ["src"], ["ts", "pkt_id"], sym(), _flow).agg(F.max("n").alias("most"), F.sum("n").alias("flows")), _enc + " SELECT max(len(regexp_extract_all(x, 's[^f]*f'))) AS most, sum(len(regexp_extract_all(x, 's[^f]*f')))::BIGINT AS flows FROM e")
 add("q09_pipe", lambda p: A.count_by(p.where("len > 5000").where("syn or fin"), ["src"]), "SELECT src, count(*) AS n FROM {pk} WHERE len > 5000 AND (syn OR fin) GROUP BY src")
 add("q01_match_by_fold", lambda p: Q.match_by_fold(p, ["src"], ["ts", "pkt_id"], sym(), _has, SYMBOLS), _enc + " SELECT src, regexp_full_match(x, '.*s[^f]*r.*') AS matched FROM e")
-add("q12_match_chunked", lambda p: Q.match_chunked(p, ["src"], ["ts", "pkt_id"], sym(), _has, SYMBOLS, 8), _enc + " SELECT src, regexp_full_match(x, '.*s[^f]*r.*') AS matched FROM e")
+add("q12_match_chunked", lambda p: K.match_chunked(p, ["src"], ["ts", "pkt_id"], sym(), _has, SYMBOLS), _enc + " SELECT src, regexp_full_match(x, '.*s[^f]*r.*') AS matched FROM e")
 
 
 def _flow_num(p):
@@ -218,3 +219,4 @@ add_on("r07_tumbling_stream", lambda s, d: R.drained(R.windowed_sums(R.packet_st
 add_on("r03_sliding_stream", lambda s, d: R.drained(R.windowed_sums(R.packet_stream(s, d), ["src"], "2 hours", "1 hour", "2 hours"), "update").groupBy("src", "window_start").agg(F.max_by("total", "batch").alias("total")), "SELECT src, w AS window_start, sum(len)::BIGINT AS total FROM (SELECT src, len, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS w FROM {pk}) GROUP BY src, w")
 
 extended.register(add, add_on, _scores, _score_sql, _pairs_sql)
+valued.register(add)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ripplefold.functions import expressions as E
 from ripplefold.operators import aggregates as A
+from ripplefold.operators import chunks as K
 from ripplefold.operators import connections as C
 from ripplefold.operators import joins as J
 from ripplefold.operators import patterns as Q
@@ -91,7 +92,7 @@ def over_patterns(add) -> None:
     add("q10_q11_bounds", lambda p: V.bounds(p, ["src"], ORDER, may_be(), [1, 0], Q.contains(Q.one("s")), "so"), "WITH a AS (SELECT src, count(*) FILTER (syn) AS s, count(*) FILTER (kind = 'view') AS u FROM {pk} GROUP BY src) SELECT src, CASE WHEN s + u > 0 THEN greatest(s, 1) END AS lower, CASE WHEN s + u > 0 THEN s + u END AS upper FROM a")
     flow = Q.seq(Q.one("s"), Q.star(Q.but("f")), Q.one("f"))
     sym = lambda: Q.symbol({"s": F.col("syn"), "f": F.col("fin"), "a": F.col("ack"), "r": F.col("rst")})
-    add("q12_count_chunked", lambda p: Q.count_chunked(p, ["src"], ORDER, sym(), flow, "sfaro", 16), "WITH e AS (SELECT src, string_agg(CASE WHEN syn THEN 's' WHEN fin THEN 'f' ELSE 'o' END, '' ORDER BY ts, pkt_id) AS x FROM {pk} GROUP BY src) SELECT src, len(regexp_extract_all(x, 's[^f]*f')) AS n FROM e")
+    add("q12_count_chunked", lambda p: K.count_chunked(p, ["src"], ORDER, sym(), flow, "sfaro"), "WITH e AS (SELECT src, string_agg(CASE WHEN syn THEN 's' WHEN fin THEN 'f' ELSE 'o' END, '' ORDER BY ts, pkt_id) AS x FROM {pk} GROUP BY src) SELECT src, len(regexp_extract_all(x, 's[^f]*f')) AS n FROM e")
 
 
 def preparation(add, add_on) -> None:

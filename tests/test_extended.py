@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ripplefold.functions import expressions as E
+from ripplefold.operators import chunks as K
 from ripplefold.operators import connections as C
 from ripplefold.operators import joins as J
 from ripplefold.operators import patterns as Q
@@ -61,13 +62,17 @@ def test_values_over_the_stream(spark):
     assert at(V.split(df, ["k"], ["pos"], F.lit(False), (F.lit(True), "v", "sum"), (F.lit(True), "v", "sum"), "sum")) is None
 
 
-@pytest.mark.parametrize("chunks", [1, 3, 50])
-def test_counts_by_chunks(spark, chunks):
-    rnd = random.Random(chunks)
+@pytest.mark.parametrize("chunk", [1, 3, 128])
+def test_counts_by_chunks(spark, chunk, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK", chunk)
+    rnd = random.Random(chunk)
     words = ["".join(rnd.choice("sfo") for _ in range(rnd.randint(1, 60))) for _ in range(12)]
     pattern = Q.seq(Q.one("s"), Q.star(Q.but("f")), Q.one("f"))
-    got = Q.count_chunked(rows_of(spark, words), ["k"], ["pos"], F.col("c"), pattern, "sfo", chunks).collect()
+    got = K.count_chunked(rows_of(spark, words), ["k"], ["pos"], F.col("c"), pattern, "sfo").collect()
     assert {r.k: r.n for r in got} == {k: len(re.findall("s[^f]*f", w)) for k, w in enumerate(words)}
+    for refused in (Q.seq(Q.one("s"), Q.one("f")), Q.star(Q.one("s")), Q.seq(Q.one("s"), Q.star(Q.anyone())), Q.seq(Q.one("s"), Q.star(Q.one("f")))):
+        with pytest.raises(ValueError):
+            K.counted(refused, "sfo")
 
 
 def test_bounds(spark):

@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from ripplefold.operators import chunks as K
 from ripplefold.operators import patterns as Q
 
 SYMBOLS = "sfo"
@@ -29,12 +30,13 @@ def test_automaton_is_the_regex(pattern):
             assert accepting[state] == bool(re.fullmatch(Q.regex(pattern), "".join(word)))
 
 
-@pytest.mark.parametrize("chunks", [1, 3, 50])
-def test_evaluators_agree(spark, chunks):
+@pytest.mark.parametrize("chunk", [1, 3, 128])
+def test_evaluators_agree(spark, chunk, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK", chunk)
     words = ["sof", "sff", "", "ososf", "oof", "fs", "s", "sssof"]
     rows = [(k, i, c) for k, w in enumerate(words) for i, c in enumerate(w)]
     df = spark.createDataFrame(rows, "k int, pos int, c string")
     for pattern in PATTERNS:
         want = {k: bool(re.fullmatch(Q.regex(pattern), w)) for k, w in enumerate(words) if w}
-        for found in (Q.match(df, ["k"], ["pos"], F.col("c"), pattern), Q.match_by_fold(df, ["k"], ["pos"], F.col("c"), pattern, SYMBOLS), Q.match_chunked(df, ["k"], ["pos"], F.col("c"), pattern, SYMBOLS, chunks)):
+        for found in (Q.match(df, ["k"], ["pos"], F.col("c"), pattern), Q.match_by_fold(df, ["k"], ["pos"], F.col("c"), pattern, SYMBOLS), K.match_chunked(df, ["k"], ["pos"], F.col("c"), pattern, SYMBOLS)):
             assert {r["k"]: r["matched"] for r in found.collect()} == want
