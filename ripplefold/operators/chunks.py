@@ -98,10 +98,14 @@ def _summed(keys: list[str], value: Value, n_symbols: int, chunk: int):
                 states = [m.start] if kind == "start" else list(range(m.start))
                 if len(mine):
                     parts.append((kind, read_all(m, Summary.unread(m, len(mine), states), first[mine], lengths[mine], may_be, weight), mine))
-            for i in np.flatnonzero(given[first]).tolist():
-                s = Summary.unpacked(batch.column("_summary")[int(first[i])].as_py())
-                kind = "any" if not opens[i] else "first" if unknown and i == 0 else "start"
-                parts.append((kind, s if kind == "first" else s.from_states(every if kind == "any" else slice(m.start, None)), np.array([i])))
+            for kind, mine in (("start", opens & given[first]), ("any", ~opens & given[first])):
+                mine = np.flatnonzero(mine)
+                if len(mine):
+                    found = Summary.unpacked(m, batch.column("_summary").take(pa.array(first[mine])))
+                    if kind == "start" and unknown and mine[0] == 0:
+                        parts.append(("first", found[:1], mine[:1]))
+                        found, mine = found[1:], mine[1:]
+                    parts.append((kind, found.from_states(every if kind == "any" else slice(m.start, None)), mine))
             n_runs = int(run_of[-1]) + 1
             heads: dict[int, Summary] = {}
             for kind, s, mine in parts:
@@ -123,20 +127,20 @@ def _summed(keys: list[str], value: Value, n_symbols: int, chunk: int):
                 task_first = held[2] if r == 0 and goes_on else unknown and r == 0
                 if held is not None and not (r == 0 and goes_on):
                     if held[2]:
-                        yield _row(held[0], keys, part, held[1])
+                        yield _row(held[0], keys, part, held[1].packed(m))
                     else:
                         whole.append((held[0], held[1]))
                 held = (batch.slice(int(at[r]), 1).select(keys) if keys else batch.slice(0, 1).select([]), own, task_first)
             if whole:
                 yield _done(whole, keys, m)
         if held is not None:
-            yield _row(held[0], keys, part, held[1])
+            yield _row(held[0], keys, part, held[1].packed(m))
 
     return run
 
 
-def _row(row: pa.RecordBatch, keys: list[str], part: int, summary: Summary) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*row.columns, pa.array([part], pa.int32()), pa.array([summary.packed()], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.int64())], [*keys, "part", "summary", "lower", "upper"])
+def _row(row: pa.RecordBatch, keys: list[str], part: int, summary: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*row.columns, pa.array([part], pa.int32()), summary, pa.array([None], pa.int64()), pa.array([None], pa.int64())], [*keys, "part", "summary", "lower", "upper"])
 
 
 def _done(whole: list, keys: list[str], m: Machine) -> pa.RecordBatch:
@@ -158,13 +162,13 @@ def _finished(keys: list[str], value: Value, n_symbols: int):
                 done = batch.filter(pa.array(~open_)).select([*keys, "lower", "upper"])
                 yield pa.RecordBatch.from_arrays(done.columns, done.schema.names)  # all nullable, as those made below
             for i in np.flatnonzero(open_).tolist():
-                row, own = batch.slice(i, 1).select([*keys, "part", "summary"]), Summary.unpacked(batch.column("summary")[i].as_py())
+                row, own = batch.slice(i, 1).select([*keys, "part", "summary"]), Summary.unpacked(m, batch.column("summary").slice(i, 1))
                 if held is not None and key_of(row, keys, 0) == key_of(held[0], keys, 0):
                     held = (held[0], composed(m, held[1], own.from_states(slice(0, m.start))))
                     continue
                 if held is not None:
                     yield _done([held], keys, m).select([*keys, "lower", "upper"])
-                held = (row.select(keys) if keys else row, own if own.there.shape[1] == 1 else own.from_states(slice(m.start, None)))
+                held = (row.select(keys) if keys else row, own.from_states(slice(m.start, None)))
         if held is not None:
             yield _done([(held[0].select(keys) if keys else held[0].select([]), held[1])], keys, m).select([*keys, "lower", "upper"])
 
@@ -175,7 +179,8 @@ def over_sorted(rows: DataFrame, keys: list[str], order: list[str], value: Value
     """keys, lower, upper from rows with _may, _weight and, where some are summaries already, _summary."""
     own = StructType([rows.schema[k] for k in keys])
     partial = StructType([*own.fields, StructField("part", IntegerType()), StructField("summary", BinaryType()), StructField("lower", LongType()), StructField("upper", LongType())])
-    parts = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(_summed(keys, value, n_symbols, CHUNK), partial)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as small partitions merged into one would be read by one task
+    parts = rows.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order).mapInArrow(_summed(keys, value, n_symbols, CHUNK), partial)
     together = parts.repartition(*keys) if keys else parts.repartition(1)  # of a task at most two rows, and those of keys that are done
     return together.sortWithinPartitions(*keys, "part").mapInArrow(_finished(keys, value, n_symbols), StructType([*own.fields, *partial.fields[-2:]]))
 
@@ -249,16 +254,16 @@ def _nodes(value: Value, n_symbols: int):
             now = Summary.unread(m, len(at), list(range(m.start + 1)))
             now = read(m, now, table.column("_may").to_numpy(), table.column("_weight").to_numpy())
         else:
-            now = Summary.of([Summary.unpacked(b) for b in table.column("summary").to_pylist()])
-        out = []
+            now = Summary.unpacked(m, table.column("summary").combine_chunks())
+        out, first = [], level
         while True:
-            if level > table.column("level")[0].as_py() or level == 0:
-                out += [(level, int(i), now[j : j + 1].packed()) for j, i in enumerate(at.tolist())]
+            if level > first or level == 0:
+                out.append(pa.table({"level": pa.array(np.full(len(at), level, np.int32)), "at": pa.array(at), "summary": now.packed(m)}))
             left = np.flatnonzero((at[:-1] % 2 == 0) & (at[1:] == at[:-1] + 1))
             if not len(left):
                 break
             now, at, level = composed(m, now[left], now[left + 1].from_states(slice(0, m.start))), at[left] // 2, level + 1
-        return pa.table({"level": pa.array([x[0] for x in out], pa.int32()), "at": pa.array([x[1] for x in out], pa.int64()), "summary": pa.array([x[2] for x in out], pa.binary())})
+        return pa.concat_tables(out) if out else pa.table({"level": pa.array([], pa.int32()), "at": pa.array([], pa.int64()), "summary": pa.array([], pa.binary())})
 
     return run
 

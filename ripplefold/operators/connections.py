@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def _next(df: DataFrame, keys: list[str], is_asked: Column, is_answer: Column, value: str, name: str) -> DataFrame:
-    """Rows that ask, with the value of the first later row of the same keys that answers: one sort per key, no pairs."""
-    w = Window.partitionBy(*keys).orderBy("ts", "pkt_id").rowsBetween(1, Window.unboundedFollowing)
-    return df.withColumn(name, F.first(F.when(is_answer, F.struct("ts", "pkt_id", F.col(value).alias("number"))), ignorenulls=True).over(w)).where(is_asked)
+    """Rows that ask, with the value of the first later row of the same keys that answers: one sort per key, no pairs. The order runs
+    backwards, where that row is the last one before: a running value, while a frame that ends with the key is read anew for each row."""
+    return df.withColumn(name, F.last(F.when(is_answer, F.struct("ts", "pkt_id", F.col(value).alias("number"))), ignorenulls=True).over(_later(keys))).where(is_asked)
+
+
+def _later(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy(F.desc("ts"), F.desc("pkt_id")).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def replies(df: DataFrame, is_request: Column, is_reply: Column, numbers: tuple[str, str] | None = None) -> DataFrame:
@@ -45,7 +49,7 @@ def calls(df: DataFrame, keys: list[str], invite: Column, answer: Column, confir
     kind = F.when(invite, "i").when(answer, "a").when(confirm, "c").when(bye, "b")
     w = Window.partitionBy(*keys).orderBy("ts", "pkt_id")
     signals = df.withColumn("_kind", kind).where("_kind is not null").withColumn("_one", F.lag("_kind").over(w)).withColumn("_two", F.lag("_kind", 2).over(w))
-    ends = F.first(F.when(F.col("_kind") == "b", F.col("ts")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    ends = F.last(F.when(F.col("_kind") == "b", F.col("ts")), ignorenulls=True).over(_later(keys))
     return signals.withColumn("end_ts", ends).where("_kind = 'c' and _one = 'a' and _two = 'i'").select(*keys, F.col("pkt_id").alias("call_id"), F.col("ts").alias("start_ts"), "end_ts")
 
 

@@ -16,12 +16,11 @@ greatest. A merged bound holds for every reading, and is reached by one where re
 
 from __future__ import annotations
 
-import pickle
-import zlib
 from dataclasses import dataclass, field
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 from ripplefold.operators.patterns import Pattern, automaton
 
@@ -224,6 +223,10 @@ def machine(value: Value, n_symbols: int) -> Machine:
     return Machine(value, n_symbols)
 
 
+def record(m: Machine) -> np.dtype:
+    return np.dtype([("at", "<i4"), ("into", "<i8", (2, m.depth)), ("opened", "<i8", (2, m.depth))])
+
+
 class Summary:
     """Of several chunks at once, by state before (one, or all), state after and number of levels kept: whether there is a reading,
     what is folded into the levels before and what the opened ones hold, each as least and greatest."""
@@ -258,14 +261,29 @@ class Summary:
         """The chunks of all parts, one part after the other."""
         return Summary(np.concatenate([p.there for p in parts]), np.concatenate([p.into for p in parts], 1), np.concatenate([p.opened for p in parts], 1))
 
-    def packed(self) -> bytes:
-        """Of a single chunk."""
-        assert len(self.there) == 1
-        return zlib.compress(pickle.dumps((self.there, self.into, self.opened), protocol=5), 1)
+    def packed(self, m: Machine) -> pa.Array:
+        """A binary for each chunk, with a record for each reading; the states before are all, or the start alone."""
+        chunk, before, after, kept = np.nonzero(self.there)
+        records = np.empty(len(chunk), record(m))
+        state = before if self.there.shape[1] > 1 else np.full(len(chunk), m.start)
+        records["at"] = (state * (m.start + 1) + after) * (m.depth + 1) + kept
+        for name, held in (("into", self.into), ("opened", self.opened)):
+            records[name] = held[:, chunk, before, after, kept].swapaxes(0, 1)
+        ends = np.searchsorted(chunk, np.arange(len(self.there) + 1)) * records.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(self.there), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(records.tobytes())])
 
     @staticmethod
-    def unpacked(blob: bytes) -> Summary:
-        return Summary(*pickle.loads(zlib.decompress(blob)))
+    def unpacked(m: Machine, blobs: pa.Array) -> Summary:
+        """Of packed(); the states before are all, with the start."""
+        out, kind = Summary.empty(m, len(blobs), m.start + 1), record(m)
+        chunk = np.repeat(np.arange(len(blobs)), np.array([len(b) for b in (x.as_buffer() for x in blobs)], np.int64) // kind.itemsize)
+        records = np.frombuffer(b"".join(x.as_buffer() for x in blobs), kind)
+        at = records["at"].astype(np.int64)
+        place = (chunk, at // ((m.start + 1) * (m.depth + 1)), at // (m.depth + 1) % (m.start + 1), at % (m.depth + 1))
+        out.there[place] = True
+        for name, held in (("into", out.into), ("opened", out.opened)):
+            held[(slice(None), *place)] = records[name].swapaxes(0, 1)
+        return out
 
     def merge(self, at: tuple, there: np.ndarray, into: np.ndarray, opened: np.ndarray) -> None:
         """Adds readings at the places of `at` (an index into there); `there` says which exist."""
@@ -278,58 +296,66 @@ class Summary:
         self.there[at] = old | there
 
 
-def joined(folds: list[str], kept1: int, into1, opened1, kept2: int, into2, opened2, weight=None):
-    """Two moves after each other, the first ending with levels of these folds; numbers are along the last axis. weight: is folded
-    into the last level after both, whose folds are then those of the second move's end (given as (folds, weight))."""
-    height, depth = len(folds), into1.shape[-1]
+def joined(folds: list[str], kept1: int, into1, opened1, kept2: int, into2, opened2):
+    """Two moves after each other, the first ending with levels of these folds; numbers are along the last axis."""
     shape = np.broadcast_shapes(into1.shape, into2.shape)
     kept = min(kept1, kept2)
     into, opened = np.array(np.broadcast_to(into1, shape)), np.array(np.broadcast_to(opened2, shape))
     closing = None  # what the levels closed by the second move give to the one below
-    for level in range(height - 1, -1, -1):
+    for level in range(len(folds) - 1, -1, -1):
         own = FOLD[folds[level]]
         held = into1[..., level] if level < kept1 else opened1[..., level]
         now = own(held, into2[..., level])
-        if closing is not None and (level >= kept2 - 1 or level < kept1):
+        if closing is not None:
             now, closing = own(now, closing), None
-        if level >= kept1:  # opened by the first move
-            if level >= kept2:
-                closing = now
-            else:
-                opened[..., level] = now
-        else:
+        if level < kept1:
             into[..., level] = now
-    if weight is not None:
-        ends, w = weight
-        level = len(ends) - 1
-        held = into if level < kept else opened
-        held[..., level] = FOLD[ends[level]](held[..., level], w)
-    assert depth >= height
+        elif level < kept2:
+            opened[..., level] = now
+        else:  # opened by the first move, closed by the second
+            closing = now
     return kept, into, opened
 
 
-def _numbers(move: Move, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    into, opened = np.zeros(depth, np.int64), np.zeros(depth, np.int64)
-    into[: move.height] = move.into
-    opened[move.kept : move.kept + len(move.opened)] = move.opened
-    return into, opened
+def _moved(folds: list[str], kept1: int, into1, opened1, move: Move):
+    """The same where the second is one state's move, which closes the last levels and folds at most one number into the last that stays."""
+    into, opened, closing = into1.copy(), opened1.copy(), None
+    for level in range(len(folds) - 1, max(move.kept - 2, -1), -1):
+        own, held = FOLD[folds[level]], into if level < kept1 else opened
+        now = held[..., level]
+        if move.into[level] != NEUTRAL[folds[level]]:
+            now = own(now, move.into[level])
+        if closing is not None:
+            now, closing = own(now, closing), None
+        if level >= max(kept1, move.kept):
+            closing = now
+        else:
+            held[..., level] = now
+    for i, number in enumerate(move.opened):
+        opened[..., move.kept + i] = number
+    return min(kept1, move.kept), into, opened
 
 
 def read(m: Machine, now: Summary, may_be: np.ndarray, weight: np.ndarray) -> Summary:
     """One packet more in each chunk: may_be has a bit for each symbol that the packet can be."""
     out = Summary.empty(m, len(may_be), now.there.shape[1])
-    for c, moves in enumerate(m.moves):
-        mine = np.flatnonzero(may_be >> c & 1)
-        if not len(mine):
-            continue
-        before, after = now[mine], out[mine]
-        some = before.there.any((0, 1))
-        for source, to, move, weighs in moves:
+    for mask in np.unique(may_be).tolist():
+        mine = np.flatnonzero(may_be == mask)
+        before, after = now[mine], Summary.empty(m, len(mine), now.there.shape[1])
+        some, filled, w = before.there.any((0, 1)), set(), weight[mine][None, :, None]
+        for source, to, move, weighs in (x for c in range(m.n_symbols) if mask >> c & 1 for x in m.moves[c]):
             for kept1 in np.flatnonzero(some[source]).tolist():
-                into2, opened2 = _numbers(move, m.depth)
-                w = (m.folds[to], weight[mine][None, :, None]) if weighs else None
-                kept, into, opened = joined(m.folds[source], kept1, before.into[:, :, :, source, kept1], before.opened[:, :, :, source, kept1], move.kept, into2, opened2, w)
-                after.merge((slice(None), slice(None), to, kept), before.there[:, :, source, kept1], into, opened)
+                kept, into, opened = _moved(m.folds[source], kept1, before.into[:, :, :, source, kept1], before.opened[:, :, :, source, kept1], move)
+                if weighs:
+                    level = len(m.folds[to]) - 1
+                    held = into if level < kept else opened
+                    held[..., level] = FOLD[m.folds[to][level]](held[..., level], w)
+                at, there = (slice(None), slice(None), to, kept), before.there[:, :, source, kept1]
+                if (to, kept) in filled:
+                    after.merge(at, there, into, opened)
+                else:
+                    filled.add((to, kept))
+                    after.there[at], after.into[(slice(None), *at)], after.opened[(slice(None), *at)] = there, into, opened
         out.there[mine], out.into[:, mine], out.opened[:, mine] = after.there, after.into, after.opened
     return out
 
@@ -353,10 +379,7 @@ def values(m: Machine, whole: Summary) -> tuple[np.ndarray, np.ndarray, np.ndarr
     there, low, high = np.zeros(n, bool), np.full(n, FAR), np.full(n, -FAR)
     for state, move in m.ends:
         ok = whole.there[:, 0, state, 0]
-        into2, opened2 = _numbers(move, m.depth)
-        into2 = np.broadcast_to(into2, whole.into[:, :, 0, state, 0].shape)
-        kept, _, opened = joined(m.folds[state], 0, whole.into[:, :, 0, state, 0], whole.opened[:, :, 0, state, 0], move.kept, into2, opened2)
-        found = opened[..., 0]
+        found = _moved(m.folds[state], 0, whole.into[:, :, 0, state, 0], whole.opened[:, :, 0, state, 0], move)[2][..., 0]
         low, high = np.where(ok, np.minimum(low, found[0]), low), np.where(ok, np.maximum(high, found[1]), high)
         there |= ok
     return there, low, high
