@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplefold.functions.expressions import slice_positions
-from ripplefold.operators.joins import ranked, value_positions
+from ripplefold.operators.joins import value_positions
 from ripplefold.sources.stored import stored
 
 
@@ -36,34 +36,63 @@ def accuracy(scored: DataFrame) -> DataFrame:
     )
 
 
+def paired(scores: DataFrame, positive: str = "upper", negative: str = "upper") -> DataFrame:
+    """The i-th smallest positive with the i-th largest negative, the shorter side stretched over the longer, as runs of equal pairs:
+    program_id, first_i, last_i, pos, neg. A null counts as -1, a result without a match.
+
+    Only distinct scores are ranked: a score's share of its class, stretched over the pairs, is the run of i that it stands for.
+    """
+    value = F.when(F.col("label") == 1, F.col(positive)).otherwise(F.col(negative))
+    counts = scores.where("label in (0, 1)").select("program_id", "label", F.coalesce(value, F.lit(-1)).alias("v")).groupBy("program_id", "label", "v").agg(F.count("*").alias("c"))
+    of_class, of_program = Window.partitionBy("program_id", "label"), Window.partitionBy("program_id")
+    so_far = F.sum("c").over(of_class.orderBy(F.when(F.col("label") == 1, F.col("v")).otherwise(-F.col("v"))))
+    sized = counts.withColumn("so_far", so_far).withColumn("size", F.sum("c").over(of_class))
+    sized = sized.withColumn("m", F.max("size").over(of_program)).withColumn("classes", F.max("label").over(of_program) - F.min("label").over(of_program)).where("classes = 1")
+    ends = sized.select("program_id", F.expr("so_far * m div size").alias("last_i"), F.when(F.col("label") == 1, F.col("v")).alias("pos"), F.when(F.col("label") == 0, F.col("v")).alias("neg"))
+    ends = ends.groupBy("program_id", "last_i").agg(F.max("pos").alias("pos"), F.max("neg").alias("neg"))
+    down = of_program.orderBy(F.desc("last_i")).rowsBetween(Window.unboundedPreceding, 0)
+    here = lambda c: F.last(c, ignorenulls=True).over(down).alias(c)
+    before = F.coalesce(F.lag("last_i").over(of_program.orderBy("last_i")), F.lit(0))
+    return ends.select("program_id", (before + 1).alias("first_i"), "last_i", here("pos"), here("neg"))
+
+
 def rank_pairs(scores: DataFrame, positive: str = "upper", negative: str = "upper") -> DataFrame:
-    """The i-th smallest positive with the i-th largest negative, the shorter side stretched over the longer."""
-    scores = stored(scores.select("program_id", "label", "trace_id", F.col(positive).alias("pos"), F.col(negative).alias("neg")))
-    p = ranked(scores.where("label = 1"), ["program_id"], ["pos", "trace_id"], "ip").select("program_id", "ip", "pos")
-    n = ranked(scores.where("label = 0").withColumn("down", -F.col("neg")), ["program_id"], ["down", "trace_id"], "ineg").select("program_id", "ineg", "neg")
-    sizes = scores.groupBy("program_id").agg(F.count_if(F.col("label") == 1).alias("n_pos"), F.count_if(F.col("label") == 0).alias("n_neg")).where("n_pos > 0 and n_neg > 0")
-    longest = F.greatest("n_pos", "n_neg")
-    steps = sizes.select("program_id", "n_pos", "n_neg", F.explode(F.sequence(F.lit(1), longest.cast("int"))).alias("i"), longest.alias("m"))
-    steps = steps.select("program_id", "i", F.ceil(F.col("i") * F.col("n_pos") / F.col("m")).cast("int").alias("ip"), F.ceil(F.col("i") * F.col("n_neg") / F.col("m")).cast("int").alias("ineg"))
-    return steps.join(p, ["program_id", "ip"]).join(n, ["program_id", "ineg"]).select("program_id", "i", "pos", "neg")
+    """The pairs of paired(), one row each."""
+    return paired(scores, positive, negative).select("program_id", F.explode(F.sequence("first_i", "last_i")).alias("i"), "pos", "neg")
+
+
+def wrong():
+    """A pair in the wrong order, or one of whose results has no match."""
+    return (F.col("pos") <= F.col("neg")) | (F.col("pos") < 0) | (F.col("neg") < 0)
 
 
 def acceptable(scores: DataFrame, accuracy: float) -> DataFrame:
     """Whether a partial program may still be right, by the bounds of its results: pairs of the positives' upper bounds, smallest
-    first, and the negatives' lower bounds, largest first, of which at most a share of 1 - accuracy may be in the wrong order."""
-    pairs = rank_pairs(scores, "upper", "lower")
-    out = pairs.groupBy("program_id").agg(F.count_if(F.col("pos") <= F.col("neg")).alias("invalid"), F.count("*").alias("pairs"))
+    first, and the negatives' lower bounds, largest first, of which at most a share of 1 - accuracy may be in the wrong order or undefined."""
+    n = F.col("last_i") - F.col("first_i") + 1
+    out = paired(scores, "upper", "lower").groupBy("program_id").agg(F.sum(F.when(wrong(), n).otherwise(0)).alias("invalid"), F.sum(n).alias("pairs"))
     return out.withColumn("accepted", F.col("invalid") <= (1 - accuracy) * F.col("pairs"))
 
 
-def weighted_round(scores: DataFrame, weights: DataFrame, required: float, reached: float) -> tuple[bool, DataFrame]:
-    """One round of the weighted acceptance of one program: the mean weight of the examples whose verdict is right must come up to
-    `required`; if it does, their weights become (reached + w) / 2. scores: label, trace_id, right; weights: label, trace_id, weight."""
-    both = scores.join(weights, ["label", "trace_id"])
-    value = both.agg(F.avg(F.when(F.col("right"), F.col("weight")).otherwise(0.0)).alias("v")).first()["v"] or 0.0
-    if value < required:
-        return False, weights
-    return True, stored(both.select("label", "trace_id", F.when(F.col("right"), (F.lit(reached) + F.col("weight")) / 2).otherwise(F.col("weight")).alias("weight")))
+def weighted_round(verdicts: DataFrame, weights: DataFrame, required: float, reached: float) -> DataFrame:
+    """One round of weighted acceptance: label, trace_id, weight, accepted. The program is accepted if the mean weight of the examples
+    whose verdict is right, the others counting 0, comes up to `required`; then their weights become (reached + w) / 2. verdicts: label, trace_id, right."""
+    both = verdicts.join(weights.select("label", "trace_id", "weight"), ["label", "trace_id"])
+    accepted = F.broadcast(both.agg((F.coalesce(F.avg(F.when(F.col("right"), F.col("weight")).otherwise(0.0)), F.lit(0.0)) >= required).alias("accepted")))  # one row
+    eased = F.when(F.col("accepted") & F.col("right"), (F.lit(reached) + F.col("weight")) / 2).otherwise(F.col("weight"))
+    return both.join(accepted).select("label", "trace_id", eased.alias("weight"), "accepted")
+
+
+def weighted_rounds(verdicts: DataFrame, programs: list[int], required: float, reached: float) -> DataFrame:
+    """round, accepted, label, trace_id, weight: the weights after each round, one program a round, which start with 1 and are written
+    once a round. verdicts: program_id, label, trace_id, right."""
+    weights = verdicts.select("label", "trace_id").distinct().withColumn("weight", F.lit(1.0))
+    found = None
+    for i, program in enumerate(programs):
+        weights = stored(weighted_round(verdicts.where(F.col("program_id") == program), weights, required, reached))
+        own = weights.select(F.lit(i + 1).alias("round"), "accepted", "label", "trace_id", "weight")
+        found = own if found is None else found.unionByName(own)
+    return found
 
 
 def result_vectors(scores: DataFrame) -> DataFrame:
@@ -71,9 +100,15 @@ def result_vectors(scores: DataFrame) -> DataFrame:
     return scores.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("program_id", "upper"))), lambda x: x["upper"]).alias("results"))
 
 
-def complexity(programs: DataFrame, unit: int = 100) -> DataFrame:
-    """A candidate's complexity: its terms, one for each join of two parts, and a penalty for each part still open, in units."""
-    return programs.withColumn("complexity", (F.lit(unit) * (F.col("terms") + F.greatest(F.col("parts") - 1, F.lit(0)) + 2 * F.col("open_parts"))).cast("long"))
+#: What the parts of a candidate count.
+UNIT, OPEN, REWARD, NESTED = 100.0, 5.0, 0.2, 10.0
+
+
+def complexity(programs: DataFrame) -> DataFrame:
+    """A candidate's complexity from the counts of its parts: one for each term and each join of parts, more for wildcards and for parts
+    still open, a little less for each predicate part (`favoured`), and twice that and a penalty more where an aggregation is nested (`nested`)."""
+    plain = UNIT * (F.col("terms") + F.col("joins") + OPEN * (F.col("wildcards") + F.col("open_parts")) - REWARD * F.col("favoured"))
+    return programs.withColumn("complexity", F.round(F.when(F.col("nested"), 2 * plain + UNIT * NESTED).otherwise(plain)).cast("long"))
 
 
 def atoms(df: DataFrame, fields: list[str], depth: int) -> DataFrame:
@@ -84,7 +119,7 @@ def atoms(df: DataFrame, fields: list[str], depth: int) -> DataFrame:
     for bits in slices:  # a fixed number of templates
         first, last = slice_positions(F.col("n"), bits)
         one = positions.where((F.col("pos") >= first) & (F.col("pos") <= last)).groupBy("idx").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-        one = one.select(F.concat("idx", F.lit(f":{bits}")).alias("program_id"), "idx", "low", "high", F.lit(len(bits)).alias("terms"), F.lit(1).alias("parts"), F.lit(0).alias("open_parts"))
+        one = one.select(F.concat("idx", F.lit(f":{bits}")).alias("program_id"), "idx", "low", "high", F.lit(len(bits) + 2).alias("terms"), F.lit(len(bits) + 1).alias("joins"), F.lit(0).alias("wildcards"), F.lit(0).alias("open_parts"), F.lit(3).alias("favoured"), F.lit(False).alias("nested"))
         found = one if found is None else found.unionByName(one)
     return complexity(found)
 
@@ -109,9 +144,9 @@ def sweep(traces: DataFrame, fields: list[str], depth: int) -> DataFrame:
 
 def thresholds(scores: DataFrame) -> DataFrame:
     """Per program: how many leading pairs are in the wrong order, and the floored midpoint of the first right one."""
-    pairs = rank_pairs(scores)
-    right = F.when(F.col("pos") > F.col("neg"), F.struct("i", F.floor((F.col("pos") + F.col("neg")) / 2).cast("long").alias("threshold")))
-    return pairs.groupBy("program_id").agg(F.count_if(F.col("pos") <= F.col("neg")).alias("invalid"), F.min(right).alias("first")).select("program_id", "invalid", F.col("first.threshold").alias("threshold"))
+    n = F.col("last_i") - F.col("first_i") + 1
+    right = F.when(~wrong(), F.struct("first_i", F.floor((F.col("pos") + F.col("neg")) / 2).cast("long").alias("threshold")))
+    return paired(scores).groupBy("program_id").agg(F.sum(F.when(wrong(), n).otherwise(0)).alias("invalid"), F.min(right).alias("first")).select("program_id", "invalid", F.col("first.threshold").alias("threshold"))
 
 
 def roc(scores: DataFrame) -> DataFrame:

@@ -120,6 +120,15 @@ def preparation(add, add_on) -> None:
 def learning(add, add_on, scores, score_sql: str, pairs_sql: str) -> None:
     bounded = lambda p: scores(p).withColumn("lower", F.floor(F.col("upper") * 3 / 4).cast("long"))
     add("l05_acceptable", lambda p: L.acceptable(bounded(p), 0.4), pairs_sql.replace("row_number() OVER (PARTITION BY program_id ORDER BY upper DESC, trace_id)", "row_number() OVER (PARTITION BY program_id ORDER BY upper * 3 // 4 DESC, trace_id)").replace("upper AS neg", "upper * 3 // 4 AS neg") + " SELECT program_id, count(*) FILTER (pos <= neg) AS invalid, count(*) AS pairs, count(*) FILTER (pos <= neg) <= 0.6 * count(*) AS accepted FROM j GROUP BY program_id")
+    undefined = lambda p: bounded(p).withColumn("lower", F.when(F.col("upper") > 0, F.col("lower"))).withColumn("upper", F.when(F.col("upper") > 0, F.col("upper")))  # noqa: E731  no packet in the range: no match
+    to_null = lambda sql: sql.replace("AS upper FROM t CROSS", "AS u FROM t CROSS").replace(" GROUP BY ALL)", " GROUP BY ALL), s AS (SELECT program_id, label, trace_id, CASE WHEN u > 0 THEN u ELSE -1 END AS upper, CASE WHEN u > 0 THEN u * 3 // 4 ELSE -1 END AS lower FROM s0)").replace(", s AS (SELECT program_id, label, trace_id, count(*)", ", s0 AS (SELECT program_id, label, trace_id, count(*)")
+    by_lower = lambda sql: sql.replace("row_number() OVER (PARTITION BY program_id ORDER BY upper DESC, trace_id)", "row_number() OVER (PARTITION BY program_id ORDER BY lower DESC, trace_id)").replace("upper AS neg", "lower AS neg")
+    bad = "pos <= neg OR pos < 0 OR neg < 0"
+    add("l05_undefined", lambda p: L.acceptable(undefined(p), 0.4), to_null(by_lower(pairs_sql)) + f" SELECT program_id, count(*) FILTER ({bad}) AS invalid, count(*) AS pairs, count(*) FILTER ({bad}) <= 0.6 * count(*) AS accepted FROM j GROUP BY program_id")
+    verdicts = lambda p: scores(p).select("program_id", "label", "trace_id", ((F.col("upper") > 8) == (F.col("label") == 1)).alias("right"))
+    rounds = "".join(f""", r{i} AS (SELECT v.label, v.trace_id, v.ok, w{i - 1}.weight, avg(CASE WHEN v.ok THEN w{i - 1}.weight ELSE 0 END) OVER () >= 0.45 AS accepted FROM v JOIN w{i - 1} ON v.label IS NOT DISTINCT FROM w{i - 1}.label AND v.trace_id IS NOT DISTINCT FROM w{i - 1}.trace_id WHERE program_id = {i - 1} AND v.trace_id IS NOT NULL),
+ w{i} AS (SELECT label, trace_id, CASE WHEN accepted AND ok THEN (0.8 + weight) / 2 ELSE weight END AS weight, accepted FROM r{i})""" for i in (1, 2, 3))
+    add("l06_weighted_rounds", lambda p: L.weighted_rounds(verdicts(p.where("src is not null")), [0, 1, 2], 0.45, 0.8).withColumn("weight", F.round("weight", 6)), score_sql + ", v AS (SELECT program_id, label, trace_id, (upper > 8) = (label = 1) AS ok FROM s), w0 AS (SELECT DISTINCT label, trace_id, 1.0::DOUBLE AS weight FROM v)" + rounds + " " + " UNION ALL ".join(f"SELECT {i} AS round, accepted, label, trace_id, round(weight, 6) AS weight FROM w{i}" for i in (1, 2, 3)))
     add("l08_budget", lambda p: L.best_under(scores(p), 0.3), score_sql + ", c AS (SELECT program_id, upper, count(*) FILTER (label = 1) AS p, count(*) FILTER (label = 0) AS n FROM s GROUP BY program_id, upper), r AS (SELECT program_id, upper, round(sum(p) OVER d / sum(p) OVER w, 6) AS tpr, round(sum(n) OVER d / sum(n) OVER w, 6) AS fpr FROM c WINDOW d AS (PARTITION BY program_id ORDER BY upper DESC), w AS (PARTITION BY program_id)) SELECT program_id, max(tpr) AS tpr, min(upper) AS least_score FROM r WHERE fpr <= 0.3 GROUP BY program_id")
     add("l09_l10_sweep", lambda p: L.sweep(p.where("src is not null and dst is not null").select((F.col("src") % 2).alias("label"), F.col("src").alias("trace_id"), "len", "dst"), ["len", "dst"], 2))
     add("l11_result_vectors", lambda p: L.result_vectors(scores(p)).select("trace_id", F.array_join(F.col("results").cast("array<string>"), " ").alias("results")), score_sql + " SELECT trace_id, string_agg(upper::VARCHAR, ' ' ORDER BY program_id) AS results FROM s GROUP BY trace_id")

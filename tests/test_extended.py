@@ -141,13 +141,31 @@ def test_sip(spark):
 def test_learning(spark):
     scores = spark.createDataFrame([(1, i, i % 2 == 0) for i in range(4)], "label int, trace_id int, right boolean")
     weights = scores.select("label", "trace_id", F.lit(1.0).alias("weight"))
-    ok, weights = L.weighted_round(scores, weights, 0.5, 0.8)
-    assert ok and sorted(r.weight for r in weights.collect()) == [0.9, 0.9, 1.0, 1.0]
-    assert not L.weighted_round(scores, weights, 0.5, 0.8)[0]
+    first = L.weighted_round(scores, weights, 0.5, 0.8)
+    assert sorted((r.accepted, r.weight) for r in first.collect()) == [(True, 0.9), (True, 0.9), (True, 1.0), (True, 1.0)]
+    assert sorted((r.accepted, r.weight) for r in L.weighted_round(scores, first, 0.5, 0.8).collect()) == [(False, 0.9), (False, 0.9), (False, 1.0), (False, 1.0)]
     traces = spark.createDataFrame([(int(t < 20), t, (90 if t < 20 else 10) + t % 2, t % 5) for t in range(40) for _ in range(3)], "label int, trace_id int, len long, dst long")
     best = L.sweep(traces, ["len", "dst"], 2).orderBy("place").first()
     assert (best.tpr, best.tnr) == (1.0, 1.0) and best.program_id.startswith("0:")
-    assert L.complexity(spark.createDataFrame([(3, 2, 1)], "terms int, parts int, open_parts int")).first().complexity == 600
+    parts = "terms int, joins int, wildcards int, open_parts int, favoured int, nested boolean"
+    assert [r.complexity for r in L.complexity(spark.createDataFrame([(3, 2, 1, 1, 3, False), (3, 2, 0, 0, 0, True)], parts)).collect()] == [1440, 2000]
+
+
+def test_pairs(spark):
+    """Runs of pairs against pairing by hand, with ties, unlike class sizes, undefined results and a program of one class."""
+    rnd = random.Random(3)
+    rows = [(p, int(rnd.random() < share), t, rnd.choice([None, *range(6)])) for p, share in enumerate((0.5, 0.1, 0.9, 0.0)) for t in range(40)]
+    df = spark.createDataFrame(rows, "program_id int, label int, trace_id int, upper int").withColumn("lower", F.col("upper") - 1)
+    got = {(r.program_id, r.i): (r.pos, r.neg) for r in L.rank_pairs(df, "upper", "lower").collect()}
+    want, invalid = {}, {}
+    for p in range(3):
+        pos = sorted(-1 if u is None else u for q, label, _, u in rows if q == p and label == 1)
+        neg = sorted((-1 if u is None else u - 1 for q, label, _, u in rows if q == p and label == 0), reverse=True)
+        m = max(len(pos), len(neg))
+        want |= {(p, i): (pos[-(-i * len(pos) // m) - 1], neg[-(-i * len(neg) // m) - 1]) for i in range(1, m + 1)}
+        invalid[p] = sum(a <= b or a < 0 or b < 0 for (q, _), (a, b) in want.items() if q == p)
+    assert got == want
+    assert {r.program_id: (r.invalid, r.pairs) for r in L.acceptable(df, 0.5).collect()} == {p: (n, sum(q == p for q, _ in want)) for p, n in invalid.items()}
 
 
 def test_feature_sources(spark, tmp_path):
