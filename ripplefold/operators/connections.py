@@ -53,6 +53,28 @@ def calls(df: DataFrame, keys: list[str], invite: Column, answer: Column, confir
     return signals.withColumn("end_ts", ends).where("_kind = 'c' and _one = 'a' and _two = 'i'").select(*keys, F.col("pkt_id").alias("call_id"), F.col("ts").alias("start_ts"), "end_ts")
 
 
+def ongoing(df: DataFrame, keys: list[str], invite: Column, answer: Column, confirm: Column, bye: Column, recent_s: int) -> DataFrame:
+    """Connections that were opened within the last recent_s seconds of the stream, seen by the packets of that time alone, and are
+    still open: keys, call_id, start_ts."""
+    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    last = F.broadcast(df.agg(F.max(second("ts")).alias("_last")))  # one row
+    recent = df.join(last).where(second("ts") > F.col("_last") - recent_s).drop("_last")
+    return calls(recent, keys, invite, answer, confirm, bye).where("end_ts is null").select(*keys, "call_id", "start_ts")
+
+
+def in_sessions(df: DataFrame, keys: list[str], invite: Column, answer: Column, confirm: Column, bye: Column) -> DataFrame:
+    """The packets that are no signals and lie in a connection of their keys, with its call_id: from the confirmation to the next BYE, or
+    the next confirmation. Running values only, so that a connection's packets are never held together."""
+    kind = F.when(invite, "i").when(answer, "a").when(confirm, "c").when(bye, "b")
+    w = Window.partitionBy(*keys).orderBy("ts", "pkt_id")
+    kinds = df.withColumn("_kind", kind)
+    signals = kinds.where("_kind is not null").withColumn("_one", F.lag("_kind").over(w)).withColumn("_two", F.lag("_kind", 2).over(w))
+    mark = F.when((F.col("_kind") == "c") & (F.col("_one") == "a") & (F.col("_two") == "i"), F.struct(F.col("pkt_id").alias("id"))).when(F.col("_kind") == "b", F.struct(F.lit(None).cast("long").alias("id")))
+    both = signals.withColumn("_mark", mark).drop("_one", "_two").unionByName(kinds.where("_kind is null").withColumn("_mark", F.lit(None).cast("struct<id:bigint>")))
+    last = F.last("_mark", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return both.withColumn("call_id", last["id"]).where("_kind is null and call_id is not null").drop("_kind", "_mark")
+
+
 def sip_fields(df: DataFrame, payload: str = "payload") -> DataFrame:
     """df with method, code, call_id, user and media_port read from SIP messages; null where they aren't there."""
     text = F.col(payload).cast("string")

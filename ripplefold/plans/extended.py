@@ -14,6 +14,7 @@ from ripplefold.operators import prepare as D
 from ripplefold.operators import scoring as L
 from ripplefold.operators import values as V
 from ripplefold.sources.packets import FEATURES, row_to_features, table, to_features
+from ripplefold.sources.stored import stored
 from ripplefold.streaming import jobs as R
 
 ORDER = ["ts", "pkt_id"]
@@ -62,6 +63,15 @@ def connections(add) -> None:
     calls = lambda p: C.calls(_ends(p), ["src", "dst"], _is("signup"), _is("purchase"), _is("click"), _is("error"))
     add("q16_sip_calls", lambda p: A.count_by(calls(p), ["src"], "calls"), CALLS_SQL + " SELECT src, count(*) AS calls FROM c GROUP BY src")
 
+    signs = lambda: (_is("signup"), _is("purchase"), _is("click"), _is("error"))
+    recent_sql = "WITH " + ENDS_SQL.replace("FROM {pk} WHERE", "FROM {pk} WHERE sec > (SELECT max(sec) FROM {pk} WHERE src IS NOT NULL AND dst IS NOT NULL) - 172800 AND") + CALLS_SQL.removeprefix("WITH " + ENDS_SQL)
+    add("q19_ongoing_recent", lambda p: C.ongoing(_ends(p), ["src", "dst"], *signs(), 172_800), recent_sql + " SELECT src, dst, call_id, start_ts FROM c WHERE end_ts IS NULL")
+    mails = lambda p: C.in_sessions(_ends(p), ["src", "dst"], *signs()).groupBy("call_id", "src", "dst").agg(F.count("*").alias("mails"), F.round(F.avg("len"), 6).alias("mean_len"))
+    add("q20_mails_per_connection", mails, "WITH " + ENDS_SQL + """, g AS (SELECT *, lag(kind) OVER w AS one, lag(kind, 2) OVER w AS two FROM k WHERE kind <> 'view' WINDOW w AS (PARTITION BY src, dst ORDER BY ts, pkt_id)),
+ m AS (SELECT src, dst, ts, pkt_id, CASE WHEN kind = 'click' AND one = 'purchase' AND two = 'signup' THEN pkt_id WHEN kind = 'error' THEN -1 END AS mark, FALSE AS mail, len FROM g UNION ALL SELECT src, dst, ts, pkt_id, NULL, TRUE, len FROM k WHERE kind = 'view'),
+ r AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY src, dst ORDER BY ts, pkt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS call_id FROM m)
+SELECT call_id, src, dst, count(*) AS mails, round(avg(len), 6) AS mean_len FROM r WHERE mail AND call_id >= 0 GROUP BY call_id, src, dst""")
+
     def usage(p):
         media = J.within(calls(p).where("end_ts is not null"), _ends(p).where(_is("view")).select("src", "dst", "ts", "len"), ["src", "dst"], "start_ts", "end_ts", "ts", 86_400)
         return media.groupBy("src").agg(F.sum(F.col("len") + 14).alias("bytes")).withColumn("alert", F.col("bytes") > 50_000)
@@ -112,6 +122,8 @@ def preparation(add, add_on) -> None:
     add("d10_halves", lambda p: D.halves(p, "kind", "pkt_id").select("pkt_id", "half"), "SELECT pkt_id, ntile(2) OVER (PARTITION BY kind ORDER BY pkt_id) AS half FROM {pk}")
     add("d10_one_trace_sets", lambda p: D.one_trace_sets(p.where("src is not null").withColumn("label", F.col("src") % 2), "label", "src"), 'SELECT label, src, row_number() OVER (PARTITION BY label ORDER BY src) AS "set" FROM (SELECT DISTINCT src % 2 AS label, src FROM {pk} WHERE src IS NOT NULL)')
     add("w08_rank", lambda p: J.ranked(p.select("pkt_id", "kind", (-F.col("len")).alias("down")), ["kind"], ["down", "pkt_id"], "r").select("pkt_id", "r"), "SELECT pkt_id, row_number() OVER (PARTITION BY kind ORDER BY len DESC, pkt_id) AS r FROM {pk}")
+    days = lambda p: stored(A.partner_sketches(p.where("src is not null").withColumn("day", F.to_date("ts")), ["src", "day"], "dst"))
+    add("a08_partner_estimates", lambda p: A.partners_of(days(p), ["src"]), "SELECT src, count(DISTINCT dst) AS partners FROM {pk} WHERE src IS NOT NULL AND dst IS NOT NULL GROUP BY src")
     text = lambda: F.concat(F.date_format("ts", "d/M/yyyy "), F.when(F.hour("ts") % 12 == 0, 12).otherwise(F.hour("ts") % 12).cast("string"), F.date_format("ts", ":mm"))
     add("w10_f09_clock", lambda p: p.select("pkt_id", E.seconds(E.clock_12(text())).alias("fixed")), "WITH h AS (SELECT pkt_id, date_trunc('day', ts) AS d, CASE WHEN hour(ts) % 12 = 0 THEN 12 ELSE hour(ts) % 12 END AS h, minute(ts) AS m FROM {pk}) SELECT pkt_id, (epoch(d) + h * 3600 + m * 60 + CASE WHEN h < 8 THEN 39600 ELSE -3600 END)::BIGINT AS fixed FROM h")
     add("a08_super_spreaders_approx", lambda p: A.super_spreaders(p, "src", "dst").join(A.super_spreaders_approx(p, "src", "dst").withColumnRenamed("partners", "about"), "src").select("src", (F.abs(F.col("about") - F.col("partners")) <= 1 + 0.2 * F.col("partners")).alias("close")), "SELECT DISTINCT src, TRUE AS close FROM {pk} WHERE src IS NOT NULL AND dst IS NOT NULL")
@@ -135,9 +147,9 @@ def learning(add, add_on, scores, score_sql: str, pairs_sql: str) -> None:
     patterns = ["(idiot|moron|loser)", "[#$%&]{3}", "(?s)^.{0,400}$", "[0-9]{4}"]
 
     def accepted(s, d):
-        listed = s.createDataFrame(list(enumerate(patterns)), "candidate int, pattern string")
-        both = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("toxic", "text").join(F.broadcast(listed))  # a fixed list of candidates
-        return both.groupBy("candidate").agg(F.count_if((F.col("toxic") == 1) & F.expr("text rlike pattern")).alias("true_pos"), F.count_if((F.col("toxic") == 0) & F.expr("not text rlike pattern")).alias("true_neg"), F.count("*").alias("n"))
+        both = table(s, d, "documents").join(table(s, d, "labels"), "doc_id").select("toxic", *(F.col("text").rlike(x).alias(f"hit{i}") for i, x in enumerate(patterns)))  # a fixed list of candidates
+        counts = both.agg(F.count("*").alias("n"), *(F.count_if((F.col("toxic") == 1) & F.col(f"hit{i}")).alias(f"pos{i}") for i in range(len(patterns))), *(F.count_if((F.col("toxic") == 0) & ~F.col(f"hit{i}")).alias(f"neg{i}") for i in range(len(patterns))))
+        return counts.select(F.explode(F.array(*(F.struct(F.lit(i).alias("candidate"), F.col(f"pos{i}").alias("true_pos"), F.col(f"neg{i}").alias("true_neg"), "n") for i in range(len(patterns))))).alias("c")).select("c.*")
 
     add_on("l12_regex_candidates", accepted, "SELECT candidate, count(*) FILTER (toxic = 1 AND regexp_matches(text, pattern)) AS true_pos, count(*) FILTER (toxic = 0 AND NOT regexp_matches(text, pattern)) AS true_neg, count(*) AS n FROM documents JOIN labels USING (doc_id), (VALUES " + ", ".join(f"({i}, '{p}')" for i, p in enumerate(patterns)) + ") v(candidate, pattern) GROUP BY candidate")
 
@@ -146,6 +158,14 @@ COUNT_SQL = "WITH e AS (SELECT src, string_agg(CASE WHEN syn THEN 's' ELSE 'f' E
 
 
 def streams(add_on) -> None:
+    def expiring(s, d):
+        seen = R.drained(R.expiring_state(R.packet_stream(s, d), 3, 86_400, "1 hour"), "update")
+        return seen.groupBy("src").agg(F.max(F.when(~F.col("expired"), F.col("n"))).alias("n"), F.bool_or("expired").alias("expired"))
+
+    since = """WITH z AS (SELECT src, ts, pkt_id, syn, coalesce(ts - lag(ts) OVER (PARTITION BY src ORDER BY ts, pkt_id) > INTERVAL 1 DAY, FALSE) AS gap FROM {pk} WHERE (syn OR fin) AND src IS NOT NULL),
+ y AS (SELECT *, sum(gap::INT) OVER (PARTITION BY src ORDER BY ts, pkt_id ROWS UNBOUNDED PRECEDING) AS g FROM z), e AS (SELECT src, g, string_agg(CASE WHEN syn THEN 's' ELSE 'f' END, '' ORDER BY ts, pkt_id) AS x FROM y GROUP BY src, g),
+ c AS (SELECT src, len(regexp_extract_all(x, 's+f')) AS n FROM e QUALIFY g = max(g) OVER (PARTITION BY src))"""
+    add_on("r02_expiring_state", expiring, since + ", l AS (SELECT src, max(ts) AS last FROM {pk} WHERE (syn OR fin) AND src IS NOT NULL GROUP BY src) SELECT src, n, last + INTERVAL 1 DAY <= (SELECT max(ts) FROM {pk}) - INTERVAL 1 HOUR AS expired FROM c JOIN l USING (src)")
     changes = lambda s, d: R.drained(R.pattern_state(R.packet_stream(s, d), 3), "update")
     add_on("r02_pattern_state", lambda s, d: changes(s, d).groupBy("src").agg(F.max_by("n", "batch").alias("n")), COUNT_SQL + " SELECT src, n FROM c")
     add_on("r04_alert_once", lambda s, d: changes(s, d).where("alert").select("src"), COUNT_SQL + " SELECT src FROM c WHERE n > 3")

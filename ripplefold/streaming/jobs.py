@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ripplefold.sources.packets import as_packets
 from ripplefold.sources.stored import shared_folder
@@ -16,7 +17,7 @@ def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int | None
     reader = spark.readStream.schema(schema)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{sf_dir}/events*.parquet")
+    return reader.parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table may be one file
 
 
 def packet_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,6 +78,62 @@ def pattern_state(packets: DataFrame, threshold: int) -> DataFrame:
     return control.groupBy("src").applyInPandasWithState(update, CHANGES, STATE, "update", "NoTimeout")
 
 
+EXPIRING = "src long, n long, delta long, alert boolean, expired boolean"
+
+
+class Expiring(StatefulProcessor):
+    """pattern_state for one source, forgotten once no control packet came for `quiet_s` seconds of event time."""
+
+    def __init__(self, threshold: int, quiet_s: int) -> None:
+        self.threshold, self.quiet_ms = threshold, quiet_s * 1000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("pattern", "open boolean, n long, alerted boolean, last_ms long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        import pandas as pd
+
+        is_open, n, alerted, last = self.state.get() if self.state.exists() else (False, 0, False, None)
+        packets = pd.concat(list(rows)).sort_values(["ts", "pkt_id"])
+        timer, done, alert = last, 0, False
+        for at, opens, closes in zip((t.value // 1_000_000 for t in packets["ts"]), packets["syn"].tolist(), packets["fin"].tolist()):
+            if last is not None and at - last > self.quiet_ms:
+                is_open, n, alerted = False, 0, False
+            if opens:
+                is_open = True
+            elif closes and is_open:
+                is_open, n, done = False, n + 1, done + 1
+            if n > self.threshold and not alerted:
+                alert = alerted = True
+            last = max(at, last or at)
+        if timer is not None:
+            self.handle.deleteTimer(timer + self.quiet_ms)
+        self.handle.registerTimer(last + self.quiet_ms)
+        self.state.update((is_open, n, alerted, last))
+        yield pd.DataFrame({"src": [key[0]], "n": [n], "delta": [done], "alert": [alert], "expired": [False]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        import pandas as pd
+
+        n = self.state.get()[1]
+        self.state.clear()
+        yield pd.DataFrame({"src": [key[0]], "n": [n], "delta": [0], "alert": [False], "expired": [True]})
+
+    def close(self) -> None:
+        pass
+
+
+def expiring_state(packets: DataFrame, threshold: int, quiet_s: int, late: str) -> DataFrame:
+    """pattern_state with an end: a source without a control packet for over quiet_s seconds starts anew with the next one. Its state is
+    dropped, and told of with `expired`, as soon as the watermark is that far past its last packet. The watermark runs `late` behind the latest
+    packet of any kind; a control packet behind it is dropped, others are taken in time order within their batch."""
+    packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    timed = packets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+    control = timed.where("(syn or fin) and src is not null").select("src", "ts", "pkt_id", "syn", "fin")
+    return control.groupBy("src").transformWithStateInPandas(Expiring(threshold, quiet_s), EXPIRING, "Update", "EventTime")
+
+
 def write_alerts(stream: DataFrame, path: str, checkpoint: str):
     """An append-only alert sink: one row for each offending pair, written once; returns the running query."""
     return stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode("append").format("parquet").start(path)

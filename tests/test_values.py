@@ -135,3 +135,21 @@ def test_shared_packets(spark, small_parts, block, monkeypatch):
         want = {(k, False): next(iter(told(NESTED, [r for r in rows if r[2] == "c" or r[0] == k], keys=False).values())) for k in keys}
         want[None, True] = next(iter(told(NESTED, [r for r in rows if r[2] == "c"], keys=False).values()), (0, 0))
         assert got == want
+
+
+def test_sketches(spark):
+    """Estimates never fall below the counts, sketches of parts merge to that of the whole, and most keys are left out at any size."""
+    from ripplefold.operators import aggregates as A
+
+    for n in (20_000, 200_000):
+        df = spark.range(n).select(F.when(F.col("id") % 10 == 0, F.col("id") % 30).otherwise(1000 + F.col("id") % (n // 4)).alias("k"))
+        threshold = n // 100
+        cells = A.cells_for(n, threshold)
+        whole, parts = A.count_sketch(df, "k", cells), A.merge_sketches(A.count_sketch(df.where("k % 2 = 0"), "k", cells), A.count_sketch(df.where("k % 2 = 1"), "k", cells))
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.select("row", "cell", "n").collect()))
+        left = A.likely_heavy(df, "k", whole, cells, threshold).select("k").distinct().count()
+        assert 3 <= left < 0.05 * n // 4
+        assert {(r.k, r.n) for r in A.heavy_hitters_sketch(df, "k", threshold).collect()} == {(k, n // 30 + (k < n % 30)) for k in (0, 10, 20)}
+    pairs = spark.range(300_000).select((F.col("id") % 3).alias("k"), (F.col("id") % 7).alias("day"), F.col("id").alias("x"))
+    for r in A.partners_of(A.partner_sketches(pairs, ["k", "day"], "x"), ["k"]).collect():
+        assert abs(r.partners / 100_000 - 1) < 5 * 1.04 / 64
