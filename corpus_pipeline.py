@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all that the stage before ke
 fail the quality rules. A null or unlisted lang, or no such column, adds to no reference. Rows may repeat
 and share or lack a doc_id: near duplicates are told apart by row, and of a group that row stays which has
 the smallest doc_id (rows without one come last), of several such rows any one. Columns beyond those of
-documents, whatever their names, are carried along by every stage but the last. Empty tables give empty ones.
+documents, whatever their names but for backticks, are carried along by every stage but the last. Empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ripplefold.llm.common import MADE, read_table, removed, written
+from ripplefold.llm.common import MADE, all_columns, read_table, removed, settled, written
 from ripplefold.llm.jaccard_join import join_documents
 from ripplefold.llm.packing import pack_documents
 from ripplefold.llm.quality_rules import judged
@@ -23,7 +23,7 @@ from ripplefold.llm.toxicity import without_toxic
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    whole = docs.select(F.struct(*docs.columns).alias("row"), "text", lang.alias("lang"))
+    whole = docs.select(F.struct(*all_columns(docs)).alias("row"), "text", lang.alias("lang"))
     return judged(whole, keep=["row", "lang"]).where("kept").select("row.*")
 
 
@@ -34,7 +34,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    numbered = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("number")))
+    numbered = written(docs.select(F.struct(*all_columns(docs)).alias("row"), F.monotonically_increasing_id().alias("number")))
     groups = join_documents(numbered.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")), width=5, num=80, den=100)
     groups = groups.select(F.col("doc_id").alias("number"), "component_id").join(numbered.select("number", F.col("row.doc_id").alias("id")), "number")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "number"))["number"]
@@ -57,8 +57,9 @@ ORACLE_SQL = None  # SQL can't express the classifier and the tokenizer; tests/l
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, others = read_table(spark, sf_dir, "documents"), set(MADE)
+    docs, others = read_table(spark, sf_dir, "documents"), set(MADE.paths)
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
-        removed(spark, *(MADE - {docs.written_to} - others))  # the stage's input and all that it wrote on its way
+        removed(spark, *(MADE.paths - {docs.written_to} - others))  # the stage's input and all that it wrote on its way
+        settled(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

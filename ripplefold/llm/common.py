@@ -6,6 +6,7 @@ import gc
 import pickle
 import re
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -26,8 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: The tables that were written and not removed since.
-MADE: set[str] = set()
+class _Made(threading.local):
+    """The tables that this thread has written and not removed since; a query of another thread keeps its own."""
+
+    def __init__(self) -> None:
+        self.paths: set[str] = set()
+
+
+MADE = _Made()
 
 
 def written(df: DataFrame, codec: str | None = None) -> DataFrame:
@@ -38,7 +45,7 @@ def written(df: DataFrame, codec: str | None = None) -> DataFrame:
     df.write.option("parquet.block.size", 16 << 20).parquet(path, compression=codec)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
-    MADE.add(path)
+    MADE.paths.add(path)
     return table
 
 
@@ -47,7 +54,7 @@ def removed(spark: SparkSession, *paths: str) -> None:
     for name in paths:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-        MADE.discard(name)
+        MADE.paths.discard(name)
 
 
 def forget(*tables: DataFrame) -> None:
@@ -63,6 +70,11 @@ def settled(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def all_columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,7 +4,7 @@ Texts become weighted counts of hashed words, of word shapes (letter cases, digi
 the word before) and of common signs; a singular-value decomposition over a bounded sample of labelled
 training rows gives the latent axes. The labelled vectors of that sample are broadcast (a fixed size);
 every document takes exact blocked cosine products with all of them, and its nearest neighbours vote with
-their similarity as weight.
+the square of their similarity as weight. Of neighbours that are equally near at the last place any may vote.
 
 Contract: `per_class` bounds the labelled sample; its labels come from rows that aren't held out. An empty
 or null text scores 0. Without labelled rows of both classes every score is the known class (or 0.5). A

@@ -9,7 +9,8 @@ strong one add nothing.
 Contract: spans count code points, end exclusive, ordered by start, then by kind as in KINDS, then by end; ties of
 start and kind can't occur within a kind, as its matches don't overlap. A null or empty text has no spans. Repeated
 rows give repeated results; a null doc_id is kept. An empty table gives no rows. Input columns may have any
-name: they travel in one struct.
+name: they travel in one struct. Weak spans are joined to their rows by a 64-bit hash of doc_id and text: two unlike rows
+of one hash would share them.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ripplefold.llm.common import forget, written
+from ripplefold.llm.common import all_columns, forget, written
 
 # The patterns and least lengths of the base rule, then those of the weak candidates.
 KINDS = ("assign", "access", "hex", "endpoint", "opaque")
@@ -61,7 +62,7 @@ def _near(weak: DataFrame, strong: DataFrame, reach: int, most_gap: int) -> Data
 
 def scanned(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """row (a struct of all columns of docs), base and spans (arrays of start, rank of the kind, end) for every row of docs."""
-    df = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("text", F.lit("")).alias("_t"), F.xxhash64("doc_id", "text").alias("key"))
+    df = docs.select(F.struct(*all_columns(docs)).alias("row"), F.coalesce("text", F.lit("")).alias("_t"), F.xxhash64("doc_id", "text").alias("key"))
     df = df.withColumn("base", F.array_sort(F.concat(_spans("assign", ASSIGN, 6), _spans("access", ACCESS), _spans("hex", HEX))))
     weak = F.when(F.size("base") > 0, F.concat(_spans("endpoint", ENDPOINT), _spans("opaque", OPAQUE))).otherwise(F.expr(f"cast(array() as {SPAN})"))
     table = written(df.select("row", "key", "base", weak.alias("weak")))
@@ -97,5 +98,5 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             a -> concat(array_join(a.done, ''), substring({text}, cast(a.at + 1 as int))))""")
     found = scanned(docs).select("row", F.when(F.size("spans") > 0, clean).otherwise(F.col(text)).alias("clean"))
     kinds = dict(docs.dtypes)
-    replaced = {"text": F.col("clean"), "n_chars": F.when(F.col("clean") == F.col(text), F.col("row.n_chars")).otherwise(F.length("clean")).cast(kinds["n_chars"])} if "n_chars" in kinds else {"text": F.col("clean")}
+    replaced = {"text": F.col("clean"), "n_chars": F.when(F.col("clean").eqNullSafe(F.col(text)), F.col("row.n_chars")).otherwise(F.length("clean")).cast(kinds["n_chars"])} if "n_chars" in kinds else {"text": F.col("clean")}
     return found.select(*(replaced.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

@@ -5,8 +5,9 @@ labelled training rows, sums of such words' odds over several bounds, address, a
 A generative label model turns their votes into posterior labels: by expectation-maximisation over
 labelled and unlabelled training rows it estimates, for the hidden label, the prior and how often each
 voter fires given the label and given the vote of the one voter that it depends on most (the tree of the
-strongest pairwise dependences). Gold labels only choose the voters and tell which side is toxic. A linear
-classifier over words and word beginnings is trained on the posteriors, and scores every whole document.
+strongest pairwise dependences). Gold labels choose the voters and, by their odds, the words and word beginnings that the
+classifier sees, and tell which side is toxic; they are no targets. A linear classifier over those is trained on
+the posteriors, and scores every whole document.
 
 Contract: `per_class` bounds the labelled sample, and twice as many rows the unlabelled one; no row of either is
 held out. A null or empty text has no features and scores the classifier's base rate. Without labelled rows of
@@ -260,4 +261,5 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     """The rows of docs that score below the threshold, with all their columns."""
     model = fitted(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_kept(sent, threshold), docs.schema)
+    plain = docs.toDF(*(c if c == "text" else f"_{i}" for i, c in enumerate(docs.columns)))  # names without dots, which are read as paths
+    return plain.mapInArrow(_kept(sent, threshold), plain.schema).toDF(*docs.columns)

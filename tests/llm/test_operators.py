@@ -424,7 +424,7 @@ def test_label_model():
     assert ((toxicity.LabelModel(votes).posterior(votes) > 0.5) == y).mean() > 0.95
 
 
-ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, number long, spans string, base string, key string, kept string, n_words string, score string, node string, label string, _t string"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, row string, number long, spans string, base string, key string, kept string, n_words string, score string, node string, label string, _t string, `a.b` string"
 
 
 def test_pipeline_stages(spark):
@@ -435,7 +435,7 @@ def test_pipeline_stages(spark):
     given = [r for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()]
     text = next(r.text for r in given if len(r.text.split()) > 200)
     rows = [(r.doc_id, r.text, r.lang) for r in given[:40]] + [(3, text, "en"), (5, text, "en"), (None, text, None), (3, "other words " * 9, "en"), (9001, text + " end", "en"), (9002, None, "en"), (9003, "", "en")]
-    odd = spark.createDataFrame([(i, t, g, "s", len(t or ""), *["x"], 7, *["x"] * 9) for i, t, g in rows], ODD).repartition(3)
+    odd = spark.createDataFrame([(i, t, g, "s", len(t or ""), *["x"], 7, *["x"] * 10) for i, t, g in rows], ODD).repartition(3)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, odd, sf)
         if name != "packing":
@@ -443,9 +443,10 @@ def test_pipeline_stages(spark):
             assert {(r.doc_id, r.row, r.number) for r in out.collect()} <= {(i, "x", 7) for i, _, _ in rows}
         assert stage(spark, odd.limit(0), sf).count() == 0
     quality = [r.text for r in corpus_pipeline.quality(spark, odd, sf).collect()]
-    judged = quality_rules.judged(odd).collect()
+    judged = quality_rules.judged(odd, keep=["doc_id", "text", "lang"]).collect()
     assert sorted(quality) == sorted(r.text for r in judged if r["kept"] is True) and quality
-    assert len(corpus_pipeline.secrets(spark, odd, sf).collect()) == len(rows)
+    hidden = corpus_pipeline.secrets(spark, odd, sf).collect()
+    assert len(hidden) == len(rows) and {r.n_chars for r in hidden if r.text is None} == {0} and {r["a.b"] for r in hidden} == {"x"}
 
     left = corpus_pipeline.near_duplicates(spark, odd, sf).collect()
     sets = []
