@@ -165,7 +165,7 @@ def streams(add_on) -> None:
     since = """WITH z AS (SELECT src, ts, pkt_id, syn, coalesce(ts - lag(ts) OVER (PARTITION BY src ORDER BY ts, pkt_id) > INTERVAL 1 DAY, FALSE) AS gap FROM {pk} WHERE (syn OR fin) AND src IS NOT NULL),
  y AS (SELECT *, sum(gap::INT) OVER (PARTITION BY src ORDER BY ts, pkt_id ROWS UNBOUNDED PRECEDING) AS g FROM z), e AS (SELECT src, g, string_agg(CASE WHEN syn THEN 's' ELSE 'f' END, '' ORDER BY ts, pkt_id) AS x FROM y GROUP BY src, g),
  c AS (SELECT src, len(regexp_extract_all(x, 's+f')) AS n FROM e QUALIFY g = max(g) OVER (PARTITION BY src))"""
-    add_on("r02_expiring_state", expiring, since + ", l AS (SELECT src, max(ts) AS last FROM {pk} WHERE (syn OR fin) AND src IS NOT NULL GROUP BY src) SELECT src, n, last + INTERVAL 1 DAY <= (SELECT max(ts) FROM {pk}) - INTERVAL 1 HOUR AS expired FROM c JOIN l USING (src)")
+    add_on("r02_expiring_state", expiring, since + ", l AS (SELECT src, max(ts) AS last FROM {pk} WHERE (syn OR fin) AND src IS NOT NULL GROUP BY src) SELECT src, n, last + INTERVAL 1 DAY <= (SELECT max(last) FROM l) - INTERVAL 1 HOUR AS expired FROM c JOIN l USING (src)")
     changes = lambda s, d: R.drained(R.pattern_state(R.packet_stream(s, d), 3), "update")
     add_on("r02_pattern_state", lambda s, d: changes(s, d).groupBy("src").agg(F.max_by("n", "batch").alias("n")), COUNT_SQL + " SELECT src, n FROM c")
     add_on("r04_alert_once", lambda s, d: changes(s, d).where("alert").select("src"), COUNT_SQL + " SELECT src FROM c WHERE n > 3")

@@ -127,10 +127,9 @@ class Expiring(StatefulProcessor):
 def expiring_state(packets: DataFrame, threshold: int, quiet_s: int, late: str) -> DataFrame:
     """pattern_state with an end: a source without a control packet for over quiet_s seconds starts anew with the next one. Its state is
     dropped, and told of with `expired`, as soon as the watermark is that far past its last packet. The watermark runs `late` behind the latest
-    packet of any kind; a control packet behind it is dropped, others are taken in time order within their batch."""
+    control packet; those behind it are dropped, others are taken in time order within their batch."""
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    timed = packets.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
-    control = timed.where("(syn or fin) and src is not null").select("src", "ts", "pkt_id", "syn", "fin")
+    control = packets.where("(syn or fin) and src is not null").select("src", F.col("ts").cast("timestamp").alias("ts"), "pkt_id", "syn", "fin").withWatermark("ts", late)
     return control.groupBy("src").transformWithStateInPandas(Expiring(threshold, quiet_s), EXPIRING, "Update", "EventTime")
 
 
