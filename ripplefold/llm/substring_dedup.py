@@ -172,7 +172,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Da
     settled(spark)
     by_segment = written(indexed(common, "segment", F.first("seed").alias("seed"), F.first("starts").alias("starts")))
     # a hash whose segments all repeat is done with; otherwise its segments' windows are looked up by themselves
-    uneven = by_segment.groupBy("seed").agg(F.min("n").alias("least")).where("least = 1").select("seed")
+    uneven = written(by_segment.groupBy("seed").agg(F.min("n").alias("least")).where("least = 1").select("seed"))  # written for the same reason as by_window
     apart = by_segment.join(uneven, "seed").select(F.col("source").alias("row"), F.struct(F.col("source_start").alias("start"), "starts", (F.col("n") > 1).alias("repeated")).alias("segment"))
     listed = apart.groupBy("row").agg(F.collect_list("segment").alias("segments"))  # at most one for each word of a text
     windows = written(texts.select("row", "text").join(listed, "row").mapInArrow(_windows(width), WINDOWS))
@@ -180,7 +180,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, seed: int = SEED) -> Da
     by_window = written(indexed(windows, "hash", F.max("repeated").alias("repeated")).where("n > 1 or repeated"))  # so that both sides of the join are shuffled, and a window with very many rows can be split
     single = placed(windows.where("not repeated").withColumn("starts", F.lit(1)), by_window, "hash")
     found = written(placed(common, by_segment.where("n > 1"), "segment").unionByName(single))
-    forget(shared, common, by_segment, windows, by_window)
+    forget(shared, common, by_segment, uneven, windows, by_window)
     settled(spark)
     gathered = found.groupBy("row").agg(F.collect_list(F.struct("start", "starts", "source", "source_start")).alias("found"))  # the same bound
     return texts.join(gathered, "row", "left").mapInArrow(_kept(width), KEPT)
