@@ -13,7 +13,7 @@ from ripplefold.operators import patterns as Q
 from ripplefold.operators import prepare as D
 from ripplefold.operators import scoring as L
 from ripplefold.operators import windows as W
-from ripplefold.plans import extended, valued
+from ripplefold.plans import extended, swept, valued
 from ripplefold.sources.packets import packets, table, trace_texts
 from ripplefold.streaming import jobs as R
 
@@ -220,3 +220,4 @@ add_on("r03_sliding_stream", lambda s, d: R.drained(R.windowed_sums(R.packet_str
 
 extended.register(add, add_on, _scores, _score_sql, _pairs_sql)
 valued.register(add)
+swept.register(add)
