@@ -24,7 +24,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     whole = docs.select(F.struct(*all_columns(docs)).alias("row"), "text", lang.alias("lang"))
-    return judged(whole, keep=["row", "lang"]).where("kept").select("row.*")
+    settled(spark)  # what the driver still holds of earlier jobs
+    kept = judged(whole, keep=["row", "lang"]).where("kept").select("row.*")
+    settled(spark)  # the plans of the measures, which are written by now
+    return kept
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
