@@ -37,6 +37,19 @@ def handshakes(df: DataFrame, syn: Column, syn_ack: Column, ack: Column) -> Data
     return first.join(done, F.col("pkt_id") == F.col("_syn"), "left").select(F.col("pkt_id").alias("syn_id"), "src", "dst", F.col("reply_id").alias("syn_ack_id"), "ack_id")
 
 
+def completed(df: DataFrame, keys: list[str], opens: Column, closes: Column) -> DataFrame:
+    """Per keys, how often a packet that closes comes right after one that opens, packets of other kinds left out: keys, flows."""
+    own = df.where(opens | closes).withColumn("_before", F.lag(opens).over(Window.partitionBy(*keys).orderBy("ts", "pkt_id")))
+    return own.groupBy(*keys).agg(F.count_if(closes & F.coalesce("_before", F.lit(False))).alias("flows"))
+
+
+def lifetimes(df: DataFrame, keys: list[str], opens: Column, closes: Column) -> DataFrame:
+    """Each packet that closes, with the seconds since the last one of its keys that opened: keys, pkt_id, life."""
+    before = Window.partitionBy(*keys).orderBy("ts", "pkt_id").rowsBetween(Window.unboundedPreceding, -1)
+    own = df.where(opens | closes).withColumn("_opened", F.last(F.when(opens, F.col("ts")), ignorenulls=True).over(before)).where(closes & F.col("_opened").isNotNull())
+    return own.select(*keys, "pkt_id", (F.unix_seconds(F.col("ts").cast("timestamp")) - F.unix_seconds(F.col("_opened").cast("timestamp"))).alias("life"))
+
+
 def half_open(found: DataFrame, threshold: int = 0) -> DataFrame:
     """Per target and source, handshakes that were answered but never completed, and whether they are over the threshold."""
     open_ = found.groupBy("dst", "src").agg(F.count_if(F.col("syn_ack_id").isNotNull() & F.col("ack_id").isNull()).alias("half_open"))

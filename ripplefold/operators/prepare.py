@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ripplefold.operators.joins import numbered, ranked
+from ripplefold.sources.stored import shared_folder
 
 
 def draw(key: Column, out_of: int) -> Column:
@@ -17,6 +18,21 @@ def assemble_flows(df: DataFrame, keys: list[str], ts: str, value: str) -> DataF
     return df.groupBy(*keys).agg(F.min(ts).alias("open_ts"), F.max(ts).alias("end_ts"), F.count("*").alias("n_pkts"), F.sum(value).alias("bytes"))
 
 
+def split_by(df: DataFrame, kind: str) -> DataFrame:
+    """df written as Parquet in one folder for each value of `kind`, so that whoever picks a kind reads its folder alone. Rows aren't
+    shuffled: each task writes the kinds that it holds, however many rows are of one kind. The folders' column is named `part`."""
+    path = shared_folder(df.sparkSession, "split")
+    parted = df.withColumn("part", F.col(kind).cast("string"))
+    parted.write.partitionBy("part").parquet(path)
+    return df.sparkSession.read.schema(parted.schema).parquet(path)
+
+
+def picked(split: DataFrame, kind: str, value: str | None) -> DataFrame:
+    """The rows of split_by() of one kind, null included. An empty string lies in the folder of the nulls, and is told apart there."""
+    folder = F.col("part").eqNullSafe(F.lit(value or None).cast("string"))
+    return split.where(folder & F.col(kind).cast("string").eqNullSafe(F.lit(value).cast("string"))).drop("part")
+
+
 def indexed(df: DataFrame, within: list[str], order: list[str], name: str = "idx") -> DataFrame:
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1).cast("long"))
 

@@ -105,11 +105,20 @@ def over_patterns(add) -> None:
     add("q12_count_chunked", lambda p: K.count_chunked(p, ["src"], ORDER, sym(), flow, "sfaro"), "WITH e AS (SELECT src, string_agg(CASE WHEN syn THEN 's' WHEN fin THEN 'f' ELSE 'o' END, '' ORDER BY ts, pkt_id) AS x FROM {pk} GROUP BY src) SELECT src, len(regexp_extract_all(x, 's[^f]*f')) AS n FROM e")
 
 
+def flows(add) -> None:
+    ends = lambda p: p.where("src is not null and dst is not null")
+    pair, control = ["src", "dst"], lambda: (F.col("syn"), F.col("fin"))
+    rows = "WITH c AS (SELECT * FROM {pk} WHERE (syn OR fin) AND src IS NOT NULL AND dst IS NOT NULL)"
+    add("q13_flows_of_two_ends", lambda p: C.completed(ends(p), pair, *control()), rows + ", l AS (SELECT src, dst, fin, lag(syn) OVER (PARTITION BY src, dst ORDER BY ts, pkt_id) AS prev FROM c) SELECT src, dst, count(*) FILTER (fin AND coalesce(prev, FALSE)) AS flows FROM l GROUP BY src, dst")
+    add("q14_lives_of_two_ends", lambda p: C.lifetimes(ends(p), pair, *control()), rows + ", l AS (SELECT src, dst, pkt_id, fin, sec, last_value(CASE WHEN syn THEN sec END IGNORE NULLS) OVER (PARTITION BY src, dst ORDER BY ts, pkt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS o FROM c) SELECT src, dst, pkt_id, sec - o AS life FROM l WHERE fin AND o IS NOT NULL")
+
+
 def preparation(add, add_on) -> None:
     fields = {"src_ip": "src", "dst_ip": "dst", "len": "len", "syn": "syn::INT", "ack": "ack::INT", "fin": "fin::INT", "rst": "rst::INT"}
     add("p16_features", lambda p: to_features(p.withColumnRenamed("src", "src_ip").withColumnRenamed("dst", "dst_ip")).select("pkt_id", F.array_join(F.col("features").cast("array<string>"), " ").alias("features")), "SELECT pkt_id, concat_ws(' ', " + ", ".join(f"coalesce({fields[f]}, 0)" if f in fields else "0" for f in FEATURES) + ") AS features FROM {pk}")
     add("p18_row_features", lambda p: row_to_features(p, ["len", "src", "dst"]).select("pkt_id", (F.get("features", 0) + F.get("features", 1) + 2 * F.get("features", 2)).alias("v")), "SELECT pkt_id, (len + src + 2 * dst)::DOUBLE AS v FROM {pk}")
     add("d04_mix", lambda p: D.mixed_by_ratio(p.withColumn("label", F.col("rst").cast("int")), "label", "pkt_id", 1, 3).select("pkt_id", "label"), "SELECT pkt_id, rst::INT AS label FROM {pk} WHERE NOT rst OR ('0x' || substr(md5(pkt_id::VARCHAR), 1, 8))::BIGINT % 3 < 1")
+    add("d02_split_written", lambda p: D.picked(D.split_by(p.select("pkt_id", "src", "dst", "kind"), "kind"), "kind", "error"), "SELECT pkt_id, src, dst, kind FROM {pk} WHERE kind = 'error'")
     add("d09_periodic", lambda p: D.periodic_samples(D.indexed(p, ["src"], ORDER), "idx", 10, 3).select("pkt_id", "sample"), "WITH i AS (SELECT pkt_id, row_number() OVER (PARTITION BY src ORDER BY ts, pkt_id) - 1 AS idx FROM {pk}), o AS (SELECT pkt_id, idx // 10 AS sample, idx % 10 AS spot, ('0x' || substr(md5((idx // 10)::VARCHAR), 1, 8))::BIGINT % 8 AS lo FROM i) SELECT pkt_id, sample FROM o WHERE spot >= lo AND spot < lo + 3")
 
     def merged(p):
@@ -177,6 +186,7 @@ def register(add, add_on, scores, score_sql: str, pairs_sql: str) -> None:
     slices(add)
     connections(add)
     over_patterns(add)
+    flows(add)
     preparation(add, add_on)
     learning(add, add_on, scores, score_sql, pairs_sql)
     streams(add_on)

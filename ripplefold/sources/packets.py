@@ -77,6 +77,8 @@ def decode_headers(frames: DataFrame) -> DataFrame:
     df = df.withColumn("_l4", l4).withColumn("protocol", _number(F.col("_ip") + 9, 1).cast("int"))
     tcp = F.col("protocol") == 6
     flags = F.when(tcp, _number(F.col("_l4") + 13, 1)).otherwise(0)
+    # a TCP header tells its length in words, options included, and has five at least; a cut-off one has no payload anyway
+    l4_size = F.when(tcp, F.greatest(F.coalesce(F.shiftright(_number(F.col("_l4") + 12, 1), 4) * 4, F.lit(20)), F.lit(20))).otherwise(8).cast("int")
     bit = lambda mask, name: F.when(flags.bitwiseAND(F.lit(mask).cast("long")) != 0, 1).otherwise(0).alias(name)
     return df.select(
         "file", "pkt_no", F.timestamp_micros("ts_us").alias("ts"), _number(F.col("_ip") + 12, 4).alias("src_ip"), _number(F.col("_ip") + 16, 4).alias("dst_ip"),
@@ -84,7 +86,7 @@ def decode_headers(frames: DataFrame) -> DataFrame:
         "protocol", _number(F.col("_ip") + 6, 2).alias("frag"), _number(F.col("_ip") + 4, 2).cast("int").alias("ip_id"), _number(F.col("_ip") + 2, 2).cast("int").alias("len"), _number(F.col("_ip") + 1, 1).cast("int").alias("tos"), _number(F.col("_ip") + 8, 1).cast("int").alias("ttl"),
         bit(2, "syn"), bit(16, "ack"), bit(1, "fin"), bit(4, "rst"), bit(8, "psh"), bit(32, "urg"),
         F.when(tcp, _number(F.col("_l4") + 4, 4)).otherwise(0).alias("seq"), F.when(tcp, _number(F.col("_l4") + 8, 4)).otherwise(0).alias("ack_seq"), F.when(tcp, _number(F.col("_l4") + 14, 2)).otherwise(0).cast("int").alias("win"),
-        F.expr("substring(raw, _l4 + 1 + case when protocol = 6 then 20 else 8 end)").alias("payload"),
+        F.substring(F.col("raw"), F.col("_l4") + 1 + l4_size, F.length("raw")).alias("payload"),
     )
 
 

@@ -7,12 +7,20 @@ from pyspark.sql import functions as F
 from ripplefold.sources import packets as S
 
 
-def frame(src, dst, sport, dport, flags, seq, payload=b""):
-    tcp = struct.pack(">HHIIBBHHH", sport, dport, seq, 0, 5 << 4, flags, 512, 0, 0) + payload
+def frame(src, dst, sport, dport, flags, seq, payload=b"", options=b"", words=None):
+    tcp = struct.pack(">HHIIBBHHH", sport, dport, seq, 0, (5 + len(options) // 4 if words is None else words) << 4, flags, 512, 0, 0) + options + payload
     ip = struct.pack(">BBHHHBBHII", 0x45, 3, 20 + len(tcp), 77, 0, 64, 6, 0, src, dst) + tcp
     return b"\0" * 12 + b"\x08\0" + ip
 
 
+def test_payload_behind_options(spark):
+    """Options of TCP are no payload; a header length under five words, and frames cut off within the header."""
+    whole = frame(1, 2, 3, 4, 24, 5, b"data", b"\1\1\x08\x0a" + bytes(8))
+    cases = [whole, frame(1, 2, 3, 4, 24, 5, b"data"), frame(1, 2, 3, 4, 24, 5, b"data", words=0), frame(1, 2, 3, 4, 24, 5, b"", bytes(40)), whole[:40], whole[:56]]
+    raw = spark.createDataFrame([("f", i, 0, len(f), 1, bytearray(f)) for i, f in enumerate(cases)], S.RAW)
+    assert [bytes(r.payload) for r in S.decode_headers(raw).orderBy("pkt_no").collect()] == [b"data", b"data", b"data", b"", b"", b""]
+
+
 def test_capture(spark, tmp_path):
     frames = [frame(0x0A000001, 0xC0A80001, 1234, 80, 2, 4_000_000_000), frame(0xC0A80001, 0x0A000001, 80, 1234, 18, 7, b"hi"), b"\0" * 14 + b"\x60" + b"\0" * 60]
     body = b"".join(struct.pack("<IIII", 100 + i, 5, len(f), len(f)) + f for i, f in enumerate(frames))
