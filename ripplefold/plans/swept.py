@@ -1,9 +1,11 @@
-"""The registered sweep over candidates of several parts, and its SQL."""
+"""The registered sweep over candidates of several parts and the user folds, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ripplefold.functions.expressions import seconds
+from ripplefold.operators import folds
 from ripplefold.operators.templates import sweep_shapes
 
 REQUIRED = 0.4
@@ -37,3 +39,15 @@ SELECT row_number() OVER (ORDER BY tpr + tnr DESC, complexity, program_id) AS pl
 def register(add) -> None:
     traces = lambda p: p.where("src is not null").select((F.col("src") % 2).alias("label"), F.col("src").alias("trace_id"), "ts", "pkt_id", "len", "dst")
     add("l09_sweep_shapes", lambda p: sweep_shapes(traces(p), ["len", "dst"], ["ts", "pkt_id"], 1, REQUIRED), SQL)
+    order = ["ts", "pkt_id"]
+    add("x03_token_bucket", lambda p: folds.token_bucket(p.withColumn("sec", seconds(F.col("ts"))), ["src"], order, "sec", "len", 30_000, 20), """WITH l AS (SELECT src, list({'t': sec, 'n': coalesce(len, 0), 'level': 30000::BIGINT, 'since': NULL::BIGINT, 'passed': 0::BIGINT, 'refused': 0::BIGINT} ORDER BY ts, pkt_id) AS rows FROM {pk} GROUP BY src),
+ f AS (SELECT src, list_reduce(list_prepend({'t': 0::BIGINT, 'n': 0::BIGINT, 'level': 30000::BIGINT, 'since': NULL::BIGINT, 'passed': 0::BIGINT, 'refused': 0::BIGINT}, rows), lambda a, x: {'t': x.t, 'n': x.n,
+  'level': least(30000, a.level + coalesce((x.t - a.since) // 20, 0)) - CASE WHEN x.n <= least(30000, a.level + coalesce((x.t - a.since) // 20, 0)) THEN x.n ELSE 0 END, 'since': coalesce(a.since + (x.t - a.since) // 20 * 20, x.t),
+  'passed': a.passed + (x.n <= least(30000, a.level + coalesce((x.t - a.since) // 20, 0)))::INT, 'refused': a.refused + (x.n > least(30000, a.level + coalesce((x.t - a.since) // 20, 0)))::INT}) AS s FROM l)
+SELECT src, s.passed AS passed, s.refused AS refused FROM f""")
+    signed = "CASE WHEN kind IN ('view', 'error') THEN -len ELSE len END"
+    sums = lambda by: f"SELECT {by} sum(coalesce({signed}, 0)) OVER (PARTITION BY {by} 1 ORDER BY ts, pkt_id ROWS UNBOUNDED PRECEDING) AS c, ts, pkt_id FROM {{pk}}"
+    best = lambda by: f"WITH c AS ({sums(by)}), m AS (SELECT *, min(c) OVER (PARTITION BY {by} 1 ORDER BY ts, pkt_id ROWS UNBOUNDED PRECEDING) AS low FROM c) SELECT {by} max(c - least(low, 0))::BIGINT AS best FROM m GROUP BY {by} ()"
+    weighted = lambda p: p.withColumn("weight", F.expr(signed))
+    add("x03_best_stretch", lambda p: folds.best_stretch(weighted(p), ["src"], order, "weight"), best("src,"))
+    add("x03_best_stretch_of_all", lambda p: folds.best_stretch(weighted(p), [], order, "weight"), best("").replace("GROUP BY  ()", ""))
