@@ -210,7 +210,7 @@ add_on("l12_regex_acceptance", lambda s, d: table(s, d, "documents").join(table(
 # functions
 add("f01_f03_arithmetic", lambda p: p.select("pkt_id", (F.col("len") + F.col("src") * 2 - F.col("dst")).alias("v"), F.round(F.ln(F.col("len") + 1), 6).alias("log"), F.least("src", "dst").alias("lo"), F.greatest("src", "dst").alias("hi")), "SELECT pkt_id, len + src * 2 - dst AS v, round(ln(len + 1), 6) AS log, least(src, dst) AS lo, greatest(src, dst) AS hi FROM {pk}")
 add("f04_f05_addresses", lambda p: p.select("pkt_id", E.ip_to_text(F.col("src") * 65_537 + F.col("dst")).alias("ip")).withColumn("back", E.ip_to_long(F.col("ip"))), "WITH a AS (SELECT pkt_id, src * 65537 + dst AS x FROM {pk}) SELECT pkt_id, concat_ws('.', (x >> 24) & 255, (x >> 16) & 255, (x >> 8) & 255, x & 255) AS ip, x & 4294967295 AS back FROM a")
-add("f10_time_bucket", lambda p: A.count_by(p.select(E.bucket_ms(F.col("ts"), 60_000).alias("bucket")), ["bucket"]), "SELECT CAST(floor(epoch_ms(ts) / 60000) * 60000 AS BIGINT) AS bucket, count(*) AS n FROM {pk} GROUP BY 1")
+add("f10_time_bucket", lambda p: A.count_by(p.select(E.bucket_ms(F.col("ts"), 60_000).alias("bucket")), ["bucket"]), "SELECT epoch_ms(date_trunc('minute', ts)) AS bucket, count(*) AS n FROM {pk} GROUP BY 1")
 
 # streams over the event table
 add_on("r01_live_counts", lambda s, d: R.drained(R.live_counts(R.packet_stream(s, d), "src"), "update").groupBy("src").agg(F.max_by("n", "batch").alias("n")), "SELECT src, count(*) AS n FROM {pk} GROUP BY src")

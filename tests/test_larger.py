@@ -23,3 +23,10 @@ def test_addresses_over_32_bits(spark, tmp_path):
     noon = datetime.datetime(2024, 1, 1, 12)
     folder = events(tmp_path, [(noon, src, "view", 1.0) for src in (1, 65_534, 65_535, 65_536, 90_000, 5_000_000)])
     assert same(spark, folder, "f04_f05_addresses") == ""
+
+
+def test_minutes_end_with_their_last_microsecond(spark, tmp_path):
+    minute = datetime.datetime(2024, 1, 1, 12, 5, 59)
+    folder = events(tmp_path, [(minute.replace(microsecond=us), 1, "view", 1.0) for us in (0, 999_499, 999_500, 999_999)])
+    assert [tuple(r) for r in catalog.QUERIES["f10_time_bucket"](spark, folder).collect()] == [(1_704_110_700_000, 4)]
+    assert same(spark, folder, "f10_time_bucket") == ""
