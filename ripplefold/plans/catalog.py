@@ -102,7 +102,7 @@ add("w06_longest_run", lambda p: W.longest_run(p, ["src"], ["ts", "pkt_id"], "ac
 add("w07_segments", lambda p: W.segments(p, ["src"], ["ts", "pkt_id"], ["kind"]).select("pkt_id", "segment"), "WITH a AS (SELECT pkt_id, src, ts, CASE WHEN lag(kind) OVER (PARTITION BY src ORDER BY ts, pkt_id) IS DISTINCT FROM kind THEN 1 ELSE 0 END AS c FROM {pk}) SELECT pkt_id, sum(c) OVER (PARTITION BY src ORDER BY ts, pkt_id ROWS UNBOUNDED PRECEDING)::BIGINT AS segment FROM a")
 add("w09_sample_windows", lambda p: W.sample_windows(p, ["src"], ["ts", "pkt_id"], 10).groupBy("src", "sample").agg(F.count("*").alias("n")), "WITH a AS (SELECT src, (row_number() OVER (PARTITION BY src ORDER BY ts, pkt_id) - 1) // 10 AS sample FROM {pk}) SELECT src, sample, count(*) AS n FROM a GROUP BY src, sample")
 add("w10_clock_repair", lambda p: p.select("pkt_id", F.when(F.hour("ts") < 8, F.col("ts") + F.expr("interval 11 hours")).otherwise(F.col("ts") - F.expr("interval 1 hour")).alias("fixed")), "SELECT pkt_id, CASE WHEN hour(ts) < 8 THEN ts + INTERVAL 11 HOUR ELSE ts - INTERVAL 1 HOUR END AS fixed FROM {pk}")
-add("t01_tumbling", lambda p: W.tumbling_sums(p, "ts", "len", 3_600_000), "WITH s AS (SELECT CAST(floor(epoch_ms(ts) / 3600000) * 3600000 AS BIGINT) AS b, sum(len) AS t FROM {pk} GROUP BY 1), g AS (SELECT unnest(generate_series((SELECT min(b) FROM s), (SELECT max(b) FROM s), 3600000)) AS bucket) SELECT bucket, coalesce(t, 0)::BIGINT AS total FROM g LEFT JOIN s ON b = bucket")
+add("t01_tumbling", lambda p: W.tumbling_sums(p, "ts", "len", 3_600_000), "WITH s AS (SELECT epoch_ms(date_trunc('hour', ts)) AS b, sum(len) AS t FROM {pk} GROUP BY 1), g AS (SELECT unnest(generate_series((SELECT min(b) FROM s), (SELECT max(b) FROM s), 3600000)) AS bucket) SELECT bucket, coalesce(t, 0)::BIGINT AS total FROM g LEFT JOIN s ON b = bucket")
 
 # patterns
 _flow = Q.seq(Q.one("s"), Q.star(Q.but("f")), Q.one("f"))

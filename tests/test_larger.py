@@ -30,3 +30,10 @@ def test_minutes_end_with_their_last_microsecond(spark, tmp_path):
     folder = events(tmp_path, [(minute.replace(microsecond=us), 1, "view", 1.0) for us in (0, 999_499, 999_500, 999_999)])
     assert [tuple(r) for r in catalog.QUERIES["f10_time_bucket"](spark, folder).collect()] == [(1_704_110_700_000, 4)]
     assert same(spark, folder, "f10_time_bucket") == ""
+
+
+def test_hours_end_with_their_last_microsecond(spark, tmp_path):
+    last = datetime.datetime(2024, 1, 1, 12, 59, 59, 999_600)
+    folder = events(tmp_path, [(last, 1, "view", 1.0), (last + datetime.timedelta(hours=3), 1, "view", 2.0)])
+    assert [r.total for r in catalog.QUERIES["t01_tumbling"](spark, folder).orderBy("bucket").collect()] == [100, 0, 0, 200]
+    assert same(spark, folder, "t01_tumbling") == ""
