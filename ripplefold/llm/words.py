@@ -58,6 +58,15 @@ class Block:
         following = np.append(self.starts[1:], len(self.data))[: len(self.starts)]
         return np.minimum(np.minimum(space, following), self.offsets[np.searchsorted(self.offsets, self.starts, side="right")]).astype(np.int64)
 
+    def taken(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of these words, one after the other, and the offsets of each."""
+        space = np.append(np.flatnonzero(~IS_WORD[self.data]), len(self.data))
+        first = self.starts[words]
+        following = np.append(self.starts, len(self.data))[words + 1]
+        end = np.minimum(np.minimum(space[np.searchsorted(space, first)], following), self.offsets[np.searchsorted(self.offsets, first, side="right")])
+        offsets = starts_of(end - first)
+        return self.data[np.repeat(first - offsets[:-1], end - first) + np.arange(offsets[-1])], offsets
+
     def _sums(self, terms: np.ndarray) -> np.ndarray:
         return np.add.reduceat(terms, self.starts) if len(self.starts) else np.empty(0, terms.dtype)
 
