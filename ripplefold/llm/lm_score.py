@@ -35,6 +35,7 @@ HASHES = 4
 STEP = 1.4
 DISCOUNT = 0.75
 PAIR_WEIGHT = 200.0
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 GATHERED = "kind string, bucket int, flush long, n long, v long, blob binary"
 
 
@@ -143,7 +144,7 @@ def _pairs(hashed: np.ndarray) -> np.ndarray:
     return mixed(np.concatenate([[END], hashed[:-1]]), hashed)
 
 
-def _gather(n_buckets: int, flush_tokens: int = 600_000):
+def _gather(n_buckets: int, flush_tokens: int = 1_200_000):
     """Per bucket: the n-grams of a part of the task and how often its training texts hold them; per part: its texts as tokens."""
 
     def flush(parts: list[tuple], number: int):
@@ -272,7 +273,13 @@ def score_documents(docs: DataFrame, held_out_remainder: int = 2, modulus: int =
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder(F.col("doc_id"), modulus) != held_out_remainder).alias("train"))
     n_buckets = buckets_for(texts, "text", chars_per_bucket)
     parts = texts.mapInArrow(_gather(n_buckets), GATHERED)
-    gathered = written(parts.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_count(n_buckets, bits_per_entry), GATHERED))
+    spark = docs.sparkSession
+    was = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # the n-grams sent to the buckets, the greatest shuffle, go before the levels are sent back
+    try:
+        gathered = written(parts.repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_count(n_buckets, bits_per_entry), GATHERED))
+    finally:
+        spark.conf.set(CLEANUP, was)
     totals = gathered.where("kind = 'filter'").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
     n_train, n_types = totals["n"] or 0, totals["v"] or 0
     scored = gathered.where("kind <> 'filter'").repartition(n_buckets, "flush").groupBy("flush").applyInArrow(

@@ -516,3 +516,31 @@ def test_words_of_letters_are_encoded_by_lines(monkeypatch):
         at = starts_of(codes.lengths[slots])[starts_of(block.counts)]
         assert [x.tolist() for x in np.split(codes.ids(slots), at[1:-1])] == [e.ids for e in codec.encode_batch_fast(mixed, add_special_tokens=False)]
     assert len(slow) < 20 and set(slow) <= {*others, "<", "<|endoftext", "|endoftext|", ">"}
+
+
+def test_scoring_lets_the_first_shuffle_go(spark, monkeypatch):
+    """Before the levels are shuffled back, Spark's files of the n-grams sent to the buckets are gone."""
+    import os
+    import re
+    import time
+
+    def files():
+        folders = [str(f) for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+        return {int(re.match(r"shuffle_(\d+)_", name)[1]) for home in folders for _, _, names in os.walk(home) for name in names if name.startswith("shuffle_")}
+
+    real, left = lm_score.written, []
+
+    def written(df, *more):
+        before, out = files(), real(df, *more)
+        for _ in range(50):  # the files go in the background
+            if files() <= before:
+                break
+            time.sleep(0.1)
+        left.append(files() - before)
+        return out
+
+    monkeypatch.setattr(lm_score, "written", written)
+    docs = spark.createDataFrame([(i, f"word{i % 50} and other words {i}") for i in range(500)], "doc_id long, text string")
+    scored = lm_score.score_documents(docs)
+    assert left == [set()]
+    assert scored.count() == 500
