@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -78,6 +78,7 @@ def pattern_state(packets: DataFrame, threshold: int) -> DataFrame:
     return control.groupBy("src").applyInPandasWithState(update, CHANGES, STATE, "update", "NoTimeout")
 
 
+NEVER_MS = -(2**63) // 1_000_000  # of a packet without a time
 EXPIRING = "src long, n long, delta long, alert boolean, expired boolean"
 
 
@@ -92,12 +93,10 @@ class Expiring(StatefulProcessor):
         self.state = handle.getValueState("pattern", "open boolean, n long, alerted boolean, last_ms long")
 
     def handleInputRows(self, key, rows, timerValues):
-        import pandas as pd
-
         is_open, n, alerted, last = self.state.get() if self.state.exists() else (False, 0, False, None)
-        packets = pd.concat(list(rows)).sort_values(["ts", "pkt_id"])
         timer, done, alert = last, 0, False
-        for at, opens, closes in zip((t.value // 1_000_000 for t in packets["ts"]), packets["syn"].tolist(), packets["fin"].tolist()):
+        for r in sorted(rows, key=lambda r: (r.us is None, r.us or 0, r.pkt_id is None, r.pkt_id or 0)):
+            at, opens, closes = NEVER_MS if r.us is None else r.us // 1000, r.syn, r.fin
             if last is not None and at - last > self.quiet_ms:
                 is_open, n, alerted = False, 0, False
             if opens:
@@ -111,14 +110,12 @@ class Expiring(StatefulProcessor):
             self.handle.deleteTimer(timer + self.quiet_ms)
         self.handle.registerTimer(last + self.quiet_ms)
         self.state.update((is_open, n, alerted, last))
-        yield pd.DataFrame({"src": [key[0]], "n": [n], "delta": [done], "alert": [alert], "expired": [False]})
+        yield Row(src=key[0], n=n, delta=done, alert=alert, expired=False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        import pandas as pd
-
         n = self.state.get()[1]
         self.state.clear()
-        yield pd.DataFrame({"src": [key[0]], "n": [n], "delta": [0], "alert": [False], "expired": [True]})
+        yield Row(src=key[0], n=n, delta=0, alert=False, expired=True)
 
     def close(self) -> None:
         pass
@@ -129,8 +126,8 @@ def expiring_state(packets: DataFrame, threshold: int, quiet_s: int, late: str)
     dropped, and told of with `expired`, as soon as the watermark is that far past its last packet. The watermark runs `late` behind the latest
     control packet; those behind it are dropped, others are taken in time order within their batch."""
     packets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    control = packets.where("(syn or fin) and src is not null").select("src", F.col("ts").cast("timestamp").alias("ts"), "pkt_id", "syn", "fin").withWatermark("ts", late)
-    return control.groupBy("src").transformWithStateInPandas(Expiring(threshold, quiet_s), EXPIRING, "Update", "EventTime")
+    control = packets.where("(syn or fin) and src is not null").select("src", F.col("ts").cast("timestamp").alias("ts"), "pkt_id", "syn", "fin").withColumn("us", F.unix_micros("ts")).withWatermark("ts", late)
+    return control.groupBy("src").transformWithState(Expiring(threshold, quiet_s), EXPIRING, "Update", "EventTime")
 
 
 def write_alerts(stream: DataFrame, path: str, checkpoint: str):

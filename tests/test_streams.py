@@ -51,3 +51,12 @@ def test_quiet_sources_are_forgotten(spark, tmp_path):
     out = R.drained(R.expiring_state(S.as_packets(R.event_stream(spark, str(tmp_path), 1)), 0, 3600, "10 minutes"), "update").orderBy("batch", "src").collect()
     assert [(r.src, r.n, r.delta, r.alert) for r in out if not r.expired] == [(1, 1, 1, True), (2, 0, 0, False), (2, 1, 1, True), (1, 1, 1, True)]
     assert [(r.src, r.n) for r in out if r.expired] == [(2, 1)]
+
+
+def test_quiet_sources_in_any_zone(spark):
+    """Times are those of the stream, whatever zone the session shows them in."""
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert differences(catalog.QUERIES["r02_expiring_state"](spark, SF), views(SF), catalog.ORACLE_SQL["r02_expiring_state"]) == ""
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
