@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, BooleanType, IntegerType, LongType, StructField, StructType
 
-from ripplefold.operators.joins import in_order
+from ripplefold.operators.joins import numbered
 from ripplefold.operators.patterns import Pattern, automaton
 from ripplefold.operators.registers import Machine, Summary, Value, composed, from_table, iterate, machine, of_nothing, read, split, values, when
 from ripplefold.sources.stored import stored
 
 CHUNK = 128
-BLOCK = 1024
+BLOCK = 1 << 14
+AROUND, SPAN, PACKET = range(3)  # kinds of rows that a block's task reads
 
 
 def changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
@@ -45,8 +46,7 @@ def read_all(m: Machine, now: Summary, first: np.ndarray, lengths: np.ndarray, m
     now, first, lengths = now[order], first[order], lengths[order]
     for step in range(int(lengths.max(initial=0))):
         here = slice(0, int(np.searchsorted(-lengths, -step)))
-        after = read(m, now[here], may_be[first[here] + step], weight[first[here] + step])
-        now.there[here], now.into[:, here], now.opened[:, here] = after.there, after.into, after.opened
+        now[here] = read(m, now[here], may_be[first[here] + step], weight[first[here] + step])
     return now[np.argsort(order)]
 
 
@@ -59,7 +59,7 @@ def composed_by(m: Machine, run: np.ndarray, parts: Summary) -> Summary:
         paired = np.append(run[1:] == run[:-1], False)[left]
         both = composed(m, parts[left[paired]], parts[left[paired] + 1])
         out = parts[left]
-        out.there[paired], out.into[:, paired], out.opened[:, paired] = both.there, both.into, both.opened
+        out[paired] = both
         run, parts = run[left], out
     return parts
 
@@ -69,7 +69,7 @@ def _summed(keys: list[str], value: Value, n_symbols: int, chunk: int):
 
     def run(batches):
         m = machine(value, n_symbols)
-        every, part = slice(0, m.start), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         held: tuple | None = None  # the last key so far: its keys as a row, its summary, and whether it is the task's first
         for batch in batches:
             if not len(batch):
@@ -105,34 +105,26 @@ def _summed(keys: list[str], value: Value, n_symbols: int, chunk: int):
                     if kind == "start" and unknown and mine[0] == 0:
                         parts.append(("first", found[:1], mine[:1]))
                         found, mine = found[1:], mine[1:]
-                    parts.append((kind, found.from_states(every if kind == "any" else slice(m.start, None)), mine))
-            n_runs = int(run_of[-1]) + 1
-            heads: dict[int, Summary] = {}
-            for kind, s, mine in parts:
-                if kind != "any":
-                    heads |= {int(run_of[first[i]]): s[j : j + 1] for j, i in enumerate(mine.tolist())}
+                    parts.append((kind, found.only(m, kind == "start"), mine))
+            heads = [(run_of[first[mine]], s) for kind, s, mine in parts if kind != "any"] + ([(np.array([0]), held[1])] if goes_on else [])
+            own = Summary.of([s for _, s in heads])[np.argsort(np.concatenate([r for r, _ in heads]))]
             rest = [(mine, s) for kind, s, mine in parts if kind == "any"]
-            tails: dict[int, Summary] = {}
             if rest:
                 where = np.concatenate([mine for mine, _ in rest])
                 order = np.argsort(where)
                 owner = run_of[first[where[order]]]
-                joined = composed_by(m, owner, Summary.of([s for _, s in rest])[order])
-                tails = {int(r): joined[j : j + 1] for j, r in enumerate(owner[np.append(True, owner[1:] != owner[:-1])].tolist())}
-            at = np.flatnonzero(begins)
-            whole: list[tuple[pa.RecordBatch, Summary]] = []
-            for r in range(n_runs):
-                head = held[1] if r == 0 and goes_on else heads[r]
-                own = composed(m, head, tails[r]) if r in tails else head
-                task_first = held[2] if r == 0 and goes_on else unknown and r == 0
-                if held is not None and not (r == 0 and goes_on):
-                    if held[2]:
-                        yield _row(held[0], keys, part, held[1].packed(m))
-                    else:
-                        whole.append((held[0], held[1]))
-                held = (batch.slice(int(at[r]), 1).select(keys) if keys else batch.slice(0, 1).select([]), own, task_first)
-            if whole:
-                yield _done(whole, keys, m)
+                tails, at = composed_by(m, owner, Summary.of([s for _, s in rest])[order]), np.unique(owner)
+                own[at] = composed(m, own[at], tails)
+            at, rows = np.flatnonzero(begins), batch.select(keys)
+            task_first = held[2] if goes_on else unknown  # of the batch's first key
+            if held is not None and not goes_on:
+                yield _row(held[0], keys, part, held[1].packed(m)) if held[2] else _done(held[0], held[1], keys, m)
+            if task_first and len(at) > 1:
+                yield _row(rows.slice(0, 1), keys, part, own[:1].packed(m))
+            done = slice(int(task_first), len(at) - 1)
+            if done.start < done.stop:
+                yield _done(rows.take(pa.array(at[done])), own[done], keys, m)
+            held = (rows.slice(int(at[-1]), 1), own[-1:], task_first and len(at) == 1)
         if held is not None:
             yield _row(held[0], keys, part, held[1].packed(m))
 
@@ -143,11 +135,9 @@ def _row(row: pa.RecordBatch, keys: list[str], part: int, summary: pa.Array) ->
     return pa.RecordBatch.from_arrays([*row.columns, pa.array([part], pa.int32()), summary, pa.array([None], pa.int64()), pa.array([None], pa.int64())], [*keys, "part", "summary", "lower", "upper"])
 
 
-def _done(whole: list, keys: list[str], m: Machine) -> pa.RecordBatch:
-    ok, low, high = values(m, Summary.of([s for _, s in whole]))
-    rows = pa.Table.from_batches([r for r, _ in whole]).combine_chunks()
-    columns = [rows.column(k).combine_chunks() if rows.num_rows else pa.array([]) for k in keys]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([None] * len(whole), pa.int32()), pa.array([None] * len(whole), pa.binary()), pa.array(low, mask=~ok), pa.array(high, mask=~ok)], [*keys, "part", "summary", "lower", "upper"])
+def _done(rows: pa.RecordBatch, whole: Summary, keys: list[str], m: Machine) -> pa.RecordBatch:
+    n, (ok, low, high) = len(whole), values(m, whole)
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.array(low, mask=~ok), pa.array(high, mask=~ok)], [*keys, "part", "summary", "lower", "upper"])
 
 
 def _finished(keys: list[str], value: Value, n_symbols: int):
@@ -164,13 +154,13 @@ def _finished(keys: list[str], value: Value, n_symbols: int):
             for i in np.flatnonzero(open_).tolist():
                 row, own = batch.slice(i, 1).select([*keys, "part", "summary"]), Summary.unpacked(m, batch.column("summary").slice(i, 1))
                 if held is not None and key_of(row, keys, 0) == key_of(held[0], keys, 0):
-                    held = (held[0], composed(m, held[1], own.from_states(slice(0, m.start))))
+                    held = (held[0], composed(m, held[1], own.only(m, False)))
                     continue
                 if held is not None:
-                    yield _done([held], keys, m).select([*keys, "lower", "upper"])
-                held = (row.select(keys) if keys else row, own.from_states(slice(m.start, None)))
+                    yield _done(*held, keys, m).select([*keys, "lower", "upper"])
+                held = (row.select(keys), own.only(m, True))
         if held is not None:
-            yield _done([(held[0].select(keys) if keys else held[0].select([]), held[1])], keys, m).select([*keys, "lower", "upper"])
+            yield _done(*held, keys, m).select([*keys, "lower", "upper"])
 
     return run
 
@@ -242,40 +232,135 @@ def count_chunked(df: DataFrame, keys: list[str], order: list[str], sym: Column,
 # packets that concern all keys
 
 
-def _nodes(value: Value, n_symbols: int):
-    """Of a block of shared packets in order, or of the nodes below in order, the summaries of all aligned groups of 2, 4, 8 and so on."""
+def _grown(m: Machine, heads: Summary, tails: Summary, level: int) -> tuple[Summary, Summary]:
+    """From the aligned groups of 2 ** level parts to those twice as long: all parts of a group up to and with each one, and from it on."""
+    n = len(heads)
+    group = np.arange(n) >> level
+    right, left = np.flatnonzero(group % 2 == 1), np.flatnonzero((group % 2 == 0) & ((group + 1) << level < n))
+    longer, later = heads.copy(), tails.copy()
+    later[left] = composed(m, tails[left], heads[np.minimum((group[left] + 2) << level, n) - 1])
+    longer[right] = composed(m, heads[(group[right] << level) - 1], heads[right])
+    return longer, later
+
+
+def between(m: Machine, parts: Summary, low: np.ndarray, high: np.ndarray) -> Summary:
+    """For each pair the parts from low up to but not with high, composed; low < high. The smallest aligned group that holds a range parts it
+    in two, each of which begins or ends in the group's middle: one composition a range, and one a part and level for all of them."""
+    out, last = parts[low], high - 1
+    level_of = np.frexp((low ^ last).astype(float))[1]  # 0 for one part
+    heads, tails = parts, parts.copy()
+    for level in range(int(level_of.max(initial=0))):
+        mine = np.flatnonzero(level_of == level + 1)
+        if len(mine):
+            out[mine] = composed(m, tails[low[mine]], heads[last[mine]])
+        heads, tails = _grown(m, heads, tails, level)
+    return out
+
+
+def _every(m: Machine, rows: pa.Table) -> Summary:
+    """Of each packet."""
+    return read(m, Summary.unread(m, len(rows), list(range(m.start + 1))), rows.column("_may").to_numpy(), rows.column("_weight").to_numpy())
+
+
+def _of_blocks(value: Value, n_symbols: int):
+    """Of the shared packets of one block, in order, one summary."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         m = machine(value, n_symbols)
-        at = table.column("at").to_numpy()
-        table = table.take(pa.array(np.argsort(at)))
-        at, level = np.sort(at), table.column("level")[0].as_py()
-        if level == 0:
-            now = Summary.unread(m, len(at), list(range(m.start + 1)))
-            now = read(m, now, table.column("_may").to_numpy(), table.column("_weight").to_numpy())
-        else:
-            now = Summary.unpacked(m, table.column("summary").combine_chunks())
-        out, first = [], level
-        while True:
-            if level > first or level == 0:
-                out.append(pa.table({"level": pa.array(np.full(len(at), level, np.int32)), "at": pa.array(at), "summary": now.packed(m)}))
-            left = np.flatnonzero((at[:-1] % 2 == 0) & (at[1:] == at[:-1] + 1))
-            if not len(left):
-                break
-            now, at, level = composed(m, now[left], now[left + 1].from_states(slice(0, m.start))), at[left] // 2, level + 1
-        return pa.concat_tables(out) if out else pa.table({"level": pa.array([], pa.int32()), "at": pa.array([], pa.int64()), "summary": pa.array([], pa.binary())})
+        whole = composed_by(m, np.zeros(len(table), int), _every(m, table.sort_by("_pos")))
+        return pa.table({"_block": pa.array([key[0].as_py()], pa.int64()), "_summary": whole.packed(m)})
+
+    return run
+
+
+def _around(value: Value, n_symbols: int, n_blocks: int, levels: int):
+    """Of an aligned group of 2 ** level blocks, for each one what comes before it (side 0) and after it (side 1) within the group; of the
+    group that holds all, also the whole (side 2)."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        m, level, group = machine(value, n_symbols), key[0].as_py(), key[1].as_py()
+        table = table.sort_by("_block")
+        parts, at = Summary.unpacked(m, table.column("_summary").combine_chunks()), table.column("_block").to_numpy()
+        heads, tails, step = parts, parts.copy(), 0
+        while 1 << step < len(parts):
+            heads, tails, step = *_grown(m, heads, tails, step), step + 1
+        blocks = np.arange(group << level, min((group + 1) << level, n_blocks))
+        before, after = np.searchsorted(at, blocks) - 1, np.searchsorted(at, blocks, "right")
+        found = [(blocks[before >= 0], 0, heads[before[before >= 0]]), (blocks[after < len(at)], 1, tails[after[after < len(at)]])]
+        if level == levels:
+            found.append((blocks[:1], 2, heads[-1:].only(m, True)))
+        out = [pa.table({"_block": pa.array(b, pa.int64()), "_level": pa.array(np.full(len(b), level, np.int32)), "_side": pa.array(np.full(len(b), side, np.int32)), "_summary": s.packed(m)}) for b, side, s in found]
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _in_blocks(keys: list[str], value: Value, n_symbols: int, levels: int):
+    """Of a block's packets in order, for each key one summary: from the key's block before, or the beginning, if there is none, up to the
+    end of this block, and after the key's last block up to the end of the order."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        m, block = machine(value, n_symbols), key[0].as_py()
+        kind, shared = table.column("_kind").to_numpy(), table.column("_all").fill_null(False).to_numpy()
+        around = table.filter(pa.array(kind == AROUND))
+        place = {x: i for i, x in enumerate(zip(around.column("_side").to_pylist(), around.column("_level").to_pylist()))}
+        outside = Summary.unpacked(m, around.column("_summary").combine_chunks())
+        common = table.filter(pa.array(shared)).sort_by("_pos")
+        own = table.filter(pa.array((kind != AROUND) & ~shared)).sort_by([(c, "ascending") for c in (*keys, "_kind", "_pos")])
+        if not len(own):
+            return own.select(keys).append_column("_block", pa.array([], pa.int64())).append_column("_summary", pa.array([], pa.binary()))
+        spans = own.column("_kind").to_numpy() == SPAN  # a key's first row
+        run_of, packets = np.cumsum(spans) - 1, np.flatnonzero(~spans)
+        # the shared packets since the key's row before, and those after its last row
+        seen = np.where(spans, 0, np.searchsorted(common.column("_pos").to_numpy(), own.column("_pos").fill_null(0).to_numpy()))
+        last = np.append(np.flatnonzero(spans)[1:], len(own)) - 1
+        low, high = np.append(seen[packets - 1], seen[last]), np.append(seen[packets], np.full(len(last), len(common)))
+        some = np.flatnonzero(low < high)
+        gaps = between(m, _every(m, common), low[some], high[some])
+        tails = np.flatnonzero(some >= len(packets))
+        read_in = Summary.unread(m, len(packets), list(range(m.start + 1)))
+        read_in[some[: len(some) - len(tails)]] = gaps[: len(some) - len(tails)]
+        read_in = read(m, read_in, own.column("_may").to_numpy()[packets].astype(np.int32), own.column("_weight").to_numpy()[packets].astype(np.int64))
+        pieces = [(run_of[packets], np.full(len(packets), 1), read_in), (some[tails] - len(packets), np.full(len(tails), 2), gaps[tails])]
+        heads = own.filter(pa.array(spans))
+        opens = heads.column("_prev").is_null().to_numpy()
+        for side, name in ((0, "_prev"), (1, "_next")):
+            other = heads.column(name).fill_null(-1).to_numpy()
+            level = np.where(other < 0, levels, np.frexp((other ^ block).astype(float))[1] - 1)
+            at = np.array([place.get((side, x), -1) for x in range(levels + 1)])[level]
+            there = np.flatnonzero(at >= 0)
+            pieces.append((there, np.full(len(there), 3 * side), outside[at[there]]))
+        owner, turn = np.concatenate([r for r, _, _ in pieces]), np.concatenate([t for _, t, _ in pieces])
+        order = np.lexsort((turn, owner))  # stable: a key's packets stay in order
+        owner, parts = owner[order], Summary.of([s for _, _, s in pieces])[order]
+        begins = np.append(True, owner[1:] != owner[:-1])
+        parts.there[: m.from_start, begins & opens[owner]] = False
+        parts.there[m.from_start :, ~(begins & opens[owner])] = False
+        return heads.select(keys).append_column("_block", pa.array(np.full(len(heads), block))).append_column("_summary", composed_by(m, owner, parts).packed(m))
 
     return run
 
 
-def _range_nodes(low: Column, high: Column, levels: int) -> Column:
-    """The aligned groups that make up the shared packets from low up to but not with high, in order: at most two of each size."""
-    each = []
-    for j in range(levels):
-        a, b = F.shiftright(low + ((1 << j) - 1), j), F.shiftright(high, j)
-        left, right = (a < b) & (a % 2 == 1), (a < b) & (b % 2 == 1) & ~((a == b - 1) & (a % 2 == 1))
-        each += [F.when(left, F.struct(F.lit(j).alias("seq"), F.lit(j).alias("level"), a.alias("at"))), F.when(right, F.struct(F.lit(2 * levels - j).alias("seq"), F.lit(j).alias("level"), (b - 1).alias("at")))]
-    return F.filter(F.array(*each), lambda x: x.isNotNull())
+def _ended(keys: list[str], value: Value, n_symbols: int, rows: int):
+    """The summaries of whole keys, which stand together in order, to their values."""
+
+    def run(batches):
+        m, held = machine(value, n_symbols), None
+        for batch in batches:
+            for begin in range(0, len(batch), rows):
+                part = batch.slice(begin, rows)
+                names, parts = part.select(keys), Summary.unpacked(m, part.column("_summary"))
+                if held is not None:
+                    names, parts = pa.concat_batches([held[0], names]), Summary.of([held[1], parts])
+                begins = changes(names, keys)
+                whole, at = composed_by(m, np.cumsum(begins) - 1, parts), np.flatnonzero(begins)
+                if len(at) > 1:
+                    yield _done(names.take(pa.array(at[:-1])), whole[:-1], keys, m).select([*keys, "lower", "upper"])
+                held = (names.slice(int(at[-1]), 1), whole[-1:])
+        if held is not None:
+            yield _done(*held, keys, m).select([*keys, "lower", "upper"])
+
+    return run
 
 
 def shared_values(df: DataFrame, keys: list[str], order: list[str], concerns_all: Column, may_be: Column, weight: Column | None, value: Value, symbols: str) -> DataFrame:
@@ -283,45 +368,42 @@ def shared_values(df: DataFrame, keys: list[str], order: list[str], concerns_all
     order, also those before its first own packet. One row more, with null keys and unseen true, is the value of any key that has no packets
     of its own.
 
-    Shared packets aren't sent to the keys: aligned groups of them are summed up once, a tree over the whole order, and between
-    two packets of a key stand the few groups that make up the shared ones in between.
+    The order is cut into blocks of at most BLOCK packets. A block's task reads its shared packets once and makes one summary of each key
+    that has packets there. What a key skips between two of its blocks is composed of two summaries, which belong to these blocks: up to and
+    from the middle of the smallest aligned group of blocks that holds both. So a key's packets are joined with nothing, and no more than
+    a row for each key of a block is shuffled, however many shared packets lie in between.
     """
-    n = len(symbols)
+    n, m = len(symbols), machine(value, len(symbols))
+    size = min(BLOCK, max(256, (1 << 25) // (16 * m.width)))  # a block's summaries take 32 MB at most
     w = F.coalesce(weight.cast("long"), F.lit(0)) if weight is not None else F.lit(0).cast("long")
-    ranged = in_order(df.select(*keys, *order, F.coalesce(concerns_all, F.lit(False)).alias("_all"), may_be.alias("_may"), w.alias("_weight")), order, F.col("_all").cast("int"), "_count")
-    rows = stored(ranged)
-    m = rows.where("_all").count()
-    levels = max(1, m.bit_length())
-    schema = "level int, at long, summary binary"
-    base = rows.where("_all").select(F.lit(0).alias("level"), (F.col("_count") - 1).alias("at"), "_may", "_weight")
-    step = BLOCK.bit_length() - 1
-    nodes = [stored(base.groupBy(F.shiftright("at", step).alias("_b")).applyInArrow(_nodes(value, n), schema))]
-    top = step
-    while m >> top > 1:  # a level of blocks of blocks; as many rounds as the logarithm of the shared packets to the base BLOCK
-        nodes.append(stored(nodes[-1].where(F.col("level") == top).groupBy(F.shiftright("at", step).alias("_b")).applyInArrow(_nodes(value, n), schema)))
-        top += step
-    tree = nodes[0]
-    for more in nodes[1:]:
-        tree = tree.unionByName(more)
-    own = rows.where("not _all")
-    # the shared count at the packet before: within the part of the order, or at the end of the key's part before
-    ends = own.groupBy(*keys, "_p").agg(F.max("_count").alias("_end")).withColumn("_before", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_p")))
-    same = lambda a, b: [a[k].eqNullSafe(b[f"_k{i}"]) for i, k in enumerate(keys)]
-    ends = ends.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), F.col("_p").alias("_q"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    with_ends = own.join(ends, [*same(own, ends), own["_p"] == ends["_q"]]).select(*own.columns, "_before")
-    gaps = with_ends.withColumn("_low", F.coalesce(F.lag("_count").over(Window.partitionBy(*keys, "_p").orderBy(*order)), F.col("_before")))
-    last = own.groupBy(*keys).agg(F.max("_count").alias("_low"))
-    nothing = [F.lit(None).cast(df.schema[c].dataType).alias(c) for c in order]
-    spans = gaps.select(*keys, F.lit(False).alias("unseen"), F.lit(0).alias("_tail"), *order, "_low", F.col("_count").alias("_high"))
-    spans = spans.unionByName(last.select(*keys, F.lit(False).alias("unseen"), F.lit(1).alias("_tail"), *nothing, "_low", F.lit(m).cast("long").alias("_high")))
-    unseen = df.sparkSession.range(1).select(*(F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys), F.lit(True).alias("unseen"), F.lit(1).alias("_tail"), *nothing, F.lit(0).cast("long").alias("_low"), F.lit(m).cast("long").alias("_high"))
-    pieces = spans.unionByName(unseen).where("_low < _high").withColumn("_node", F.explode(_range_nodes(F.col("_low"), F.col("_high"), levels)))
-    pieces = pieces.select(*keys, "unseen", "_tail", *order, F.col("_node.seq").alias("_seq"), F.col("_node.level").alias("level"), F.col("_node.at").alias("at")).join(tree, ["level", "at"])
-    pieces = pieces.select(*keys, "unseen", "_tail", *order, "_seq", F.lit(0).alias("_may"), F.lit(0).cast("long").alias("_weight"), F.col("summary").alias("_summary"))
-    packets = own.select(*keys, F.lit(False).alias("unseen"), F.lit(0).alias("_tail"), *order, F.lit(2 * levels + 1).alias("_seq"), "_may", "_weight", F.lit(None).cast("binary").alias("_summary"))
-    found = over_sorted(packets.unionByName(pieces), [*keys, "unseen"], ["_tail", *order, "_seq"], value, n)
-    if m:
+    rows = numbered(df.select(*keys, *order, F.coalesce(concerns_all, F.lit(False)).alias("_all"), may_be.alias("_may"), w.alias("_weight")), order, "_pos")
+    rows = rows.select(*keys, F.expr(f"_pos div {size}").alias("_block"), "_pos", "_all", "_may", "_weight")
+    n_rows, n_shared = rows.agg(F.count("*"), F.count_if("_all")).first()
+    n_blocks = -(-n_rows // size)
+    levels = max(1, (n_blocks - 1).bit_length())
+    n_parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a summary for each block, then those around each block in groups of 2, 4, 8 and so on
+    blocks = stored(rows.where("_all").groupBy("_block").applyInArrow(_of_blocks(value, n), "_block long, _summary binary"))
+    grouped = blocks.withColumn("_level", F.explode(F.sequence(F.lit(1), F.lit(levels)))).withColumn("_group", F.expr("shiftright(_block, _level)"))
+    around = stored(grouped.groupBy("_level", "_group").applyInArrow(_around(value, n, n_blocks, levels), "_block long, _level int, _side int, _summary binary"))
+    by_key = Window.partitionBy(*keys).orderBy("_block")
+    spans = rows.where("not _all").select(*keys, "_block").distinct().select(*keys, "_block", F.lag("_block").over(by_key).alias("_prev"), F.lead("_block").over(by_key).alias("_next"))
+    kinds = [(around.where("_side < 2"), AROUND), (spans, SPAN), (rows, PACKET)]
+    together = None
+    for part, kind in kinds:
+        part = part.withColumn("_kind", F.lit(kind))
+        together = part if together is None else together.unionByName(part, allowMissingColumns=True)
+    own = [StructField(k, df.schema[k].dataType) for k in keys]
+    fields = StructType([*own, StructField("_block", LongType()), StructField("_summary", BinaryType())])
+    found = together.repartition(n_parts, "_block").groupBy("_block").applyInArrow(_in_blocks(keys, value, n, levels), fields).withColumn("unseen", F.lit(False))
+    nobody = [F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys]
+    found = found.unionByName(around.where("_side = 2").select(*nobody, "_block", "_summary", F.lit(True).alias("unseen")))
+    # a key has at most one row a block
+    whole = found.repartition(n_parts, *keys, "unseen").sortWithinPartitions(*keys, "unseen", "_block")
+    out = StructType([*own, StructField("unseen", BooleanType()), StructField("lower", LongType()), StructField("upper", LongType())])
+    found = whole.mapInArrow(_ended([*keys, "unseen"], value, n, size), out)
+    if n_shared:
         return found
     empty = of_nothing(value)  # no shared packet: an unseen key's stream is empty
     bound = lambda f: F.lit(f(empty) if empty else None).cast("long")
-    return found.unionByName(df.sparkSession.range(1).select(*(F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys), F.lit(True).alias("unseen"), bound(min).alias("lower"), bound(max).alias("upper")))
+    return found.unionByName(df.sparkSession.range(1).select(*nobody, F.lit(True).alias("unseen"), bound(min).alias("lower"), bound(max).alias("upper")))

@@ -160,6 +160,32 @@ class Machine:
         first.open(ROOT)
         for move, to in self._enter(value, (), first):
             reads(self.start, move, to, 0)
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        """The readings that any chunk can have (state before, state after, levels kept), by state before with the start last, and each
+        one's places among the numbers of a summary: those folded into the levels before, then those that the opened levels hold."""
+        after: list[dict[int, set]] = [{} for _ in range(self.start + 1)]  # by source: the states read into and the levels that a move keeps
+        for moves in self.moves:
+            for source, to, move, _ in moves:
+                after[source].setdefault(to, set()).add(move.kept)
+        found = todo = {(b, b, len(folds)) for b, folds in enumerate(self.folds)}
+        while todo := {(b, to, min(kept, k)) for b, source, kept in todo for to, keeps in after[source].items() for k in keeps} - found:
+            found = found | todo
+        self.readings = sorted(found)
+        self.number = {r: i for i, r in enumerate(self.readings)}
+        self.into: list[list[int]] = []
+        self.opened: list[dict[int, int]] = []
+        self.width = 0
+        for before, to, kept in self.readings:
+            self.into.append(list(range(self.width, self.width + len(self.folds[before]))))
+            self.width += len(self.folds[before])
+            self.opened.append({level: self.width + i for i, level in enumerate(range(kept, len(self.folds[to])))})
+            self.width += len(self.opened[-1])
+        self.from_start = next(i for i, (before, _, _) in enumerate(self.readings) if before == self.start)
+        self.cut = self.into[self.from_start][0] if self.into[self.from_start] else self.width - sum(len(x) for x in self.opened[self.from_start :])
+        self.after_state = [[i for i, (_, to, _) in enumerate(self.readings) if to == state] for state in range(self.start + 1)]
+        self.before_state = [[i for i, (before, _, _) in enumerate(self.readings) if before == state] for state in range(self.start + 1)]
 
     def _find(self, v: Value, path: tuple) -> None:
         if v.kind == "leaf":
@@ -218,111 +244,149 @@ class Machine:
         yield from self._after(above, closed)
 
 
+def _alike(m: Machine, some: np.ndarray, start: np.ndarray, two: np.ndarray):
+    """Chunks whose summaries hold the same places: those chunks, the places, and whether least and greatest differ."""
+    kind = some + 2 * start.astype(np.int8) + 4 * two
+    for k in np.unique(kind).tolist():
+        yield np.flatnonzero(kind == k), slice(0 if k & 1 else m.cut, m.width if k & 2 else m.cut), k >> 2
+
+
 @cache
 def machine(value: Value, n_symbols: int) -> Machine:
     return Machine(value, n_symbols)
 
 
-def record(m: Machine) -> np.dtype:
-    return np.dtype([("at", "<i4"), ("into", "<i8", (2, m.depth)), ("opened", "<i8", (2, m.depth))])
-
-
 class Summary:
-    """Of several chunks at once, by state before (one, or all), state after and number of levels kept: whether there is a reading,
-    what is folded into the levels before and what the opened ones hold, each as least and greatest."""
+    """Of several chunks at once, for each reading that a chunk of this machine can have: whether the chunk has it, and its numbers, each as
+    least and greatest. The readings of a state that wasn't asked for are not there."""
+
+    def __init__(self, there: np.ndarray, numbers: np.ndarray) -> None:
+        self.there, self.numbers = there, numbers  # (reading, chunk), (place, bound, chunk)
 
-    def __init__(self, there: np.ndarray, into: np.ndarray, opened: np.ndarray) -> None:
-        self.there, self.into, self.opened = there, into, opened  # (chunk, before, after, kept), the others (bound, chunk, before, after, kept, level)
+    def __len__(self) -> int:
+        return self.there.shape[1]
 
     @staticmethod
-    def empty(m: Machine, chunks: int, before: int) -> Summary:
-        shape = (chunks, before, m.start + 1, m.depth + 1)
-        return Summary(np.zeros(shape, bool), np.zeros((2, *shape, m.depth), np.int64), np.zeros((2, *shape, m.depth), np.int64))
+    def empty(m: Machine, chunks: int) -> Summary:
+        return Summary(np.zeros((len(m.readings), chunks), bool), np.zeros((m.width, 2, chunks), np.int64))
 
     @staticmethod
     def unread(m: Machine, chunks: int, states: list[int]) -> Summary:
         """Before any packet: in each of these states with all its levels kept."""
-        out = Summary.empty(m, chunks, len(states))
-        for i, b in enumerate(states):
-            at = (slice(None), i, b, len(m.folds[b]))
-            out.there[at] = True
+        out = Summary.empty(m, chunks)
+        for b in states:
+            r = m.number[b, b, len(m.folds[b])]
+            out.there[r] = True
             for level, fold in enumerate(m.folds[b]):
-                out.into[(slice(None), *at, level)] = NEUTRAL[fold]
+                out.numbers[m.into[r][level]] = NEUTRAL[fold]
         return out
 
     def __getitem__(self, chunks) -> Summary:
-        return Summary(self.there[chunks], self.into[:, chunks], self.opened[:, chunks])
+        return Summary(self.there[:, chunks], self.numbers[..., chunks])
+
+    def __setitem__(self, chunks, other: Summary) -> None:
+        self.there[:, chunks], self.numbers[..., chunks] = other.there, other.numbers
 
-    def from_states(self, states: slice) -> Summary:
-        return Summary(self.there[:, states], self.into[:, :, states], self.opened[:, :, states])
+    def copy(self) -> Summary:
+        return Summary(self.there.copy(), self.numbers.copy())
+
+    def only(self, m: Machine, start: bool) -> Summary:
+        """The readings from the start, or those from all other states."""
+        there = self.there.copy()
+        there[slice(None, m.from_start) if start else slice(m.from_start, None)] = False
+        return Summary(there, self.numbers)
 
     @staticmethod
     def of(parts: list[Summary]) -> Summary:
         """The chunks of all parts, one part after the other."""
-        return Summary(np.concatenate([p.there for p in parts]), np.concatenate([p.into for p in parts], 1), np.concatenate([p.opened for p in parts], 1))
+        return Summary(np.concatenate([p.there for p in parts], 1), np.concatenate([p.numbers for p in parts], 2))
 
     def packed(self, m: Machine) -> pa.Array:
-        """A binary for each chunk, with a record for each reading; the states before are all, or the start alone."""
-        chunk, before, after, kept = np.nonzero(self.there)
-        records = np.empty(len(chunk), record(m))
-        state = before if self.there.shape[1] > 1 else np.full(len(chunk), m.start)
-        records["at"] = (state * (m.start + 1) + after) * (m.depth + 1) + kept
-        for name, held in (("into", self.into), ("opened", self.opened)):
-            records[name] = held[:, chunk, before, after, kept].swapaxes(0, 1)
-        ends = np.searchsorted(chunk, np.arange(len(self.there) + 1)) * records.dtype.itemsize
-        return pa.Array.from_buffers(pa.binary(), len(self.there), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(records.tobytes())])
+        """A binary for each chunk: which readings are there, as bytes, then the least numbers of those from other states, if any, and of those
+        from the start, if any; then the greatest, if they differ."""
+        n = len(self)
+        there = np.empty((m.width, n), bool)
+        for r, here in enumerate(self.there):
+            there[[*m.into[r], *m.opened[r].values()]] = here
+        low, high = np.where(there, self.numbers[:, 0], 0), np.where(there, self.numbers[:, 1], 0)
+        some, start, two = self.there[: m.from_start].any(0), self.there[m.from_start :].any(0), (low != high).any(0)
+        ends = np.concatenate([[0], np.cumsum(len(m.readings) + 8 * (np.where(some, m.cut, 0) + np.where(start, m.width - m.cut, 0)) * (1 + two))])
+        out = np.empty(int(ends[-1]), np.uint8)
+        for mine, places, both in _alike(m, some, start, two):
+            bounds = [np.ascontiguousarray(x[places, mine].T).view(np.uint8) for x in ((low, high) if both else (low,))] if places.stop > places.start else []
+            rows = np.concatenate([np.ascontiguousarray(self.there[:, mine].T).view(np.uint8), *bounds], 1)
+            out[ends[mine][:, None] + np.arange(rows.shape[1])] = rows
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
 
     @staticmethod
     def unpacked(m: Machine, blobs: pa.Array) -> Summary:
-        """Of packed(); the states before are all, with the start."""
-        out, kind = Summary.empty(m, len(blobs), m.start + 1), record(m)
-        chunk = np.repeat(np.arange(len(blobs)), np.array([len(b) for b in (x.as_buffer() for x in blobs)], np.int64) // kind.itemsize)
-        records = np.frombuffer(b"".join(x.as_buffer() for x in blobs), kind)
-        at = records["at"].astype(np.int64)
-        place = (chunk, at // ((m.start + 1) * (m.depth + 1)), at // (m.depth + 1) % (m.start + 1), at % (m.depth + 1))
-        out.there[place] = True
-        for name, held in (("into", out.into), ("opened", out.opened)):
-            held[(slice(None), *place)] = records[name].swapaxes(0, 1)
+        """Of packed()."""
+        n, k = len(blobs), len(m.readings)
+        out = Summary.empty(m, n)
+        if not n:
+            return out
+        ends, held = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + n + 1].astype(np.int64), np.frombuffer(blobs.buffers()[2], np.uint8)
+        out.there[:] = held[ends[:-1, None] + np.arange(k)].T.astype(bool)
+        some, start = out.there[: m.from_start].any(0), out.there[m.from_start :].any(0)
+        two = np.diff(ends) > k + 8 * (np.where(some, m.cut, 0) + np.where(start, m.width - m.cut, 0))
+        for mine, places, both in _alike(m, some, start, two):
+            width = places.stop - places.start
+            numbers = held[ends[mine][:, None] + np.arange(k, k + 8 * width * (1 + both))].view(np.int64) if width else np.zeros((len(mine), 0), np.int64)
+            whole = np.zeros((m.width, 2, len(mine)), np.int64)
+            whole[places] = numbers.reshape(len(mine), 1 + both, width).transpose(2, 1, 0)
+            out.numbers[..., mine] = whole
         return out
 
-    def merge(self, at: tuple, there: np.ndarray, into: np.ndarray, opened: np.ndarray) -> None:
-        """Adds readings at the places of `at` (an index into there); `there` says which exist."""
-        old = self.there[at]
-        for held, new in ((self.into, into), (self.opened, opened)):
-            place = (slice(None), *at)
-            now = held[place]
-            both = np.stack([np.minimum(now[0], new[0]), np.maximum(now[1], new[1])])
-            held[place] = np.where(there[None, ..., None], np.where(old[None, ..., None], both, new), now)
-        self.there[at] = old | there
+    def merge(self, m: Machine, r: int, there: np.ndarray, into: list, opened: dict) -> None:
+        """Adds a reading's numbers, levels before in order and opened ones by level; `there` says which chunks have it."""
+        old = self.there[r]
+        places = [*zip(m.into[r], into), *((m.opened[r][level], new) for level, new in opened.items())]
+        if not old.any():
+            for place, new in places:
+                self.numbers[place] = new
+            old |= there
+            return
+        both = old & there
+        if both.any():
+            for place, new in places:
+                now = self.numbers[place]
+                met = np.stack([np.minimum(now[0], new[0]), np.maximum(now[1], new[1])])
+                self.numbers[place] = np.where(both, met, np.where(there, new, now))
+        else:
+            for place, new in places:
+                np.copyto(self.numbers[place], new, where=there)
+        old |= there
 
 
-def joined(folds: list[str], kept1: int, into1, opened1, kept2: int, into2, opened2):
-    """Two moves after each other, the first ending with levels of these folds; numbers are along the last axis."""
-    shape = np.broadcast_shapes(into1.shape, into2.shape)
-    kept = min(kept1, kept2)
-    into, opened = np.array(np.broadcast_to(into1, shape)), np.array(np.broadcast_to(opened2, shape))
+def joined(m: Machine, r1: int, r2: int, a: np.ndarray, b: np.ndarray) -> tuple[list, dict]:
+    """The numbers of reading r1 of a followed by reading r2 of b: folded into the levels before, and those of opened ones."""
+    kept1, kept2 = m.readings[r1][2], m.readings[r2][2]
+    folds = m.folds[m.readings[r2][0]]
+    into, opened = [a[p] for p in m.into[r1]], {level: b[p] for level, p in m.opened[r2].items()}
     closing = None  # what the levels closed by the second move give to the one below
     for level in range(len(folds) - 1, -1, -1):
         own = FOLD[folds[level]]
-        held = into1[..., level] if level < kept1 else opened1[..., level]
-        now = own(held, into2[..., level])
+        now = own(into[level] if level < kept1 else a[m.opened[r1][level]], b[m.into[r2][level]])
         if closing is not None:
             now, closing = own(now, closing), None
         if level < kept1:
-            into[..., level] = now
+            into[level] = now
         elif level < kept2:
-            opened[..., level] = now
+            opened[level] = now
         else:  # opened by the first move, closed by the second
             closing = now
-    return kept, into, opened
+    kept = min(kept1, kept2)
+    return into, {level: x for level, x in opened.items() if level >= kept}
 
 
-def _moved(folds: list[str], kept1: int, into1, opened1, move: Move):
+def _moved(m: Machine, r: int, numbers: np.ndarray, move: Move) -> tuple[int, list, dict]:
     """The same where the second is one state's move, which closes the last levels and folds at most one number into the last that stays."""
-    into, opened, closing = into1.copy(), opened1.copy(), None
+    _, source, kept1 = m.readings[r]
+    folds = m.folds[source]
+    into, opened, closing = [numbers[p] for p in m.into[r]], {level: numbers[p] for level, p in m.opened[r].items()}, None
     for level in range(len(folds) - 1, max(move.kept - 2, -1), -1):
         own, held = FOLD[folds[level]], into if level < kept1 else opened
-        now = held[..., level]
+        now = held[level]
         if move.into[level] != NEUTRAL[folds[level]]:
             now = own(now, move.into[level])
         if closing is not None:
@@ -330,56 +394,62 @@ def _moved(folds: list[str], kept1: int, into1, opened1, move: Move):
         if level >= max(kept1, move.kept):
             closing = now
         else:
-            held[..., level] = now
+            held[level] = now
+    opened = {level: x for level, x in opened.items() if level < move.kept}
     for i, number in enumerate(move.opened):
-        opened[..., move.kept + i] = number
+        opened[move.kept + i] = np.full_like(numbers[0], number)
     return min(kept1, move.kept), into, opened
 
 
 def read(m: Machine, now: Summary, may_be: np.ndarray, weight: np.ndarray) -> Summary:
     """One packet more in each chunk: may_be has a bit for each symbol that the packet can be."""
-    out = Summary.empty(m, len(may_be), now.there.shape[1])
-    for mask in np.unique(may_be).tolist():
-        mine = np.flatnonzero(may_be == mask)
-        before, after = now[mine], Summary.empty(m, len(mine), now.there.shape[1])
-        some, filled, w = before.there.any((0, 1)), set(), weight[mine][None, :, None]
-        for source, to, move, weighs in (x for c in range(m.n_symbols) if mask >> c & 1 for x in m.moves[c]):
-            for kept1 in np.flatnonzero(some[source]).tolist():
-                kept, into, opened = _moved(m.folds[source], kept1, before.into[:, :, :, source, kept1], before.opened[:, :, :, source, kept1], move)
-                if weighs:
-                    level = len(m.folds[to]) - 1
-                    held = into if level < kept else opened
-                    held[..., level] = FOLD[m.folds[to][level]](held[..., level], w)
-                at, there = (slice(None), slice(None), to, kept), before.there[:, :, source, kept1]
-                if (to, kept) in filled:
-                    after.merge(at, there, into, opened)
-                else:
-                    filled.add((to, kept))
-                    after.there[at], after.into[(slice(None), *at)], after.opened[(slice(None), *at)] = there, into, opened
-        out.there[mine], out.into[:, mine], out.opened[:, mine] = after.there, after.into, after.opened
+    masks = np.unique(may_be).tolist()
+    if len(masks) != 1:
+        out = Summary.empty(m, len(may_be))
+        for mask in masks:
+            mine = np.flatnonzero(may_be == mask)
+            out[mine] = read(m, now[mine], may_be[mine], weight[mine])
+        return out
+    out = Summary.empty(m, len(may_be))
+    some = now.there.any(1)
+    for source, to, move, weighs in (x for c in range(m.n_symbols) if masks[0] >> c & 1 for x in m.moves[c]):
+        for r in m.after_state[source]:
+            if not some[r]:
+                continue
+            kept, into, opened = _moved(m, r, now.numbers, move)
+            if weighs:
+                level = len(m.folds[to]) - 1
+                held = into if level < kept else opened
+                held[level] = FOLD[m.folds[to][level]](held[level], weight)
+            out.merge(m, m.number[m.readings[r][0], to, kept], now.there[r], into, opened)
     return out
 
 
 def composed(m: Machine, a: Summary, b: Summary) -> Summary:
-    """Chunk i of a, then chunk i of b, which has summaries from every state."""
-    out = Summary.empty(m, len(a.there), a.there.shape[1])
-    some_a, some_b = a.there.any((0, 1)), b.there.any(0)
-    for state in range(m.start):
-        for kept1 in np.flatnonzero(some_a[state]).tolist():
-            for kept2 in np.flatnonzero(some_b[state].any(0)).tolist():
-                there = a.there[:, :, state, kept1][:, :, None] & b.there[:, state, :, kept2][:, None, :]
-                kept, into, opened = joined(m.folds[state], kept1, a.into[:, :, :, state, kept1][:, :, :, None], a.opened[:, :, :, state, kept1][:, :, :, None], kept2, b.into[:, :, state, :, kept2][:, :, None], b.opened[:, :, state, :, kept2][:, :, None])
-                out.merge((slice(None), slice(None), slice(None), kept), there, into, opened)
+    """Chunk i of a, then chunk i of b, which has summaries from every state that a may end in."""
+    out = Summary.empty(m, len(a))
+    some_a, some_b = a.there.any(1), b.there.any(1)
+    for state in range(m.start + 1):
+        for r1 in m.after_state[state]:
+            for r2 in m.before_state[state] if some_a[r1] else ():
+                if not some_b[r2]:
+                    continue
+                there = a.there[r1] & b.there[r2]
+                if there.any():
+                    (before, _, kept1), (_, to, kept2) = m.readings[r1], m.readings[r2]
+                    out.merge(m, m.number[before, to, min(kept1, kept2)], there, *joined(m, r1, r2, a.numbers, b.numbers))
     return out
 
 
 def values(m: Machine, whole: Summary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of chunks that are whole streams: whether any reading matches, and the least and greatest value."""
-    n = len(whole.there)
+    n = len(whole)
     there, low, high = np.zeros(n, bool), np.full(n, FAR), np.full(n, -FAR)
     for state, move in m.ends:
-        ok = whole.there[:, 0, state, 0]
-        found = _moved(m.folds[state], 0, whole.into[:, :, 0, state, 0], whole.opened[:, :, 0, state, 0], move)[2][..., 0]
+        r = m.number.get((m.start, state, 0))
+        if r is None:
+            continue
+        ok, found = whole.there[r], _moved(m, r, whole.numbers, move)[2][0]
         low, high = np.where(ok, np.minimum(low, found[0]), low), np.where(ok, np.maximum(high, found[1]), high)
         there |= ok
     return there, low, high

@@ -137,6 +137,43 @@ def test_shared_packets(spark, small_parts, block, monkeypatch):
         assert got == want
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_shared_packets_of_unknown_kind(spark, small_parts, block, monkeypatch):
+    """Against pattern_values of the streams put together by joins: keys of two columns with nulls, packets of either kind, blocks with shared
+    packets only or none, a single key, no packets at all."""
+    monkeypatch.setattr(K, "BLOCK", block)
+    value, rnd = EXACT["one_max"], random.Random(block)
+    may_be = K.bits(S, {"a": F.when(F.col("c") != "b", F.col("c") == "a")}, "c")
+    schema = "k int, name string, pos int, c string, v long, all boolean"
+    for n, share, names in ((200, 0.9, [None, "x", "y"]), (120, 0.2, [None, "x", "y"]), (60, 0.4, ["x"]), (0, 0.5, ["x"])):
+        rows = [(rnd.choice([None, 1, 2]) if len(names) > 1 else 1, rnd.choice(names), i, rnd.choice("aabc"), rnd.choice([None, -3, 2, 9]), rnd.random() < share) for i in range(n)]
+        df = spark.createDataFrame(rows, schema).repartition(3)
+        got = {(r.k, r.name, r.unseen): (r.lower, r.upper) for r in K.shared_values(df, ["k", "name"], ["pos"], F.col("all"), may_be, F.col("v"), value, S).collect()}
+        keys = {r[:2] for r in rows if not r[5]}
+        each = [(*k, *r[2:]) for k in keys for r in rows if r[5] or r[:2] == k]
+        want = {(r.k, r.name, False): (r.lower, r.upper) for r in K.pattern_values(spark.createDataFrame(each, schema), ["k", "name"], ["pos"], may_be, F.col("v"), value, S).collect()}
+        nobody = K.pattern_values(spark.createDataFrame([r for r in rows if r[5]], schema), [], ["pos"], may_be, F.col("v"), value, S).collect()
+        want[None, None, True] = tuple(nobody[0]) if nobody else (0, 0)
+        assert got == want
+
+
+def test_rows_shuffled_for_shared_packets(spark):
+    """As many for each packet, whether few or many shared packets lie between two packets of a key."""
+    sc = spark.sparkContext
+    store, options = sc._jsc.sc().statusStore(), (False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+
+    def shuffled() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, *options)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    for n_keys in (10, 1500):
+        df = spark.range(12_000).select((F.col("id") * 7 % n_keys).cast("int").alias("k"), F.col("id").cast("int").alias("pos"), F.when(F.col("id") % 2 == 0, "c").otherwise("a").alias("c"), F.lit(1).cast("long").alias("v"))
+        before = shuffled()
+        assert K.shared_values(df, ["k"], ["pos"], F.col("c") == "c", bits(), F.col("v"), TO_B, S).count() == n_keys // 2 + 1
+        assert shuffled() - before < 6 * 12_000
+
+
 def test_sketches(spark):
     """Estimates never fall below the counts, sketches of parts merge to that of the whole, and most keys are left out at any size."""
     from ripplefold.operators import aggregates as A
